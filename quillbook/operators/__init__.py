@@ -1,0 +1 @@
+"""operators of the statement and document engine."""

@@ -1,0 +1 @@
+"""plans of the statement and document engine."""

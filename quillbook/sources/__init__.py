@@ -1,0 +1 @@
+"""sources of the statement and document engine."""
