@@ -122,7 +122,7 @@ def check_triplets(lines: DataFrame, strict_parity: bool = False) -> DataFrame:
     return let(
         let(lines, _triplets=triplets),
         _rows=F.expr(f"""filter(transform(_triplets, t -> named_struct(
-            'date', {day}, 'description', concat('CHECK ', regexp_replace(t.number, r'\*+$', '')),
+            'date', {day}, 'description', concat('CHECK ', trim(TRAILING '*' FROM t.number)),
             'amount', {amount})), r -> r.date IS NOT NULL AND r.amount <> 0)"""),
     )
 
