@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "quillbook", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUILLBOOK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

@@ -12,7 +12,7 @@ from quillbook.operators.documents import file_extension, loader, looks_like_sta
 
 # a quoted field may hold line breaks and doubled quotes
 CSV_RECORD = r'([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)(?:\r\n|\r|\n|\z)'
-CSV_FIELD = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+CSV_FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = p.UPLOAD_LIMIT_BYTES) -> DataFrame:
@@ -64,7 +64,7 @@ def delimited_rows(files: DataFrame) -> DataFrame:
     records = texts.select(
         "file_name", F.posexplode(F.regexp_extract_all("text", F.lit(CSV_RECORD), F.lit(1))).alias("at", "record")
     )
-    fields = F.regexp_extract_all("record", F.lit(CSV_FIELD), F.lit(1))
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(CSV_FIELD), F.lit(1))
     unquoted = F.transform(
         fields,
         lambda f: F.when(f.startswith('"'), F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')).otherwise(f),
