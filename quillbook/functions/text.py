@@ -11,9 +11,12 @@ LINE_BREAK = "\\r\\n|[\\n\\r\\f\\u000b\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 EDGE_MARKS = "^[ \\-|:/]+|[ \\-|:/]+$"
 
 
-def clean_line(col: Column) -> Column:
+WHITE_SPACE = " \t\n\r\f\u000b\u001c\u001d\u001e\u001f\u0085\u2028\u2029\u3000"
+
+
+def clean_line(col: Column | str) -> Column:
     """Trim all white space; no-break spaces count as spaces."""
-    return F.regexp_replace(F.translate(col, "\u00a0", " "), r"^\s+|\s+$", "")
+    return F.btrim(F.replace(col, F.lit("\u00a0"), F.lit(" ")), F.lit(WHITE_SPACE))
 
 
 def squeeze(col: Column) -> Column:

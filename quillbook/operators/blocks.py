@@ -19,8 +19,12 @@ ROWS_PER_BLOCK = 1 << 16
 BLOCK = "_block"
 
 
+def _block_of(order: str, rows_per_block: int) -> Column:
+    return F.expr(f"cast({order} as bigint) div {int(rows_per_block)}")
+
+
 def with_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(rows_per_block)).cast("long"))
+    return df.withColumn(BLOCK, _block_of(order, rows_per_block))
 
 
 def ordered(
@@ -30,6 +34,7 @@ def ordered(
     *,
     running: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
+    before: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     smallest: Mapping[str, Column] | None = None,
     block: str | None = None,
@@ -39,6 +44,7 @@ def ordered(
 
     running   sum of the values up to and including the row
     latest    last non-null value up to and including the row
+    before    last non-null value above the row
     previous  value of the row before (null on the first row)
     smallest  least value over the whole key
     block     an existing column that is non-decreasing in ``order``; by
@@ -48,18 +54,20 @@ def ordered(
     """
     keys = list(keys)
     orders = [order] if isinstance(order, str) else list(order)
-    running, latest, previous, smallest = (dict(m or {}) for m in (running, latest, previous, smallest))
+    running, latest, before, previous, smallest = (
+        dict(m or {}) for m in (running, latest, before, previous, smallest)
+    )
     names = [*df.columns]
 
-    cut = F.floor(F.col(orders[0]) / F.lit(rows_per_block)).cast("long") if block is None else F.col(block)
-    inputs = {f"_in_{k}": v for m in (running, latest, previous, smallest) for k, v in m.items()}
+    cut = _block_of(orders[0], rows_per_block) if block is None else F.col(block)
+    inputs = {f"_in_{k}": v for m in (running, latest, before, previous, smallest) for k, v in m.items()}
     df = df.select(*names, cut.alias(BLOCK), *[v.alias(k) for k, v in inputs.items()])
     position = F.col(orders[0]) if len(orders) == 1 else F.struct(*orders)
 
     summary = []
     for name in running:
         summary.append(F.sum(f"_in_{name}").alias(f"_s_{name}"))
-    for name in latest:
+    for name in (*latest, *before):
         known = F.when(F.col(f"_in_{name}").isNotNull(), position)
         summary.append(F.max_by(f"_in_{name}", known).alias(f"_s_{name}"))
     for name in previous:
@@ -68,13 +76,13 @@ def ordered(
         summary.append(F.min(f"_in_{name}").alias(f"_s_{name}"))
 
     across = Window.partitionBy(*keys).orderBy(BLOCK)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
     carry = []
     for name in running:
-        carry.append(F.sum(f"_s_{name}").over(before).alias(f"_c_{name}"))
-    for name in latest:
-        carry.append(F.last(f"_s_{name}", ignorenulls=True).over(before).alias(f"_c_{name}"))
+        carry.append(F.sum(f"_s_{name}").over(earlier).alias(f"_c_{name}"))
+    for name in (*latest, *before):
+        carry.append(F.last(f"_s_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}"))
     for name in previous:
         carry.append(F.lag(f"_s_{name}").over(across).alias(f"_c_{name}"))
     for name in smallest:
@@ -91,6 +99,9 @@ def ordered(
         )
     for name in latest:
         columns[name] = F.coalesce(F.last(f"_in_{name}", ignorenulls=True).over(so_far), F.col(f"_c_{name}"))
+    for name in before:
+        above = inside.rowsBetween(Window.unboundedPreceding, -1)
+        columns[name] = F.coalesce(F.last(f"_in_{name}", ignorenulls=True).over(above), F.col(f"_c_{name}"))
     for name in previous:
         own = F.lag(F.struct(F.col(f"_in_{name}").alias("v"))).over(inside)
         columns[name] = F.coalesce(own, F.col(f"_c_{name}"))["v"]

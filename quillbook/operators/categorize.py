@@ -17,12 +17,12 @@ MAX_RULE_ROWS = 10_000
 
 
 def rule_pick(rules: Rules = p.CATEGORY_KEYWORDS) -> Column:
-    """'category|confidence' from the description and the two amounts.
+    """'category|confidence' from ``_haystack`` and the two amounts.
 
     The first rule with a keyword inside the lower-cased description wins;
     Salary needs a credit. No join: one alternation per category.
     """
-    haystack = F.concat(F.lit(" "), F.lower("description"), F.lit(" "))
+    haystack = F.col("_haystack")
     credit, debit = F.col("credit_amount"), F.col("debit_amount")
     hits = []
     for category, keywords in rules:
@@ -41,10 +41,11 @@ def rule_pick(rules: Rules = p.CATEGORY_KEYWORDS) -> Column:
 
 def with_rules(rows: DataFrame, rules: Rules = p.CATEGORY_KEYWORDS) -> DataFrame:
     """Add rule_category and rule_confidence."""
+    padded = F.concat(F.lit(" "), F.lower("description"), F.lit(" "))
     return (
-        let(rows, _pick=F.split(rule_pick(rules), "\\|"))
+        let(let(rows, _haystack=padded), _pick=F.split(rule_pick(rules), "\\|"))
         .withColumns({"rule_category": F.col("_pick")[0], "rule_confidence": F.col("_pick")[1].cast("double")})
-        .drop("_pick")
+        .drop("_pick", "_haystack")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillbook.functions import patterns as p
 from quillbook.operators.blocks import ROWS_PER_BLOCK
 from quillbook.operators.checks import checked, running_balance
+from quillbook.session import materialize
 
 # --- fixed values: strategies in order of preference ---------------------------
 STRATEGIES = ("line_window", "box_columns", "pdf_tables")
@@ -22,7 +23,7 @@ def score_candidates(candidates: DataFrame, rows_per_block: int = ROWS_PER_BLOCK
     """
     keys = ["file_name", "strategy"]
     raw = candidates.groupBy(*keys).agg(F.count("*").alias("row_count"))
-    seen = checked(candidates, keys)
+    seen = materialize(checked(candidates, keys))
     counts = seen.groupBy(*keys).agg(
         F.count("*").alias("distinct_count"), F.count_if(F.size("issues") > 0).alias("dropped")
     )

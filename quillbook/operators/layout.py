@@ -118,7 +118,8 @@ def box_transactions(
         _joined=F.array_join("cells", " "),
         extra=F.array_join(F.filter("cells", lambda c: c != ""), " "),
     )
-    parsed = mapped_rows(body, PAGE, strict_parity)
+    body = materialize(body.select(*PAGE, "row_no", "cells", "_header", "_joined", "extra"))
+    parsed = materialize(mapped_rows(body, PAGE, strict_parity))
     whole = append_continuations(parsed, body.select(*PAGE, "row_no", "extra"), PAGE, rows_per_block)
     placed = whole.withColumn("pos", F.col("page_no").cast("long") * PAGE_STRIDE + F.col("pos")).drop("page_no")
     return keep_first(placed, ["file_name"], ["pos", "sub"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money
 from quillbook.functions import patterns as p
-from quillbook.operators.blocks import BLOCK, ROWS_PER_BLOCK, ordered, with_block
+from quillbook.operators.blocks import ROWS_PER_BLOCK, ordered
 from quillbook.operators.lets import let
 from quillbook.session import materialize
 
@@ -24,13 +24,18 @@ def position(page: str = "page_no", line: str = "line_no") -> Column:
     return (F.col(page).cast("long") * PAGE_STRIDE + F.col(line)).alias("pos")
 
 
+FLAGS = ("has_date", "is_noise", "is_balance_label")
+
+
 def line_flags(lines: DataFrame) -> DataFrame:
-    """Add has_date, is_noise (no date) and is_balance_label."""
-    return lines.withColumn("has_date", F.expr(dates.has_date("text"))).withColumns(
-        {
-            "is_noise": F.col("text").rlike(p.NOISE_LINE) & ~F.col("has_date"),
-            "is_balance_label": F.col("text").rlike(p.BALANCE_LABEL),
-        }
+    """Add has_date, is_noise (no date) and is_balance_label, once per line."""
+    if set(FLAGS) <= set(lines.columns):
+        return lines
+    dated = let(lines, has_date=F.expr(dates.has_date("text")))
+    return let(
+        dated,
+        is_noise=~F.col("has_date") & F.col("text").rlike(p.NOISE_LINE),
+        is_balance_label=F.col("text").rlike(p.BALANCE_LABEL),
     )
 
 
@@ -46,15 +51,11 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
     consumed. A column-header line opens the table unless a section is open.
     A line with a date or a digit is never a title. Pages start afresh.
     """
-    title = F.when(
-        ~F.expr(dates.has_date("text")) & ~F.expr(money.has_money("text")), _matched_title()
-    )
-    flagged = lines.withColumn("_title", title).withColumn(
-        "_switch",
-        F.when(F.col("_title").isNotNull(), F.col("_title")).when(F.col("text").rlike(p.SUMMARY_TITLE), F.lit("")),
-    )
-    flagged = flagged.withColumn(
-        "_header", F.when(F.col("_switch").isNull() & F.col("text").rlike(p.TABLE_HEADER), F.col("line_no"))
+    flagged = line_flags(lines)
+    title = F.when(~F.col("has_date") & ~F.expr(money.has_money("text")), _matched_title())
+    flagged = let(flagged, _switch=F.coalesce(title, F.when(F.col("text").rlike(p.SUMMARY_TITLE), F.lit(""))))
+    flagged = let(
+        flagged, _header=F.when(F.col("_switch").isNull() & F.col("text").rlike(p.TABLE_HEADER), F.col("line_no"))
     )
     carried = ordered(
         flagged,
@@ -75,7 +76,7 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
     return (
         carried.filter("_switch IS NULL")
         .withColumn("region", region)
-        .select(*lines.columns, "region")
+        .select(*lines.columns, "region", *[f for f in FLAGS if f not in lines.columns])
     )
 
 
@@ -85,21 +86,20 @@ def split_parts(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     The primary part is the table without noise. A file with no table line at
     all falls back to every line that is neither noise nor any kind of title.
     """
-    noise = F.col("text").rlike(p.NOISE_LINE) & ~F.expr(dates.has_date("text"))
-    roles = let(section_roles(lines, rows_per_block), _noise=noise, pos=position())
-    roles = materialize(roles.select("file_name", "pos", "text", "region", "_noise"))
-    in_table = (F.col("region") == "table") & ~F.col("_noise")
+    roles = section_roles(lines, rows_per_block).select("file_name", position(), "text", "region", *FLAGS)
+    roles = materialize(roles)
+    in_table = (F.col("region") == "table") & ~F.col("is_noise")
     tables = roles.groupBy("file_name").agg(F.coalesce(F.max(in_table), F.lit(False)).alias("_has_table"))
     part = (
         F.when(in_table, PRIMARY)
         .when(F.col("region").isin(*SECTIONS), F.col("region"))
         .when(
-            ~F.col("_has_table") & ~F.col("_noise") & ~F.col("text").rlike(p.SUMMARY_TITLE) & _matched_title().isNull(),
+            ~F.col("_has_table") & ~F.col("is_noise") & ~F.col("text").rlike(p.SUMMARY_TITLE) & _matched_title().isNull(),
             PRIMARY,
         )
     )
     # a section line of a table-less file is read twice: with its section and with the rest
-    also_primary = F.col("region").isin(*SECTIONS) & ~F.col("_has_table") & ~F.col("_noise") & (
+    also_primary = F.col("region").isin(*SECTIONS) & ~F.col("_has_table") & ~F.col("is_noise") & (
         ~F.col("text").rlike(p.SUMMARY_TITLE) & _matched_title().isNull()
     )
     placed = roles.join(tables, "file_name").select(
@@ -107,75 +107,67 @@ def split_parts(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
         F.explode(F.filter(F.array(part, F.when(also_primary, PRIMARY)), lambda x: x.isNotNull())).alias("part"),
         "pos",
         "text",
+        *FLAGS,
     )
     return placed
 
 
-def _chunks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the pieces that share a start into one squeezed chunk."""
-    pieces = F.array_sort(F.collect_list(F.struct("pos", "_sub", "text")))
-    joined = F.array_join(F.transform(pieces, lambda c: c["text"]), " ")
-    return (
-        df.groupBy(*keys, "_start")
-        .agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("chunk"))
-        .select(*keys, F.col("_start.pos").alias("pos"), F.col("_start.sub").alias("sub"), "chunk")
-    )
-
+def text_chunks(
+    parts: DataFrame, keys: list[str], ways: tuple[int, ...] = (0, 1), rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Chunks of text that may be one row each: keys, way, pos, sub, chunk.
 
-def line_chunks(parts: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """One chunk per dated line, followed by the undated lines below it.
+    way 0, by line: a dated line and the undated lines below it. Lines up to
+    the first header line, balance labels and noise are left out.
+    way 1, by date: the text from each date token to the next, across lines.
 
-    Lines up to the first header line, balance labels and noise are left out.
+    Both need one pass: every line learns the dated line it follows, is cut
+    into pieces that name the line they belong to, and pieces are joined.
     """
     compact = F.upper(F.regexp_replace("text", r"\s+", " "))
     is_header = compact.contains("DATE") & compact.rlike("|".join(p.HEADER_LABELS))
-    flagged = line_flags(parts)
     kept = ~F.col("is_balance_label") & ~F.col("is_noise")
-    carried = ordered(
-        flagged,
+    placed = ordered(
+        line_flags(parts),
         keys,
         "pos",
-        smallest={"_first_head": F.when(is_header, F.col("pos"))},
-        latest={"_at": F.when(kept & F.col("has_date"), F.col("pos"))},
+        smallest={"_head": F.when(is_header, F.col("pos"))},
+        latest={"_row": F.when(kept & F.col("has_date"), F.col("pos"))},
+        before={"_dated": F.when(F.col("has_date"), F.col("pos"))},
         rows_per_block=rows_per_block,
     )
-    pieces = (
-        carried.filter("NOT is_balance_label AND NOT is_noise")
-        .filter("_at > coalesce(_first_head, -1)")
-        .select(
-            *keys,
-            F.struct(F.col("_at").alias("pos"), F.lit(0).alias("sub")).alias("_start"),
-            "pos",
-            F.lit(0).alias("_sub"),
-            "text",
+    shape = "named_struct('way', {0}, 'start', {1}, 'back', {2}, 'sub', {3}, 'text', {4})"
+    line_piece = shape.format("0", "if(_row > coalesce(_head, -1), _row, NULL)", "0", "0", "text")
+    by_line = f"if(is_balance_label OR is_noise, array(), array({line_piece}))"
+    # 'back' counts date tokens from the end of their line: later lines join token 0
+    date_piece = shape.format("1", "if(i = 0, _dated, pos)", "if(i = 0, 0, size(_cut) - 1 - i)", "i", "s")
+    by_date = f"transform(_cut, (s, i) -> {date_piece})"
+    cut = F.when(F.col("has_date"), F.split(F.regexp_replace("text", p.DATE, "\u0001$1"), "\u0001")).otherwise(
+        F.array("text")
+    )
+    chosen = {(0, 1): f"concat({by_line}, {by_date})", (0,): by_line, (1,): by_date}[tuple(ways)]
+    placed = let(placed, _cut=cut, **{c: F.col(c) for c in ("text", "_row", "_head", "_dated")})
+    pieces = placed.select(*keys, "pos", F.inline(F.expr(chosen))).filter("start IS NOT NULL AND text <> ''")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "sub", "text")))
+    joined = F.array_join(F.transform(listed, lambda c: c["text"]), " ")
+    return (
+        pieces.groupBy(*keys, "way", "start", "back")
+        .agg(
+            F.max(F.when(F.col("pos") == F.col("start"), F.col("sub"))).alias("sub"),
+            F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("chunk"),
         )
+        .select(*keys, "way", F.col("start").alias("pos"), "sub", "chunk")
     )
-    return _chunks(pieces, keys)
 
 
-def _segments(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each line cut at its date tokens; the piece before the first has sub 0."""
-    marked = F.regexp_replace("text", p.DATE, "\u0001$1")
-    return parts.select(*keys, "pos", F.posexplode(F.split(marked, "\u0001")).alias("_sub", "text")).filter(
-        "_sub > 0 OR text <> ''"
-    )
+def line_chunks(parts: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Row chunks by line: keys, pos, sub, chunk."""
+    return text_chunks(parts, keys, (0,), rows_per_block).drop("way")
 
 
 def date_windows(parts: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """The text from each date token to the next one, across lines."""
-    segments = with_block(_segments(parts, keys), "pos", rows_per_block).withColumnRenamed(BLOCK, "_cut")
-    carried = ordered(
-        segments,
-        keys,
-        ["pos", "_sub"],
-        latest={
-            "_start": F.when(
-                F.col("_sub") > 0, F.struct(F.col("pos").alias("pos"), F.col("_sub").alias("sub"))
-            )
-        },
-        block="_cut",
-    )
-    return _chunks(carried.filter("_start IS NOT NULL"), keys)
+    """Row chunks by date token: keys, pos, sub, chunk."""
+    return text_chunks(parts, keys, (1,), rows_per_block).drop("way")
 
 
 def count_bad_dates(windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from quillbook.functions import dates, money, text
 from quillbook.functions import patterns as p
 from quillbook.operators.blocks import ROWS_PER_BLOCK
 from quillbook.operators.lets import let
-from quillbook.operators.lines import PRIMARY, date_windows, line_chunks
+from quillbook.operators.lines import FLAGS, PRIMARY, text_chunks
+from quillbook.session import materialize
 
 VALUES = ("date", "description", "debit_amount", "credit_amount", "balance")
 EDGE = r"^[ \-|:/]+|[ \-|:/]+$"
@@ -30,21 +31,24 @@ def split_chunk(df: DataFrame, strict_parity: bool = False) -> DataFrame:
     df = let(df, _words=F.filter(F.split("_rest", " "), lambda w: w != ""))
 
     following = r"get(_words, i + 1)"
-    before = r"get(_words, i - 1)"
-    blocked = (
-        rf"{money.is_clock('w')} OR w rlike r'^\d{{9,}}$' OR "
-        rf"(i > 0 AND coalesce({before} rlike r'{p.REFERENCE_LABEL}', false) AND w rlike r'^\d{{1,8}}$')"
-    )
+    labelled = rf"(i > 0 AND get(_words, i - 1) rlike r'{p.REFERENCE_LABEL}')"
+    # most words hold no digit; plain decimals and integers need no closer look
+    strength = rf"""CASE
+        WHEN NOT w rlike '[0-9]' THEN ''
+        WHEN w rlike r'^\d+\.\d{{1,2}}$' THEN 'strong'
+        WHEN w rlike r'^\d+$' THEN if(length(w) > 8 OR {labelled}, '', 'weak')
+        ELSE {money.money_strength('w')} END"""
     df = let(
         df,
+        _words=F.col("_words"),
         _found=F.expr(f"""filter(transform(_words, (w, i) -> named_struct(
             'i', i, 'word', w,
             'mark', if(coalesce({following} rlike r'(?i)^(cr|dr)$', false), {following}, NULL),
-            'strength', CASE WHEN {blocked} THEN '' ELSE {money.money_strength('w')} END)),
+            'strength', {strength})),
             c -> c.strength <> '')"""),
     )
-    df = let(df, _strong=F.expr("filter(_found, c -> c.strength = 'strong')"))
-    df = let(df, _pool=F.expr("if(size(_strong) > 0, _strong, _found)"))
+    strong = "filter(_found, c -> c.strength = 'strong')"
+    df = let(df, _pool=F.expr(f"if(exists(_found, c -> c.strength = 'strong'), {strong}, _found)"))
     df = let(df, _chosen=F.expr("slice(_pool, greatest(size(_pool) - 2, 1), 3)"))
     marked = "if(c.mark IS NULL, c.word, concat(c.word, ' ', c.mark))"
     return let(
@@ -100,14 +104,19 @@ def extract_transactions(
 ) -> DataFrame:
     """Parse text by lines and by date windows; per key the reading with more
     distinct rows wins, lines on a tie."""
-    by_line = line_chunks(parts, keys, rows_per_block).withColumn("_way", F.lit(0))
-    windows = date_windows(parts, keys, rows_per_block).filter(~F.col("chunk").rlike(p.BALANCE_LABEL))
-    both = by_line.unionByName(windows.withColumn("_way", F.lit(1)))
-    parsed = keep_first(parse_chunks(both, [*keys, "_way"], strict_parity), [*keys, "_way"], ["pos", "sub"])
-    counts = parsed.groupBy(*keys).agg(
+    both = text_chunks(parts, keys, (0, 1), rows_per_block)
+    both = both.filter((F.col("way") == 0) | ~F.col("chunk").rlike(p.BALANCE_LABEL))
+    # most chunks come out the same both ways and are parsed once
+    ways: list = [F.min(F.when(F.col("way") == i, F.col("sub"))).alias(f"_sub{i}") for i in (0, 1)]
+    once = both.groupBy(*keys, "pos", "chunk").agg(*ways).withColumn("sub", F.lit(0))
+    parsed = parse_chunks(once, [*keys, "_sub0", "_sub1"], strict_parity)
+    ways = F.array(*[F.struct(F.lit(i).alias("_way"), F.col(f"_sub{i}").alias("sub")) for i in (0, 1)])
+    listed = parsed.drop("sub").select("*", F.inline(ways)).filter("sub IS NOT NULL").drop("_sub0", "_sub1")
+    distinct = materialize(keep_first(listed, [*keys, "_way"], ["pos", "sub"]))
+    counts = distinct.groupBy(*keys).agg(
         F.when(F.count_if(F.col("_way") == 1) > F.count_if(F.col("_way") == 0), 1).otherwise(0).alias("_way")
     )
-    return parsed.join(counts, [*keys, "_way"], "left_semi").drop("_way")
+    return distinct.join(counts, [*keys, "_way"], "left_semi").select(*keys, "pos", "sub", *VALUES)
 
 
 def check_triplets(lines: DataFrame, strict_parity: bool = False) -> DataFrame:
@@ -146,7 +155,7 @@ def parse_parts(parts: DataFrame, strict_parity: bool = False, rows_per_block: i
     texts = (
         parts.filter("part <> 'checks'")
         .withColumn("_unit", F.lit(-1).cast("long"))
-        .unionByName(unread.select("file_name", "part", "pos", "text", unit))
+        .unionByName(unread.select("file_name", "part", "pos", "text", *FLAGS, unit))
     )
     generic = extract_transactions(texts, keys, strict_parity, rows_per_block).drop("_unit")
     zero = F.expr(money.ZERO)

@@ -13,6 +13,7 @@ from quillbook.functions import patterns as p
 from quillbook.operators.blocks import ROWS_PER_BLOCK, ordered
 from quillbook.operators.lets import let
 from quillbook.operators.rows import parse_chunks
+from quillbook.session import materialize
 
 ROLES = ("date", "description", "debit", "credit", "balance", "amount")
 
@@ -46,7 +47,7 @@ def header_mapping(cells: str) -> str:
 
 def with_mapping(rows: DataFrame, cells: str = "cells") -> DataFrame:
     """Add ``mapping`` to rows that could be headers (a cell names a date)."""
-    maybe = f"exists({cells}, c -> lower(c) like '%date%')"
+    maybe = f"exists({cells}, c -> c rlike '(?i)date')"
     return let(rows, mapping=F.expr(f"CASE WHEN {maybe} THEN {header_mapping(cells)} END"))
 
 
@@ -142,11 +143,13 @@ def table_transactions(
     ).filter("_header IS NULL OR row_no > _header.row_no")
     rows = let(rows, _joined=F.array_join("cells", " "), extra=F.array_join(F.filter("cells", lambda c: c != ""), " "))
     rows = rows.filter(~(F.col("_joined").rlike(p.NOISE_LINE) & ~F.expr(dates.has_date("_joined"))))
+    rows = materialize(rows.select(*keys, "row_no", "cells", "_header", "_joined", "extra"))
     by_column = mapped_rows(rows.filter("_header IS NOT NULL"), keys, strict_parity)
     as_text = rows.filter("_header IS NULL").select(
         *keys, F.col("row_no").alias("pos"), F.lit(0).alias("sub"), F.col("_joined").alias("chunk")
     )
     parsed = by_column.unionByName(parse_chunks(as_text, keys, strict_parity).select(by_column.columns))
+    parsed = materialize(parsed)
     return append_continuations(parsed, rows.select(*keys, "row_no", "extra"), keys, rows_per_block)
 
 

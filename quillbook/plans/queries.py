@@ -339,7 +339,7 @@ def classify_nb(spark, sf):
 
 @query
 def classify_hybrid(spark, sf):
-    classified = categorize.classify(derived.transactions(spark, sf), _built_in_model(spark))
+    classified = categorize.classify(materialize(derived.transactions(spark, sf)), _built_in_model(spark))
     return classified.select(
         "file_name", "seq", "description", "category", "classification_method", F.round("confidence", 6).alias("confidence")
     )
