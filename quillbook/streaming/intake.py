@@ -42,8 +42,6 @@ def process_uploads(batch: DataFrame, batch_id: int, folder: str) -> None:
     lines = lines_of_text(batch.select("file_name", "text")).select(
         "file_name", F.lit(1).alias("page_no"), "line_no", "text"
     )
-    if lines.isEmpty():
-        return
     result = process_statements(lines)
     result.transactions.write.mode("overwrite").parquet(f"{folder}/transactions/batch={batch_id}")
     counts = result.statements.select("file_name", "transaction_count", "validation_status")
