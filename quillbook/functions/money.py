@@ -42,7 +42,10 @@ def to_amount(x: str, strict_parity: bool = False) -> str:
         bare = rf"regexp_replace({x}, r'(?i)₹|rs\.?|inr', '')"
     bare = rf"trim(regexp_replace({bare}, r'(?i)\s*(?:CR|DR)\s*$', ''))"
     number = f"try_cast(trim(translate({bare}, ',()', '')) as {MONEY_TYPE})"
-    return f"coalesce(CASE WHEN {bare} rlike r'^\\(.*\\)$' THEN -abs({number}) ELSE {number} END, {ZERO})"
+    return (
+        f"coalesce(CASE WHEN {x} rlike r'^\\d+\\.\\d{{1,2}}$' THEN try_cast({x} as {MONEY_TYPE}) "
+        f"WHEN {bare} rlike r'^\\(.*\\)$' THEN -abs({number}) ELSE {number} END, {ZERO})"
+    )
 
 
 def cell_amount(x: str, strict_parity: bool = False) -> str:
@@ -57,7 +60,7 @@ def cell_amount(x: str, strict_parity: bool = False) -> str:
 
 
 def credit_words(x: str) -> str:
-    return f"(upper({x}) rlike '{'|'.join(CREDIT_WORDS)}')"
+    return f"({x} rlike '(?iu){'|'.join(CREDIT_WORDS)}')"
 
 
 def split_amounts(description: str, amounts: str, flag: str) -> str:

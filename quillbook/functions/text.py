@@ -38,13 +38,17 @@ def decode_utf8(content: Column) -> Column:
     return F.regexp_replace(F.try_validate_utf8(F.decode(content, "utf-8")), "^\ufeff", "")
 
 
-def clean_description(x: str) -> str:
-    """SQL text: squeezed, without a leading date token, never empty."""
-    squeezed = rf"trim(regexp_replace({x}, r'\s+', ' '))"
+def described(x: str) -> str:
+    """SQL text: squeezed text without a leading date token, never empty."""
     return rf"""coalesce(nullif(CASE
-      WHEN {squeezed} rlike r'{DATE_AT_START}'
-        THEN regexp_replace(regexp_replace({squeezed}, r'{DATE_AT_START}', ''), r'^[ \-|:]+|[ \-|:]+$', '')
-      ELSE {squeezed} END, ''), 'Transaction')"""
+      WHEN {x} rlike r'{DATE_AT_START}'
+        THEN regexp_replace(regexp_replace({x}, r'{DATE_AT_START}', ''), r'^[ \-|:]+|[ \-|:]+$', '')
+      ELSE {x} END, ''), 'Transaction')"""
+
+
+def clean_description(x: str) -> str:
+    """SQL text: the same for text that is not squeezed yet."""
+    return described(rf"trim(regexp_replace({x}, r'\s+', ' '))")
 
 
 def word_tokens(x: str) -> str:

@@ -124,8 +124,7 @@ def text_chunks(
     Both need one pass: every line learns the dated line it follows, is cut
     into pieces that name the line they belong to, and pieces are joined.
     """
-    compact = F.upper(F.regexp_replace("text", r"\s+", " "))
-    is_header = compact.contains("DATE") & compact.rlike("|".join(p.HEADER_LABELS))
+    is_header = F.col("text").rlike("(?iu)DATE") & F.col("text").rlike("(?iu)" + "|".join(p.HEADER_LABELS))
     kept = ~F.col("is_balance_label") & ~F.col("is_noise")
     placed = ordered(
         line_flags(parts),

@@ -34,17 +34,16 @@ def split_chunk(df: DataFrame, strict_parity: bool = False) -> DataFrame:
     labelled = rf"(i > 0 AND get(_words, i - 1) rlike r'{p.REFERENCE_LABEL}')"
     # most words hold no digit; plain decimals and integers need no closer look
     strength = rf"""CASE
-        WHEN NOT w rlike '[0-9]' THEN ''
         WHEN w rlike r'^\d+\.\d{{1,2}}$' THEN 'strong'
         WHEN w rlike r'^\d+$' THEN if(length(w) > 8 OR {labelled}, '', 'weak')
         ELSE {money.money_strength('w')} END"""
     df = let(
         df,
         _words=F.col("_words"),
-        _found=F.expr(f"""filter(transform(_words, (w, i) -> named_struct(
+        _found=F.expr(f"""filter(transform(_words, (w, i) -> if(w rlike '[0-9]', named_struct(
             'i', i, 'word', w,
             'mark', if(coalesce({following} rlike r'(?i)^(cr|dr)$', false), {following}, NULL),
-            'strength', {strength})),
+            'strength', {strength}), NULL)),
             c -> c.strength <> '')"""),
     )
     strong = "filter(_found, c -> c.strength = 'strong')"
@@ -75,8 +74,9 @@ def parse_chunks(chunks: DataFrame, keys: list[str], strict_parity: bool = False
     split = let(
         split,
         _sides=F.expr(money.split_amounts("description", "amounts", "flag")),
-        description=F.expr(text.clean_description("description")),
+        _squeezed=F.expr(dates.squeezed("description")),
     )
+    split = let(split.drop("description"), _sides=F.col("_sides"), description=F.expr(text.described("_squeezed")))
     return split.select(*keys, "pos", "sub", "date", "description", "_sides.*").filter(
         "debit_amount <> 0 OR credit_amount <> 0"
     )
