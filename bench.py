@@ -48,6 +48,7 @@ def main() -> None:
         start = time.perf_counter()
         drain(build())
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),
