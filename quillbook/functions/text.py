@@ -33,11 +33,6 @@ def lines_of_text(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def decode_utf8(content: Column) -> Column:
-    """Text of UTF-8 bytes without a byte-order mark."""
-    return F.regexp_replace(F.try_validate_utf8(F.decode(content, "utf-8")), "^\ufeff", "")
-
-
 def described(x: str) -> str:
     """SQL text: squeezed text without a leading date token, never empty."""
     return rf"""coalesce(nullif(CASE
