@@ -130,6 +130,11 @@ class Tree:
         return "".join(self.texts)
 
 
+def whole(number: float | None) -> int:
+    """A number as Arrow's arrays hand it over, beside nulls as a float; null is 0."""
+    return 0 if number is None or number != number else int(number)
+
+
 def with_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``docs`` with n_tokens and the trees tree_chars and tree_tokens of each text.
 
@@ -167,7 +172,7 @@ def recount(trees: DataFrame, edits_col: str, text_col: str = "text", chars_col:
             tree, encoded = Tree(text, c, t), 0
             for e in todo if todo is not None else ():
                 if e is not None:
-                    encoded += tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "", sent.value)
+                    encoded += tree.edit(whole(e["start"]), whole(e["length"]), e["text"] or "", sent.value)
             rows.append((tree.tokens[1], tree.chars[1], encoded))
         return pd.DataFrame(rows, columns=["a", "b", "c"], dtype="int64")
 
