@@ -2,12 +2,13 @@
 
 ``strict_parity`` reproduces the readings that lose or flip money: glued
 currency words read as 0, and cells of nine or more digits, decimals counted,
-read as 0. The default reads both.
+read as 0. The default reads both, whatever their number of digits; only a plain
+run of nine or more digits, without separators or decimals, is a reference code.
 """
 
 from __future__ import annotations
 
-from quillbook.functions.patterns import CLOCK_TIME, CREDIT_WORDS, CURRENCY_PREFIX, MONEY
+from quillbook.functions.patterns import CLOCK_TIME, CREDIT_WORDS, CURRENCY_PREFIX, MONEY, MONEY_OF_ANY_SIZE
 
 MONEY_TYPE = "decimal(18,2)"
 ZERO = f"cast(0 as {MONEY_TYPE})"
@@ -50,11 +51,13 @@ def to_amount(x: str, strict_parity: bool = False) -> str:
 
 def cell_amount(x: str, strict_parity: bool = False) -> str:
     """Value of the first money token of a table cell, 0 for reference codes."""
-    token = f"regexp_extract({x}, r'{MONEY}', 0)"
-    counted = token if strict_parity else rf"regexp_replace({token}, r'\.\d{{1,2}}(?=\D|$)', '')"
-    digits = rf"length(regexp_replace({counted}, r'\D', ''))"
+    token = f"regexp_extract({x}, r'{MONEY if strict_parity else MONEY_OF_ANY_SIZE}', 0)"
+    if strict_parity:
+        amount = rf"length(regexp_replace({token}, r'\D', '')) < 9"
+    else:
+        amount = rf"NOT {token} rlike r'^\D*\d{{9,}}\D*$'"
     return (
-        f"CASE WHEN {x} rlike r'\\d' AND {digits} < 9 "
+        f"CASE WHEN {x} rlike r'\\d' AND {amount} "
         f"THEN {to_amount(token, strict_parity)} ELSE {ZERO} END"
     )
 

@@ -29,6 +29,7 @@ MONEY = (
     r"(?:\.\d{1,2})?"
     r"\)?(?:\s*(?:cr|dr))?"
 )
+MONEY_OF_ANY_SIZE = MONEY.replace(r"\d{1,8}", r"\d+")
 CLOCK_TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?"
 CURRENCY_PREFIX = r"^(?:₹|rs\.?|inr|usd|eur)\b"
 REFERENCE_LABEL = (

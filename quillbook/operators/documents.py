@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money
 from quillbook.functions import patterns as p
-from quillbook.functions.text import clean_line
+from quillbook.functions.text import WHITE_SPACE, clean_line
 from quillbook.operators.blocks import ROWS_PER_BLOCK, ordered
 from quillbook.session import materialize
 
@@ -112,30 +111,45 @@ def elements_of_text(documents: DataFrame) -> DataFrame:
     )
 
 
-def chunk_windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of one long text: each ends after the last paragraph, sentence,
-    line or word break beyond its middle; the next starts ``overlap`` earlier."""
-    found, start, length = [], 0, len(text)
-    while start < length:
-        stop = start + size
-        if stop < length:
-            for mark in BREAKS:
-                at = text.rfind(mark, start, stop)
-                if at - start > size * 0.5:
-                    stop = at + len(mark)
-                    break
-        found.append(text[start:stop].strip())
-        start = max(stop - overlap, 0)
-    return found
+def _stride_pattern(size: str, overlap: str) -> str:
+    """SQL text of a regex whose matches are the strides from one window's start to the next.
 
-
-def _windows_udf(size: int, overlap: int):
-    @F.pandas_udf("array<string>")
-    def windows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: None if t is None else chunk_windows(t, size, overlap))
-
-    return windows
+    A window with more text behind it ends after the last break of the first
+    kind that occurs beyond its middle; the stride is the window less the
+    overlap, so the break is looked for that much further on.
+    """
+    kinds = []
+    for mark in BREAKS:
+        n = len(mark)
+        least, most = f"({size} div 2 + 1)", f"({size} - {n})"
+        behind = f"format_string('.{{%d,%d}}(?=.{{%d}}%s)', {least} + {n} - {overlap}, {size} - {overlap}, {overlap} - {n}, {_quoted(mark)})"
+        for inside in range(n):  # an overlap shorter than the mark: the stride takes in the mark's beginning
+            head, tail = mark[:n - inside], mark[n - inside:]
+            cut = f"format_string('.{{%d,%d}}%s(?=%s)', {least}, {most}, {_quoted(head)}, {_quoted(tail)})"
+            behind = f"if({overlap} = {inside}, {cut}, {behind})"
+        kinds.append(f"if({least} > {most}, '(?!)', {behind})")
+    broken = f"concat_ws('|', {', '.join(kinds)})"
+    return f"concat(format_string('(?s)(?:(?=.{{%d}})(?:', {size} + 1), {broken}, format_string(')|.{{1,%d}})', {size} - {overlap}))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace(".", "[.]").replace("\n", "\\n") + "'"
+
+
+def windows(text: str, size: str, overlap: str) -> str:
+    """SQL text of the array of a text's windows: each ends after the last
+    paragraph, sentence, line or word break beyond its middle; the next starts
+    ``overlap`` earlier. White space at both ends is cut off.
+
+    The text is cut into strides once, and each is extended by the characters
+    that follow, so the cost is linear in its length.
+    """
+    shortest = f"greatest({size} div 2 + 2 - {overlap}, 1)"
+    behind = f"left(array_join(slice(strides, i + 2, {overlap} div {shortest} + 2), ''), {overlap})"
+    strides = f"regexp_extract_all({text}, {_stride_pattern(size, overlap)}, 0)"
+    blanks = WHITE_SPACE.translate({ord(c): f"\\u{ord(c):04x}" for c in WHITE_SPACE}) + "\\u00a0"
+    extended = f"transform(strides, (s, i) -> btrim(concat(s, {behind}), '{blanks}'))"
+    return f"transform(array({strides}), strides -> {extended})[0]"
 
 
 def chunk_structured(
@@ -147,15 +161,12 @@ def chunk_structured(
     """Chunks of elements (document_id, element_no, text, …): short elements
     stay whole, long ones are windowed. chunk_index runs through the document;
     chunk_id is derived from both.
-
-    Only long elements are sent to Python, and each on its own.
     """
     if not 0 <= overlap < size / 2:
         raise ValueError("overlap must be less than half the chunk size")
     keep = [c for c in elements.columns if c != "text"]
-    long_text = F.when(F.length("text") > size, F.col("text"))
-    pieces = elements.withColumn("_long", _windows_udf(size, overlap)(long_text))
-    pieces = materialize(pieces.select(*keep, F.coalesce("_long", F.array("text")).alias("_pieces")))
+    cut = F.when(F.length("text") > size, F.expr(windows("text", str(int(size)), str(int(overlap))))).otherwise(F.array("text"))
+    pieces = materialize(elements.select(*keep, cut.alias("_pieces")))
     placed = ordered(
         pieces, ["document_id"], "element_no",
         running={"_upto": F.size("_pieces").cast("long")}, rows_per_block=rows_per_block,
@@ -212,16 +223,19 @@ def once_per_content(uploads: DataFrame, work: Callable[[DataFrame], DataFrame])
     return hashed.drop("text").join(work(distinct), "content_hash", "left")
 
 
-def unique_names(names: list[object]) -> list[str]:
-    """Column names made distinct: blanks become Column, repeats get _2, _3."""
-    seen: dict[str, int] = {}
-    result = []
-    for name in names:
-        base = str(name).strip() if name is not None else ""
-        base = "Column" if base.lower() in {"", "nan"} else base
-        seen[base] = seen.get(base, 0) + 1
-        result.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return result
+def unique_names(names: Column) -> Column:
+    """Column names made distinct: blanks become Column, repeats get _2, _3.
+
+    The rank of a name among its equals so far is its suffix.
+    """
+    plain = F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit(""))))
+    filled = F.transform(plain, lambda n: F.when(F.lower(n).isin("", "nan"), "Column").otherwise(n))
+
+    def ranked(name: Column, at: Column) -> Column:
+        rank = F.size(F.filter(F.slice(filled, 1, at + 1), lambda other: other == name))
+        return F.when(rank > 1, F.concat(name, F.lit("_"), rank)).otherwise(name)
+
+    return F.transform(filled, ranked)
 
 
 def reroute(statements: DataFrame, parsed: DataFrame, documents: DataFrame, key: str = "file_name") -> DataFrame:
@@ -232,10 +246,6 @@ def reroute(statements: DataFrame, parsed: DataFrame, documents: DataFrame, key:
 
 def register_chunk_function(spark: SparkSession) -> None:
     """SQL table function chunk_text(text, size, overlap): chunk_no, text."""
-
-    @F.udtf(returnType="chunk_no: int, text: string")
-    class ChunkText:
-        def eval(self, text: str, size: int, overlap: int):
-            yield from enumerate(chunk_windows(text or "", size, overlap))
-
-    spark.udtf.register("chunk_text", ChunkText)
+    body = windows("coalesce(chunk_text.text, '')", "chunk_text.size", "chunk_text.overlap")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(text STRING, size INT, overlap INT)
+        RETURNS TABLE(chunk_no INT, text STRING) RETURN SELECT pos, col FROM (SELECT posexplode({body}))""")

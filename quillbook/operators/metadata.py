@@ -1,7 +1,8 @@
 """Letterhead fields of a statement, read from all of its lines.
 
 A label may be broken over several lines, so each line is read together with
-the four that follow it; the earliest line that matches decides.
+as many that follow it as the longest label has places to break; the earliest
+line that matches decides.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from quillbook.operators.blocks import ROWS_PER_BLOCK, following
 from quillbook.operators.lets import let
 from quillbook.operators.lines import position
 
-LOOK_AHEAD = 4
+#: Lines are trimmed and never blank, so a label breaks at each of its blanks once at most: a dated balance
+#: ("closing / balance / as / of / January / 31 / , / 2025 amount") spans the most lines, eight.
+LOOK_AHEAD = 7
 CANDIDATE = r"(?i)bank|acc|a/c|name|holder|primary|ifsc|statement|balance|[a-z]{4}0[a-z0-9]{6}|opening|closing|beginning|ending|starting"
 
 

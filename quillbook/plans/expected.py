@@ -494,14 +494,15 @@ VECTORS = """chunks_ AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[])
 means AS (SELECT label, i, avg(x) AS m FROM (
   SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM chunks_) GROUP BY label, i),
 asked AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS q FROM means GROUP BY label),
-distances AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(v, q), 6) AS distance FROM chunks_, asked),"""
+distances AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(v, q), 12) AS raw, round(1 - list_cosine_similarity(v, q), 6) AS distance FROM chunks_, asked),"""
 EXPECTED["vec_topk"] = f"""WITH {VECTORS} ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM distances)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, chunk_id) AS rank FROM distances)
 SELECT query_id, chunk_id, distance, rank FROM ranked WHERE rank <= 5"""
 EXPECTED["vec_topk_filtered"] = f"""WITH {VECTORS} kept AS (
   SELECT * FROM distances WHERE chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1)), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM kept)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, chunk_id) AS rank FROM kept)
 SELECT query_id, chunk_id, distance, rank FROM ranked WHERE rank <= 10 AND CASE WHEN distance <= 2 THEN 1 - distance ELSE 0 END >= 0.1"""
+EXPECTED["vec_topk_lsh"] = """SELECT DISTINCT CAST(label AS BIGINT) AS query_id, CAST(10 AS BIGINT) AS n_hits, true AS recalled FROM embeddings"""
 TOP4 = f"""{DOCS}, terms AS (
   SELECT document_id, list_distinct(list_transform(list_filter(regexp_split_to_array(trim(string_split(text, chr(10))[1]), '\\s+'),
     lambda w: length(w) > 2), lambda w: lower(w))) AS words FROM docs),

@@ -467,7 +467,7 @@ def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _ranked(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
+    return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -484,15 +484,19 @@ def vec_topk_filtered(spark, sf):
 
 @query
 def vec_topk_lsh(spark, sf):
+    """By question: hits of the approximate search, and whether nine tenths of the exact ones are among them."""
     chunks, asked = _vectors(spark, sf)
-    norm = F.expr("sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x))")
-    unit = asked.withColumn("_n", norm).select("query_id", F.expr("transform(embedding, x -> x / _n)").alias("embedding"))
-    return _ranked(retrieval.vector_top_k_lsh(chunks, unit))
+    asked = materialize(asked)
+    found = retrieval.vector_top_k_lsh(chunks, asked, 10).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = retrieval.vector_top_k(chunks, asked, 10).select("query_id", "chunk_id", F.lit(1).alias("exact")).join(
+        found, ["query_id", "chunk_id"], "full")
+    return both.groupBy("query_id").agg(
+        F.count("found").alias("n_hits"), (F.expr("count_if(found = 1 AND exact = 1)") >= 0.9 * F.count("exact")).alias("recalled"))
 
 
 def _asked_chunks(spark, sf) -> DataFrame:
     docs = derived.documents(spark, sf)
-    asked = docs.select("document_id", F.get(F.split("text", "\n"), F.lit(0)).alias("question"))
+    asked = docs.select(F.col("document_id").alias("query_id"), "document_id", F.get(F.split("text", "\n"), F.lit(0)).alias("question"))
     chunks = documents.chunk_fixed(docs.select("document_id", "filename", "text"))
     return retrieval.keyword_top(chunks, asked)
 

@@ -10,13 +10,25 @@ from quillbook.functions.text import lines_of_text
 from quillbook.operators.checks import statement_summary, with_issues
 from quillbook.operators.documents import file_extension, loader, looks_like_statement, upload_error
 
-# a quoted field may hold line breaks and doubled quotes
-CSV_RECORD = r'([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)(?:\r\n|\r|\n|\z)'
-CSV_FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+# a quoted field may hold line breaks and doubled quotes. A quote opens only at the start of a field;
+# an unclosed one runs to the end, and what follows a closing one is text
+CSV_VALUE = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+|\z)|[^",\r\n][^,\r\n]*+|)'
+CSV_RECORD = rf"({CSV_VALUE}(?:,{CSV_VALUE})*+)(?:\r\n|\r|\n|\z)"
+CSV_FIELD = rf",({CSV_VALUE})"
+CSV_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = p.UPLOAD_LIMIT_BYTES) -> DataFrame:
-    """file_name, size, content (null when over the limit, which is not read)."""
+# the largest value that a binary column holds
+LARGEST_FILE = (1 << 31) - 1
+
+
+def read_files(spark: SparkSession, path: str, max_bytes: int = LARGEST_FILE) -> DataFrame:
+    """file_name, size, content (null when over ``max_bytes``, which is not read).
+
+    Uploads have a limit of their own (``documents.upload_error``); a batch
+    reads files of any size that a column can hold. Every file ends in the rows
+    or in the rejects of ``text_statements`` and ``delimited_rows``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
     kept = files.filter(F.col("length") <= max_bytes).select(name, F.col("length").alias("size"), "content")
@@ -52,26 +64,37 @@ def text_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     feeds break lines, not pages. Files without a line are rejects."""
     texts = files.filter("content IS NOT NULL").select("file_name", decoded("content").alias("text"))
     lines = lines_of_text(texts).select("file_name", F.lit(1).alias("page_no"), "line_no", "text")
-    empty = texts.filter(~F.col("text").rlike(r"[^\s ]")).select(
-        "file_name", F.lit("The uploaded bank statement is empty.").alias("error")
-    )
-    return lines, empty
+    return lines, unread(files).unionByName(_blank(texts))
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """file_name, error of the files whose content was left out for their size."""
+    error = F.concat(F.lit("File exceeds size limit ("), "size", F.lit(" bytes)"))
+    return files.filter("content IS NULL").select("file_name", error.alias("error"))
+
+
+def _blank(texts: DataFrame) -> DataFrame:
+    blank = ~F.col("text").rlike(r"[^\s ]")
+    return texts.filter(blank).select("file_name", F.lit("The uploaded bank statement is empty.").alias("error"))
 
 
-def delimited_rows(files: DataFrame) -> DataFrame:
-    """file_name, row_no (from 1, blank rows counted), cells of ragged CSV files."""
+def delimited_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): file_name, row_no (from 1, blank rows counted), cells of
+    ragged CSV files; files over the limit or without a character are rejects."""
     texts = files.filter("content IS NOT NULL").select("file_name", decoded("content", "mark").alias("text"))
     records = texts.select(
         "file_name", F.posexplode(F.regexp_extract_all("text", F.lit(CSV_RECORD), F.lit(1))).alias("at", "record")
     )
     fields = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(CSV_FIELD), F.lit(1))
+    inner = lambda f: F.replace(F.regexp_extract(f, CSV_QUOTED, 1), F.lit('""'), F.lit('"'))
     unquoted = F.transform(
         fields,
-        lambda f: F.when(f.startswith('"'), F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')).otherwise(f),
+        lambda f: F.when(f.startswith('"'), F.concat(inner(f), F.regexp_extract(f, CSV_QUOTED, 2))).otherwise(f),
     )
-    return records.filter("record <> ''").select(
+    rows = records.filter("record <> ''").select(
         "file_name", (F.col("at") + 1).cast("long").alias("row_no"), unquoted.alias("cells")
     )
+    return rows, unread(files).unionByName(_blank(texts))
 
 
 def export_rows(transactions: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,15 +8,27 @@ from quillbook.plans.corpus import answer_questions, index_documents
 from quillbook.sources import files
 
 
-def test_windows_cover_the_text():
-    text = " ".join(f"w{i:04d}" for i in range(700)) + ". End."
-    pieces = documents.chunk_windows(text, 1000, 200)
-    assert all(len(x) <= 1000 for x in pieces) and text.startswith(pieces[0]) and text.endswith(pieces[-1])
-    at = 0
-    for piece in pieces:
-        start = text.index(piece)
-        assert start <= at
-        at = max(at, start + len(piece))
+def windows_by_rule(text, size, overlap):
+    """From all places of all breaks: a window ends after the last one of the first kind that has any beyond its middle."""
+    places = {m: [k for k in range(len(text)) if text.startswith(m, k)] for m in documents.BREAKS}
+    ends, start = [], 0
+    while start < len(text):
+        last = [max((k + len(m) for k in places[m] if start + size / 2 < k <= start + size - len(m)), default=0) for m in documents.BREAKS]
+        ends.append((start, next(filter(None, last), start + size) if start + size < len(text) else start + size))
+        start = ends[-1][1] - overlap
+    return [text[a:b].strip() for a, b in ends]
+
+
+def test_windows_follow_the_rule(spark):
+    draw = random.Random(1)
+    rows = []
+    for _ in range(200):
+        size = draw.choice([5, 8, 10, 20, 50])
+        overlap = min(draw.choice([0, 1, 2, 3, size // 2 - 1]), (size - 1) // 2)
+        rows.append(("".join(draw.choice("ab. \n") for _ in range(draw.randint(1, 200))), size, overlap))
+    df = spark.createDataFrame(rows, "text string, size int, overlap int")
+    got = df.select("*", F.expr(documents.windows("text", "size", "overlap")).alias("w")).collect()
+    assert all(r.w == windows_by_rule(r.text, r.size, r.overlap) for r in got)
 
 
 @pytest.mark.parametrize("rows_per_block", [1, 1 << 16])
@@ -44,13 +58,26 @@ def test_files(spark, tmp_path):
     assert kinds["c.txt"] == (14, True, "pdf", False) and kinds["big.txt"] == (2000, True, "text", True)
     lines, empty = files.text_statements(read)
     assert [(r.page_no, r.text) for r in lines.filter("file_name = 'c.txt'").orderBy("line_no").collect()] == [(1, "%PDF one"), (1, "two")]
-    assert [r.file_name for r in empty.collect()] == ["b.txt"]
-    rows = files.delimited_rows(read.filter("file_name = 'a.csv'")).orderBy("row_no").collect()
+    rejected = {r.file_name: r.error for r in empty.collect()}
+    assert rejected == {"b.txt": "The uploaded bank statement is empty.", "big.txt": "File exceeds size limit (2000 bytes)"}
+    assert lines.join(empty, "file_name").count() == 0 and {r.file_name for r in lines.select("file_name").distinct().collect()} == {"a.csv", "c.txt"}
+    assert files.read_files(spark, str(tmp_path)).filter("content IS NULL").count() == 0
+    rows = files.delimited_rows(read.filter("file_name = 'a.csv'"))[0].orderBy("row_no").collect()
     assert [(r.row_no, r.cells) for r in rows] == [
         (1, ["Date", "Desc, x", "Amount"]), (3, ["01/02/2024", 'two\nlines "q"', "5.00"]), (4, ["", "", ""]), (5, ["a", "b"]),
     ]
 
 
+def test_stray_quotes(spark):
+    text = 'a,5" pipe,1\nb,plain,2\nc,6" pipe,3\n"say ""hi""",x"y"z,4\n"glued"tail,,5\n"open, and\nnever closed'
+    read = spark.createDataFrame([("q.csv", text.encode()), ("e.csv", b" \n"), ("l.csv", None)], "file_name string, content binary").withColumn("size", F.lit(1))
+    rows, rejects = files.delimited_rows(read)
+    assert [r.cells for r in rows.filter("file_name = 'q.csv'").orderBy("row_no").collect()] == [
+        ["a", '5" pipe', "1"], ["b", "plain", "2"], ["c", '6" pipe', "3"], ['say "hi"', 'x"y"z', "4"], ["gluedtail", "", "5"],
+        ["open, and\nnever closed"]]
+    assert sorted(r.file_name for r in rejects.collect()) == ["e.csv", "l.csv"]
+
+
 def test_exports_agree(spark, tmp_path):
     df = spark.sql(
         "SELECT 'f' file_name, 1L pos, 0 sub, '2024-01-01' date, 'A, \"b\"' description, 5.00BD debit_amount, 0.00BD credit_amount,"
@@ -91,6 +118,18 @@ def test_exact_top_k_against_numpy(spark):
         retrieval.vector_top_k(frame("chunk_id", stored), frame("query_id", asked), 21)
 
 
+def test_near_ties_and_repeated_questions(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 5e-4]), (2, [1.0, 0.0])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [3.0, 0.0])], "query_id long, embedding array<double>")
+    assert retrieval.vector_top_k(chunks, asked, 1).first().chunk_id == 2  # nearer by 1.25e-7
+    assert [r.chunk_id for r in retrieval.vector_top_k_lsh(chunks, asked, 2).orderBy("rank").collect()] == [2, 1]  # of another length
+    parts = spark.createDataFrame([(1, n, f"some words {n}") for n in range(6)], "document_id long, chunk_no long, text string")
+    twice = spark.createDataFrame([(10, 1, "words"), (11, 1, "words")], "query_id long, document_id long, question string")
+    assert sorted(r.query_id for r in retrieval.keyword_top(parts, twice).collect()) == [10] * 4 + [11] * 4
+    odd = spark.createDataFrame([(1, 0, None, "a"), (1, 1, "s", None), (1, 2, "s", "b")], "document_id long, n long, section string, text string")
+    assert retrieval.section_context(odd, "n").first().context == "[]\na\n\n[s]\n\n\n[s]\nb"
+
+
 def test_add_chunks_needs_equal_ids(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 1, {"p": "1"}), ("b", 1, {})], "chunk_id string, document_id long, m map<string,string>")
     vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, embedding array<float>")

@@ -52,7 +52,7 @@ def test_amounts(spark, token, default, parity):
 
 def test_cells_of_nine_digits(spark):
     cells = ["1000000.00", "999999.00", "", "12345678901", "-7.00"]
-    assert values(spark, money.cell_amount("x"), cells) == [Decimal(v) for v in ("1000000", "999999", "0", "12345678", "7")]
+    assert values(spark, money.cell_amount("x"), cells) == [Decimal(v) for v in ("1000000", "999999", "0", "0", "7")]
     assert values(spark, money.cell_amount("x", True), cells)[0] == 0
 
 
@@ -85,5 +85,14 @@ def test_sql_functions(spark):
     assert (row.d, row.a, row.w) == ("2024-09-03", Decimal("-5.00"), ["int", "pd"])
 
 
-def test_unique_names():
-    assert unique_names(["a", None, " a", "nan", "a", ""]) == ["a", "Column", "a_2", "Column_2", "a_3", "Column_3"]
+def test_unique_names(spark):
+    df = spark.createDataFrame([(["a", None, " a", "nan", "a", ""],), ([],), (None,)], "n array<string>")
+    got = [r.names for r in df.select(unique_names(F.col("n")).alias("names")).collect()]
+    assert got == [["a", "Column", "a_2", "Column_2", "a_3", "Column_3"], [], None]
+
+
+def test_large_cell_amounts(spark):
+    cells = ["123,456,789.00", "123456789.00", "1,00,00,00,000.50", "(987654321.25)", "123456789", "12345678", "Rs. 999999999999.99", "TXN 1234567890123", "x"]
+    got = spark.createDataFrame([(c,) for c in cells], "x string").select(F.expr(money.cell_amount("x")), F.expr(money.cell_amount("x", True))).collect()
+    assert [float(r[0]) for r in got] == [123456789.0, 123456789.0, 1000000000.5, -987654321.25, 0, 12345678, 999999999999.99, 0, 0]
+    assert [float(r[1]) for r in got][4:6] == [12345678, 12345678]  # the first eight digits, as a parity reading
