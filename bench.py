@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from quillbook.operators import rows, lines, tables  # noqa: E402
 from quillbook.plans.queries import QUERIES  # noqa: E402
 from quillbook.plans.statement import process_statements  # noqa: E402
-from quillbook.session import local_session  # noqa: E402
+from quillbook.session import local_session, scratch  # noqa: E402
 from quillbook.sources import derived  # noqa: E402
 
 NAMES = (
@@ -46,7 +46,8 @@ def main() -> None:
     seconds = {}
     for name, build in runs.items():
         start = time.perf_counter()
-        drain(build())
+        with scratch(spark):
+            drain(build())
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({

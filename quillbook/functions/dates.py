@@ -22,10 +22,6 @@ def has_date(x: str) -> str:
     return f"({x} rlike r'{DATE}')"
 
 
-def starts_with_date(x: str) -> str:
-    return f"({x} rlike r'{DATE_AT_START}')"
-
-
 def _part(x: str, n: int) -> str:
     return f"element_at(split({x}, '[-/. ]'), {n})"
 

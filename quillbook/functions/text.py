@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbook.functions.patterns import ANALYSIS_MISSING, DATE_AT_START
+from quillbook.functions.patterns import ANALYSIS_MISSING, DATE_AT_START, SECONDARY_TEXT
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\f\\u000b\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 EDGE_MARKS = "^[ \\-|:/]+|[ \\-|:/]+$"
@@ -19,10 +19,6 @@ def clean_line(col: Column | str) -> Column:
     return F.btrim(F.replace(col, F.lit("\u00a0"), F.lit(" ")), F.lit(WHITE_SPACE))
 
 
-def squeeze(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
-
-
 def lines_of_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per non-blank line: every column but ``text``, plus line_no, text."""
     keep = [c for c in df.columns if c != text]
@@ -56,8 +52,7 @@ def render_cell(x: str) -> str:
 
 
 def description_ok(x: str) -> str:
-    from quillbook.functions.patterns import SECONDARY_TEXT
-
+    """SQL text: a description that is there, of sensible length, and no secondary text."""
     return (
         f"({x} IS NOT NULL AND trim({x}) <> '' AND length({x}) <= 300 "
         f"AND NOT {x} rlike r'{SECONDARY_TEXT}')"

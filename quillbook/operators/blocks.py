@@ -4,8 +4,8 @@ A window over ``file_name`` alone puts a whole file into one task. Here the
 rows of a key are cut into blocks of its order column: windows run inside a
 block, one summary row per block is carried across the blocks of the key, and
 the two are joined on (key, block). The unit of work is a block, whatever the
-size of the key; the summaries of the largest key are ``rows / ROWS_PER_BLOCK``
-rows.
+size of the key; a key has a summary row for each ``ROWS_PER_BLOCK`` positions
+that it uses, a page of a statement being one at least.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 16
 BLOCK = "_block"
+#: Key and block in one value that is never null: rows whose key is null keep together like others.
+KEY = "_key"
 
 
 def _block_of(order: str, rows_per_block: int) -> Column:
     return F.expr(f"cast({order} as bigint) div {int(rows_per_block)}")
 
 
-def with_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return df.withColumn(BLOCK, _block_of(order, rows_per_block))
+def _key(keys: Sequence[str], block: Column) -> Column:
+    return F.struct(*[F.col(k) for k in keys], block.alias(BLOCK)).alias(KEY)
 
 
 def ordered(
@@ -61,7 +63,7 @@ def ordered(
 
     cut = _block_of(orders[0], rows_per_block) if block is None else F.col(block)
     inputs = {f"_in_{k}": v for m in (running, latest, before, previous, smallest) for k, v in m.items()}
-    df = df.select(*names, cut.alias(BLOCK), *[v.alias(k) for k, v in inputs.items()])
+    df = df.select(*names, _key(keys, cut), *[v.alias(k) for k, v in inputs.items()])
     position = F.col(orders[0]) if len(orders) == 1 else F.struct(*orders)
 
     summary = []
@@ -75,9 +77,9 @@ def ordered(
     for name in smallest:
         summary.append(F.min(f"_in_{name}").alias(f"_s_{name}"))
 
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    everything = Window.partitionBy(*[F.col(KEY)[k] for k in keys])
+    across = everything.orderBy(F.col(KEY)[BLOCK])
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*keys)
     carry = []
     for name in running:
         carry.append(F.sum(f"_s_{name}").over(earlier).alias(f"_c_{name}"))
@@ -87,9 +89,9 @@ def ordered(
         carry.append(F.lag(f"_s_{name}").over(across).alias(f"_c_{name}"))
     for name in smallest:
         carry.append(F.min(f"_s_{name}").over(everything).alias(f"_c_{name}"))
-    carried = df.groupBy(*keys, BLOCK).agg(*summary).select(*keys, BLOCK, *carry)
+    carried = df.groupBy(KEY).agg(*summary).select(KEY, *carry)
 
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*orders)
+    inside = Window.partitionBy(KEY).orderBy(*orders)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {}
     for name in running:
@@ -107,7 +109,7 @@ def ordered(
         columns[name] = F.coalesce(own, F.col(f"_c_{name}"))["v"]
     for name in smallest:
         columns[name] = F.col(f"_c_{name}")
-    joined = df.join(carried, [*keys, BLOCK])
+    joined = df.join(carried, KEY)
     return joined.select(*[n for n in names if n not in columns], *[c.alias(n) for n, c in columns.items()])
 
 
@@ -123,23 +125,23 @@ def following(
     """Add ``name``: array of the next ``count`` values of ``value`` after each row."""
     keys = list(keys)
     names = list(df.columns)
-    df = with_block(df, order, rows_per_block)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    df = df.select(*names, _key(keys, _block_of(order, rows_per_block)))
+    inside = Window.partitionBy(KEY).orderBy(order)
     ahead = inside.rowsBetween(1, count)
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    across = Window.partitionBy(*[F.col(KEY)[k] for k in keys]).orderBy(F.col(KEY)[BLOCK])
 
     heads = (
-        df.select(*keys, BLOCK, order, value)
+        df.select(KEY, order, value)
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") <= count)
-        .groupBy(*keys, BLOCK)
+        .groupBy(KEY)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_head"))
         .withColumn("_later", F.flatten(F.collect_list("_head").over(across.rowsBetween(1, count))))
-        .select(*keys, BLOCK, F.slice(F.transform("_later", lambda h: h["v"]), 1, count).alias("_later"))
+        .select(KEY, F.slice(F.transform("_later", lambda h: h["v"]), 1, count).alias("_later"))
     )
     own = F.collect_list(value).over(ahead)
     return (
-        df.join(heads, [*keys, BLOCK])
+        df.join(heads, KEY)
         .withColumn("_own", own)
         .withColumn(name, F.slice(F.concat("_own", "_later"), 1, count))
         .select(*names, name)

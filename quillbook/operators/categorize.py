@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from quillbook.functions import patterns as p
 from quillbook.functions.text import word_tokens
 from quillbook.operators.lets import let
+from quillbook.session import materialize
 
 Rules = Sequence[tuple[str, Sequence[str]]]
-MAX_RULE_ROWS = 10_000
 
 
 def rule_pick(rules: Rules = p.CATEGORY_KEYWORDS) -> Column:
@@ -49,19 +49,39 @@ def with_rules(rows: DataFrame, rules: Rules = p.CATEGORY_KEYWORDS) -> DataFrame
     )
 
 
-def rules_from_table(rules: DataFrame) -> list[tuple[str, list[str]]]:
-    """Rules of a table (priority, category, keyword), for ``with_rules``.
+def with_rule_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``with_rules`` for rules of any number in a table (priority, category, keyword).
 
-    Rules become one expression, so the table must be small; its size is
-    checked before it is read.
+    A category stands at its smallest priority. Distinct descriptions and
+    keywords meet on the keyword's first three characters (all, if it has
+    fewer), and then the whole keyword is looked for; no rule meets a
+    description that has no such characters in common with it.
     """
-    rows = rules.orderBy("priority", "keyword").limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"more than {MAX_RULE_ROWS} rule rows")
-    grouped: dict[str, list[str]] = {}
-    for row in rows:
-        grouped.setdefault(row["category"], []).append(row["keyword"])
-    return list(grouped.items())
+    ranks = rules.groupBy("category").agg(F.min("priority").alias("rank"))
+    keyed = rules.join(ranks, "category").select(
+        "rank", "category", F.lower("keyword").alias("keyword"), F.left(F.lower("keyword"), F.lit(3)).alias("gram")
+    ).filter("keyword <> ''").distinct()
+    padded = F.concat(F.lit(" "), F.lower("description"), F.lit(" "))
+    grams = F.expr(
+        "array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(padded) - n + 1), i -> substr(padded, i, n)))))")
+    texts = rows.select("description").distinct().filter("description IS NOT NULL").withColumn("padded", padded)
+    first = F.min(F.struct("rank", "category"))
+    hits = (
+        texts.select("description", "padded", F.explode(grams).alias("gram")).join(keyed, "gram")
+        .filter(F.contains("padded", "keyword")).groupBy("description")
+        .agg(first.alias("_any"), F.min(F.when(F.col("category") != "Salary", F.struct("rank", "category"))).alias("_plain"))
+    )
+    credit, debit = F.col("credit_amount"), F.col("debit_amount")
+    hit = F.when(credit > 0, F.col("_any.category")).otherwise(F.col("_plain.category"))
+    category = (
+        F.when(hit.isNotNull(), hit).when((credit > 0) & (debit == 0), "Income").when(debit > 0, "Other Expense").otherwise("Unknown")
+    )
+    confidence = (
+        F.when(hit == "Transfer", p.TRANSFER_CONFIDENCE).when(hit.isNotNull(), p.RULE_CONFIDENCE)
+        .when(category == "Unknown", p.UNKNOWN_CONFIDENCE).otherwise(p.FALLBACK_CONFIDENCE)
+    )
+    return rows.join(hits, "description", "left").select(
+        *rows.columns, category.alias("rule_category"), confidence.cast("double").alias("rule_confidence"))
 
 
 def training_texts(spark: SparkSession) -> DataFrame:
@@ -145,16 +165,21 @@ def classify(rows: DataFrame, model: NaiveBayesTables, rules: Rules = p.CATEGORY
     """Add category, classification_method, confidence.
 
     A rule of .72 or more stands; otherwise the model decides from .45 on, and
-    the rule's fallback below that. Only undecided descriptions are scored.
+    the rule's fallback below that. Rows that a rule decides take no part in the
+    scoring and in its join.
     """
-    ruled = with_rules(rows, rules)
-    undecided = ruled.filter(F.col("rule_confidence") < p.RULE_ACCEPT).select("description")
-    scored = score_descriptions(undecided, model)
-    joined = ruled.join(scored, "description", "left")
-    by_model = (F.col("rule_confidence") < p.RULE_ACCEPT) & (F.col("nb_confidence") >= p.MODEL_ACCEPT)
-    return joined.select(
-        *rows.columns,
-        F.when(by_model, F.col("nb_category")).otherwise(F.col("rule_category")).alias("category"),
-        F.when(by_model, "machine_learning").otherwise("heuristic").alias("classification_method"),
-        F.when(by_model, F.col("nb_confidence")).otherwise(F.col("rule_confidence")).alias("confidence"),
-    )
+    ruled = materialize(with_rules(rows, rules))
+    decided = ruled.filter(F.col("rule_confidence") >= p.RULE_ACCEPT)
+    undecided = ruled.filter(F.col("rule_confidence") < p.RULE_ACCEPT)
+    scored = score_descriptions(undecided.select("description"), model)
+    by_model = F.coalesce(F.col("nb_confidence") >= p.MODEL_ACCEPT, F.lit(False))
+
+    def chosen(df: DataFrame, category: Column, method: Column, confidence: Column) -> DataFrame:
+        return df.select(*rows.columns, category.alias("category"), method.alias("classification_method"), confidence.alias("confidence"))
+
+    return chosen(decided, F.col("rule_category"), F.lit("heuristic"), F.col("rule_confidence")).unionByName(chosen(
+        undecided.join(scored, "description", "left"),
+        F.when(by_model, F.col("nb_category")).otherwise(F.col("rule_category")),
+        F.when(by_model, "machine_learning").otherwise("heuristic"),
+        F.when(by_model, F.col("nb_confidence")).otherwise(F.col("rule_confidence")),
+    ))

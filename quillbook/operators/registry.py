@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbook.operators.retrieval import check_bound
@@ -96,24 +96,39 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
 
 
-def add_chunks(chunks: DataFrame, embeddings: DataFrame, path: str, scalars: Column | None = None) -> None:
-    """Append chunks with their vectors to the store at ``path``.
+def store_bucket() -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(STORE_BUCKETS)).cast("int").alias("bucket")
+
 
-    Both sides must have the same chunk ids, else nothing is written. Empty
-    metadata values are dropped. Buckets of document_id are the partitions, so
-    a restriction to documents reads only theirs.
+def add_chunks(chunks: DataFrame, embeddings: DataFrame, path: str, scalars: Column | None = None, run: str | None = None) -> None:
+    """Add chunks with their vectors to the store at ``path``.
+
+    Both sides must have the same chunk ids, each once, else nothing is written.
+    Empty metadata values are dropped. A ``run`` that is written again replaces
+    itself, so a retry adds nothing twice. Buckets of document_id are the
+    partitions; their rows are dealt out before the write, a bucket to a few
+    tasks, so files are few and a large document is not one task.
     """
-    ids = "chunk_id"
-    odd = chunks.select(ids).join(embeddings.select(ids), ids, "left_anti").unionByName(
-        embeddings.select(ids).join(chunks.select(ids), ids, "left_anti")
-    )
+    sides = chunks.select("chunk_id", F.lit(1).alias("c"), F.lit(0).alias("e")).unionByName(
+        embeddings.select("chunk_id", F.lit(0).alias("c"), F.lit(1).alias("e")))
+    odd = sides.groupBy("chunk_id").agg(F.sum("c").alias("c"), F.sum("e").alias("e")).filter("c <> 1 OR e <> 1")
     if not odd.isEmpty():
-        raise ValueError("Chunks and embeddings must have the same ids")
-    joined = chunks.join(embeddings, ids)
+        raise ValueError("Chunks and embeddings must have the same ids, each once")
+    joined = chunks.join(embeddings, "chunk_id")
     if scalars is not None:
         joined = joined.withColumn("metadata", F.map_filter(scalars, lambda _, v: v.isNotNull()))
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(STORE_BUCKETS)).cast("int")
-    joined.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
+    dealt = joined.withColumn("bucket", store_bucket()).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/run={run or uuid.uuid4().hex}")
+
+
+def stored_chunks(spark: SparkSession, path: str, document_ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of the store; those of given documents are read from their buckets alone."""
+    stored = spark.read.parquet(path)
+    if document_ids is None:
+        return stored
+    wanted = document_ids.select("document_id").distinct().withColumn("bucket", store_bucket())
+    buckets = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # 64 at most
+    return stored.filter(F.col("bucket").isin(buckets)).join(wanted.select("document_id"), "document_id", "left_semi")
 
 
 # --- structured queries --------------------------------------------------------
@@ -173,5 +188,3 @@ def spending_by_category(rows: DataFrame) -> DataFrame:
         F.avg("debit_amount").alias("average_debit"),
         F.count("*").alias("n"),
     )
-
-

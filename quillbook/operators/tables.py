@@ -153,13 +153,6 @@ def table_transactions(
     return append_continuations(parsed, rows.select(*keys, "row_no", "extra"), keys, rows_per_block)
 
 
-def joined_lines(cells: DataFrame) -> DataFrame:
-    """The same rows as text lines, cells joined by ' | '."""
-    rows = clean_cells(cells)
-    line = text.clean_line(F.array_join("cells", " | "))
-    return rows.select("file_name", F.lit(1).alias("page_no"), F.col("row_no").alias("line_no"), line.alias("text"))
-
-
 def row_chunks(cells: DataFrame, section: Column) -> DataFrame:
     """One text chunk per row: non-null cells joined by ' | ', with its section
     and an excerpt. Rows count from 1; empty ones are dropped."""

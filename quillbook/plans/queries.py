@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money, text
+from quillbook.functions.patterns import CATEGORY_KEYWORDS
 from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, registry, retrieval, rows, tables
 from quillbook.plans.statement import StatementTables, process_statements
 from quillbook.session import materialize
@@ -67,6 +68,14 @@ def classify_rules(spark, sf):
     return ruled.select("file_name", "seq", "description", "rule_category", "rule_confidence")
 
 
+@query
+def classify_rule_table(spark, sf):
+    rules = [(n, category, word) for n, (category, words) in enumerate(CATEGORY_KEYWORDS) for word in words]
+    table = spark.createDataFrame(rules, "priority int, category string, keyword string")
+    ruled = categorize.with_rule_table(derived.transactions(spark, sf), table)
+    return ruled.select("file_name", "seq", "description", "rule_category", "rule_confidence")
+
+
 @query
 def running_balance(spark, sf):
     seen = checks.running_balance(_bad_rows(spark, sf))
@@ -90,8 +99,7 @@ def txn_dedupe(spark, sf):
 
 @query
 def issue_counts(spark, sf):
-    seen = checks.checked(_bad_rows(spark, sf))
-    return seen.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return checks.issue_counts(_bad_rows(spark, sf), ["file_name"])
 
 
 @query
@@ -595,7 +603,8 @@ def analysis_json(spark, sf):
         F.array("lang", "source").alias("key_findings"), F.col("lang").alias("classification"),
     )
     prose = F.concat(F.lit("Here is the analysis:\n```json\n"), F.to_json(reply), F.lit("\n```\nDone {ok}."))
-    said = docs.select("doc_id", F.when(F.col("lang") == "en", prose).otherwise("no object here").alias("reply"))
+    bare = F.concat(F.lit("no object here: "), F.translate("text", "{}", ""))
+    said = docs.select("doc_id", F.when(F.col("doc_id") % 5 != 4, prose).otherwise(bare).alias("reply"))
     parsed = said.select("doc_id", text.parse_analysis("reply").alias("a"))
     return parsed.select(
         "doc_id", F.col("a").isNotNull().alias("parsed"), "a.document_type", "a.executive_summary", "a.detailed_summary",
@@ -640,6 +649,47 @@ def conv_list(spark, sf):
     return listed.select("conversation_id", "updated_at", "title", text.list_label("title").alias("label"))
 
 
+@query
+def session_docs(spark, sf):
+    docs = derived.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("session_id"), F.col("doc_id").alias("created_at"))
+    return registry.session_documents(docs, "src1").select("document_id", "created_at")
+
+
+@query
+def doc_lookup(spark, sf):
+    state = registry.registry_state(derived.registry_log(spark, sf))
+    return registry.document(state, 7).select("document_id", "status", "chunk_count", "error_message")
+
+
+@query
+def latest_events(spark, sf):
+    log = derived.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    return registry.latest_by_key(log, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query
+def delete_convs(spark, sf):
+    messages = _messages(spark, sf)
+    conversations = messages.groupBy("conversation_id").agg(F.count("*").alias("n"))
+    gone = messages.filter("role = 'system'").select("conversation_id")
+    left, said = registry.delete_conversations(conversations, messages, gone)
+    counted = said.groupBy("conversation_id").agg(F.count("*").alias("kept"))
+    return left.join(counted, "conversation_id", "full").select("conversation_id", "n", "kept")
+
+
+@query
+def panel_upload(spark, sf):
+    sized = derived.documents(spark, sf).withColumn("size", F.col("size") * 4096)
+    return sized.select("document_id", F.coalesce(documents.panel_upload_error("filename", "size"), F.lit("ok")).alias("error"))
+
+
+@query
+def description_quality(spark, sf):
+    rows_ = derived.table(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
+    return rows_.select("doc_id", F.expr(text.description_ok("line")).alias("ok"))
+
+
 @query
 def delete_docs(spark, sf):
     chunks = documents.chunk_fixed(derived.documents(spark, sf).select("document_id", "text"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end.
+
+    For a job that writes its results inside too: a batch, a run, a benchmark.
+    """
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, folders = _scopes.open
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
@@ -59,5 +81,7 @@ def materialize(df: DataFrame) -> DataFrame:
     they join, and do not parse again; the table outlives lost executors.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    for folders in getattr(_scopes, "open", [])[-1:]:
+        folders.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

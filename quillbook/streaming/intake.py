@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from quillbook.functions.text import lines_of_text
 from quillbook.plans.statement import process_statements
+from quillbook.session import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,6 +40,11 @@ def process_uploads(batch: DataFrame, batch_id: int, folder: str) -> None:
     Each batch writes below its own id, so a batch that is run again after a
     failure overwrites itself and nothing is written twice.
     """
+    with scratch(batch.sparkSession):
+        _process(batch, batch_id, folder)
+
+
+def _process(batch: DataFrame, batch_id: int, folder: str) -> None:
     lines = lines_of_text(batch.select("file_name", "text")).select(
         "file_name", F.lit(1).alias("page_no"), "line_no", "text"
     )

@@ -18,6 +18,14 @@ def fixture_rows():
     return rows
 
 
+def test_rows_with_a_null_key_stay(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 4, 6), ("a", 1, 7)], "k string, at long, v int")
+    got = ordered(df, ["k"], "at", running={"total": F.col("v").cast("long")}, previous={"prev": F.col("v")}, rows_per_block=1)
+    assert sorted((str(r.k), r.at, r.total, r.prev) for r in got.collect()) == [("None", 1, 5, None), ("None", 4, 11, 5), ("a", 1, 7, None)]
+    ahead = following(df, ["k"], "at", "v", 2, rows_per_block=1)
+    assert sorted((str(r.k), r.at, list(r.following)) for r in ahead.collect()) == [("None", 1, [6]), ("None", 4, []), ("a", 1, [])]
+
+
 @pytest.mark.parametrize("rows_per_block", [1, 3, 1 << 16])
 def test_ordered_equals_a_plain_fold(spark, rows_per_block):
     rows = fixture_rows()

@@ -134,8 +134,13 @@ def test_add_chunks_needs_equal_ids(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 1, {"p": "1"}), ("b", 1, {})], "chunk_id string, document_id long, m map<string,string>")
     vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, embedding array<float>")
     store = str(tmp_path / "store")
-    registry.add_chunks(chunks, vectors, store, F.col("m"))
-    assert spark.read.parquet(store).count() == 2
+    for _ in range(2):  # a retry replaces its own run
+        registry.add_chunks(chunks, vectors, store, F.col("m"), run="one")
+        assert registry.stored_chunks(spark, store).count() == 2
+    wanted = spark.createDataFrame([(1,), (5,)], "document_id long")
+    assert registry.stored_chunks(spark, store, wanted).count() == 2 and registry.stored_chunks(spark, store, wanted.filter("document_id = 5")).count() == 0
+    with pytest.raises(ValueError):
+        registry.add_chunks(chunks.unionByName(chunks), vectors.unionByName(vectors), store)
     with pytest.raises(ValueError):
         registry.add_chunks(chunks, vectors.limit(1), store)
     assert spark.read.parquet(store).count() == 2

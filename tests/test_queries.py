@@ -16,7 +16,7 @@ LONG = {
     "stmt_validation", "validation_checks", "section_recon", "repair_amounts", "check_ledger", "date_windows",
     "line_chunks", "bad_dates", "reroute_docs", "token_txns", "tabular_parse_parity", "stmt_lines", "txn_parse",
 }
-NAMES = [n for n in queries() if os.environ.get("QUILLBOOK_ALL") or n not in LONG]
+NAMES = [n for n in queries() if not n.startswith("op") and n != "pipeline" and (os.environ.get("QUILLBOOK_ALL") or n not in LONG)]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
 
@@ -32,5 +32,6 @@ def test_query_matches_sql(spark, con, name):
 
 def test_registration(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) <= {"vec_topk_lsh", "reroute_docs"}
+    open_ones = {n for n in set(queries()) - set(oracle_sql()) if not n.startswith("op") and n != "pipeline"}
+    assert open_ones <= {"reroute_docs"}
     assert entry(spark).columns == ["category", "total_debit", "total_credit", "average_debit", "n"]
