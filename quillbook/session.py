@@ -7,6 +7,7 @@ import os
 import tempfile
 import threading
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,29 @@ def local_session(cpus: int | str = "*", app: str = "quillbook", shuffle_partiti
     return spark
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Their Python workers then import it wherever the driver was started.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # the driver's own folder: executors fetch the archive from the driver, for as long as it runs
+    folder = _shipped[application] = tempfile.TemporaryDirectory(prefix="quillbook-")
+    archive = f"{folder.name}/{os.path.basename(package)}.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for top, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(top, name)
+                file.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session: the cluster's setting first.
 
