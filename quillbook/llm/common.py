@@ -35,5 +35,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A digest of a row's id and text, equal for rows that share both and never null."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0001")), F.lit("\u0002"), or_empty(text_col)))
+
+
 def or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

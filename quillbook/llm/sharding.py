@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import ROW_BYTES, fresh, numbered, or_empty
+from quillbook.llm.common import ROW_BYTES, fresh, numbered, or_empty, row_key
 from quillbook.session import materialize
 
 GRAIN = 64
@@ -44,8 +44,8 @@ def largest_first(groups: pd.DataFrame, capacity: np.ndarray) -> tuple[pd.DataFr
     return groups.iloc[order], sizes[order]
 
 
-def pack(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(id, size, text_crc32, shard, slot) for every row of ``docs``; all its columns in front when ``carry``.
+def pack(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 16, null counting as empty; slots run from
     0 without gaps in every shard, in the order of the input. Rows with equal
@@ -54,14 +54,40 @@ def pack(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: st
     Repeated rows are rows of their own; null ids are values like others. An empty
     table gives no rows.
     """
-    row, size, tokens, crc, digest, shard, slot = fresh(docs, "row_no", "size", "tokens", "text_crc32", "digest", "shard", "slot")
-    kept = docs.columns if carry else [id_col]
+    rows = assigned(docs, shards, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def packed(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with size, text_crc32, shard and slot; an added column whose name is taken gets an underscore.
+
+    Rows find their slots by id and text, so texts are shuffled once and written
+    nowhere. Rows that share both are interchangeable; they are numbered, and the
+    slots of such rows dealt out by number.
+    """
+    key, nth, *names = fresh(docs, "row_key", "nth", "size", "text_crc32", "shard", "slot")
+    rows = materialize(assigned(docs, shards, id_col, text_col))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    values = [F.col(c).alias(n) for c, n in zip(("size", "text_crc32", "shard", "slot"), names, strict=True)]
+    times = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("size", "text_crc32", "shard", "slot")])
+    out = keyed.join(times.filter("n = 1").select(F.col("key").alias(key), *values), key).select(*docs.columns, *names)
+    repeated = materialize(times.filter("n > 1").select(F.col("key").alias(key)))
+    if not repeated.isEmpty():
+        number = F.row_number().over(Window.partitionBy(key).orderBy(key)).alias(nth)
+        slots = rows.select(F.col("key").alias(key), *values).join(repeated, key, "left_semi").select(key, *names, number)
+        again = keyed.join(repeated, key, "left_semi").select("*", number)
+        out = out.unionByName(again.join(slots, [key, nth]).select(*docs.columns, *names))
+    return out
+
+
+def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, size, text_crc32, shard, slot) per row of ``docs``, without its texts."""
     text = or_empty(text_col)
     base = numbered(docs.select(
-        *kept, (F.octet_length(text).cast("long") + ROW_BYTES).alias(size), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias(tokens),
-        F.crc32(text).alias(crc), F.md5(text).alias(digest)), row)
-    narrow = base.select(
-        F.col(row).alias("row_no"), F.col(size).alias("size"), F.col(tokens).alias("tokens"), F.col(digest).alias("digest"))
+        F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"),
+        (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
+        F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest")), "row_no")
+    narrow = base.select("row_no", "size", "tokens", "digest")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")]
     total = narrow.agg(*sums).first()
     capacity = np.maximum([float(total[c] or 0) / shards for c in SIZES], 1e-9)
@@ -101,6 +127,5 @@ def pack(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: st
         "shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "part").orderBy("row_no")
     slots = rows.join(offsets, ["shard", "part"]).select(
-        F.col("row_no").alias(row), F.col("shard").alias(shard),
-        (F.col("offset") + F.row_number().over(within) - 1).alias(slot))
-    return base.join(slots, row).select(*kept, size, crc, shard, slot)
+        "row_no", "shard", (F.col("offset") + F.row_number().over(within) - 1).alias("slot"))
+    return base.join(slots, "row_no").select("id", "key", "size", "text_crc32", "shard", "slot")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import fresh, numbered, or_empty
+from quillbook.llm.common import fresh, numbered, or_empty, row_key
 from quillbook.session import materialize
 
 CODE_BITS = 23
@@ -31,6 +31,8 @@ GOLAY = 0b101011100011
 MASK = (1 << CODE_BITS) - 1
 #: Hashes whose bits are counted at once; only memory depends on it.
 HASHES_AT_ONCE = 1 << 15
+#: Distinct fingerprints in a task that lays them out over anchors, about.
+PRINTS_A_TASK = 10_000
 
 
 def fingerprint(text: str, shingle_words: int = 3) -> int:
@@ -75,21 +77,30 @@ def error_patterns(reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(every[order[a:b]], weights[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def anchors_of(value: int, reach: int) -> np.ndarray:
-    """All anchors within ``reach`` bits of a fingerprint's lowest 46."""
-    low, high = value & MASK, value >> CODE_BITS & MASK
-    table = error_patterns(reach)
-    (a, a_weights), (b, b_weights) = (table[s] for s in syndromes(np.array([low, high])).tolist())
-    i, j = np.nonzero(a_weights[:, None] + b_weights[None, :] <= reach)
-    return (low ^ a[i]) | (high ^ b[j]) << CODE_BITS
+def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two 23-bit words of each signed fingerprint."""
+    return values & MASK, values >> CODE_BITS & MASK
 
 
-def home(value: int) -> int:
-    """The one anchor within 3 bits of a fingerprint in each of the two codes."""
-    low, high = value & MASK, value >> CODE_BITS & MASK
-    table = error_patterns(RADIUS // 2)
-    a, b = (int(table[s][0][0]) for s in syndromes(np.array([low, high])).tolist())
-    return (low ^ a) | (high ^ b) << CODE_BITS
+def anchors_of(values: np.ndarray, reach: int) -> list[np.ndarray]:
+    """For each fingerprint, all anchors within ``reach`` bits of its lowest 46."""
+    table, out = error_patterns(reach), []
+    low, high = halves(values)
+    for x, y, s, t in zip(low.tolist(), high.tolist(), syndromes(low).tolist(), syndromes(high).tolist(), strict=True):
+        (a, a_weights), (b, b_weights) = table[s], table[t]
+        # ascending weights: what the other half's nearest code word leaves over
+        n = np.searchsorted(a_weights, reach - b_weights[0], "right")
+        m = np.searchsorted(b_weights, reach - a_weights[0], "right")
+        i, j = np.nonzero(a_weights[:n, None] + b_weights[None, :m] <= reach)
+        out.append((x ^ a[i]) | (y ^ b[j]) << CODE_BITS)
+    return out
+
+
+def homes_of(values: np.ndarray) -> np.ndarray:
+    """The one anchor within 3 bits of each fingerprint in both codes."""
+    nearest = np.array([patterns[0] for patterns, _ in error_patterns(RADIUS // 2)], np.int64)
+    low, high = halves(values)
+    return (low ^ nearest[syndromes(low)]) | (high ^ nearest[syndromes(high)]) << CODE_BITS
 
 
 def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
@@ -98,15 +109,16 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"anchor": [home(v) for v in batch.fp.tolist()], "a": batch.fp})
+            yield pd.DataFrame({"anchor": homes_of(batch.fp.to_numpy()), "a": batch.fp})
 
     def at_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
-                some = batch.fp.iloc[at:at + 4096]
-                near = [anchors_of(v, reach) for v in some.tolist()]
-                yield pd.DataFrame({"anchor": np.concatenate(near), "b": np.repeat(some.to_numpy(), [len(n) for n in near])})
+                some = batch.fp.to_numpy()[at:at + 4096]
+                near = anchors_of(some, reach)
+                yield pd.DataFrame({"anchor": np.concatenate(near), "b": np.repeat(some, [len(n) for n in near])})
 
+    prints = prints.repartition(max(1, -(-prints.count() // PRINTS_A_TASK)), "fp")
     homes = prints.select("fp").mapInPandas(at_home, "anchor long, a long")
     met = homes.join(prints.select("fp").mapInPandas(at_anchors, "anchor long, b long"), "anchor")
     return met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
@@ -140,37 +152,51 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
-                    threshold: int = 2, carry: bool = False) -> DataFrame:
-    """Fingerprint and group of every row of ``docs``.
-
-    Returns (id, fp long, component_id, first boolean), one row per row of
-    ``docs``, with all columns of ``docs`` in front of the last three when
-    ``carry``. component_id is the smallest id of the group; ``first`` holds for
-    exactly one row of each group, a row with that id. Rows without text or
-    without words have fingerprint zero and form a group like any other.
-    Repeated rows, and rows that repeat an id, are rows of their own; a null id
-    is never the smallest, unless the group has no other. An empty table gives
-    an empty result. Columns of ``docs`` may have any name.
-    """
-    n_row, n_fp, n_comp, n_first = fresh(docs, "row_no", "fp", "component_id", "first")
-    kept = docs.columns if carry else [id_col]
-    source = docs.select(*kept, fingerprints(or_empty(text_col), shingle_words).alias(n_fp))
-    rows = numbered(source, n_row)
-    narrow = rows.select(F.col(n_fp).alias("fp"), F.col(id_col).alias("id"), F.col(n_row).alias("row_no"))
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, threshold: int) -> DataFrame:
+    """(row_no, id, key, fp, component_id, first) per row of ``docs``, without its texts."""
+    rows = numbered(docs.select(
+        F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"),
+        fingerprints(or_empty(text_col), shingle_words).alias("fp")), "row_no")
     least = F.min(F.struct(F.col("id").isNull(), "id", "row_no"))
-    prints = materialize(narrow.groupBy("fp").agg(least.alias("least")))
+    prints = materialize(rows.groupBy("fp").agg(least.alias("least")))
     roots = components(links(prints, threshold))
     joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("least"))
     by_print = joined.select("fp", "root").join(smallest, "root").select(
-        F.col("fp").alias(n_fp), F.col("least.id").alias(n_comp), F.col("least.row_no").alias("kept_row"))
-    return rows.join(by_print, n_fp).select(
-        *kept, n_fp, n_comp, (F.col(n_row) == F.col("kept_row")).alias(n_first))
+        "fp", F.col("least.id").alias("component_id"), F.col("least.row_no").alias("first_row"))
+    return rows.join(by_print, "fp").select("row_no", "id", "key", "fp", "component_id", (F.col("row_no") == F.col("first_row")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                    threshold: int = 2) -> DataFrame:
+    """Fingerprint and group of every row of ``docs``: (id, fp long, component_id, first boolean).
+
+    component_id is the smallest id of the group; ``first`` holds for exactly one
+    row of each group, a row with that id. Rows without text or without words
+    have fingerprint zero and form a group like any other. Repeated rows, and rows
+    that repeat an id, are rows of their own; a null id is never the smallest,
+    unless the group has no other. An empty table gives an empty result. Columns
+    of ``docs`` may have any name.
+    """
+    return grouped(docs, id_col, text_col, shingle_words, threshold).select(F.col("id").alias(id_col), "fp", "component_id", "first")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                   threshold: int = 2) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, the one with the smallest id; same columns."""
-    grouped = near_duplicates(docs, id_col, text_col, shingle_words, threshold, carry=True)
-    return grouped.filter(F.col(grouped.columns[-1])).select(*docs.columns)
+    """``docs`` with one row of each near-duplicate group, one with the smallest id; same columns.
+
+    The chosen rows are named by id and text, so texts are shuffled once and
+    written nowhere. Of rows that share both, any one stays.
+    """
+    (key,) = fresh(docs, "row_key")
+    rows = grouped(docs, id_col, text_col, shingle_words, threshold)
+    kept = materialize(rows.groupBy("key").agg(F.max("first").alias("first"), F.count("*").alias("n")).filter("first"))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+
+    def rows_of(condition: str) -> DataFrame:
+        return keyed.join(kept.filter(condition).select(F.col("key").alias(key)), key, "left_semi")
+
+    out = rows_of("n = 1").select(*docs.columns)
+    if not kept.filter("n > 1").isEmpty():
+        out = out.unionByName(rows_of("n > 1").dropDuplicates([key]).select(*docs.columns))
+    return out

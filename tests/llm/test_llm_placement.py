@@ -41,20 +41,20 @@ def test_pack_given_documents(spark):
         sizes[r.shard] += r.size
     assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 8
     groups = defaultdict(set)
-    for r in sharding.pack(docs, 8, carry=True).collect():
+    for r in sharding.packed(docs, 8).collect():
         groups[r.text].add(r.shard)
     assert all(len(s) == 1 for s in groups.values())
 
 
 def test_pack_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), ODD)
-    packed = sharding.pack(docs, 6, carry=True)
+    packed = sharding.packed(docs, 6)
     assert packed.columns[:8] == docs.columns and len(set(map(str.lower, packed.columns))) == len(packed.columns)
     rows = packed.collect()
     assert sorted(map(str, (tuple(r)[:8] for r in rows))) == sorted(map(str, odd_rows()))
-    check_packed(sharding.pack(docs, 6).withColumnsRenamed({}).select(
-        "doc_id", *[F.col(c).alias(n) for c, n in zip(sharding.pack(docs, 6).columns[1:], ("size", "text_crc32", "shard", "slot"))]).collect(),
-        [r[1] for r in odd_rows()], 6)
+    check_packed(sharding.pack(docs, 6).collect(), [r[1] for r in odd_rows()], 6)
+    names = [f"c{i}" for i in range(8)] + ["size", "text_crc32", "shard", "slot"]
+    check_packed(packed.toDF(*names).collect(), [r[1] for r in odd_rows()], 6)
     # the copies exceed a shard's rows, so they are cut; no shard has much more than its share of rows
     counts = Counter(r[-2] for r in rows)
     assert max(counts.values()) < 1.5 * len(rows) / 6
@@ -72,7 +72,8 @@ def test_cells_and_few_shards(spark, monkeypatch):
 
 
 def test_pack_empty(spark):
-    assert sharding.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sharding.pack(empty).count() == 0 == sharding.packed(empty).count()
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 50, "b": 3, "c": 7, "d": 1}, {"a": 1}, {"a": 1, "b": 999}])
