@@ -587,6 +587,15 @@ titled AS (SELECT *, regexp_replace(first[1:50], '^\\s+|\\s+$', '', 'g') || CASE
 named AS (SELECT *, trim(CASE WHEN title = '' THEN 'New Chat' ELSE title END) AS shown FROM titled)
 SELECT conv_id AS conversation_id, updated_at, title, CASE WHEN length(shown) > 28 THEN shown[1:25] || '...' ELSE shown END AS label
 FROM named ORDER BY updated_at DESC, conv_id LIMIT 50"""
+EXPECTED["csv_read"] = f"""WITH {CELLS}, nth AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY row_no) AS k FROM cells_)
+SELECT file_name, k + (k - 1) // 10 AS row_no, array_to_string(list_transform(cells, lambda c, i: CASE
+  WHEN i <> 2 THEN c WHEN k % 4 = 1 THEN '5" ' || c WHEN k % 4 = 2 THEN '"x" ' || c WHEN k % 4 = 3 THEN c || chr(10) || 'second, line' ELSE c END), '|') AS cells
+FROM nth"""
+EXPECTED["text_read"] = r"""WITH cut AS (SELECT 'doc_' || doc_id || '.txt' AS file_name, unnest(lines) AS raw, unnest(range(len(lines))) AS line_no
+  FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\f\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS lines FROM documents)),
+trimmed AS (SELECT file_name, line_no, regexp_replace(raw, '^[\s\x{a0}\x{3000}\x1f]+|[\s\x{a0}\x{3000}\x1f]+$', '', 'g') AS text FROM cut)
+SELECT file_name, line_no, text, '' AS error FROM trimmed WHERE text <> '' UNION ALL
+SELECT file_name, -1, '', 'The uploaded bank statement is empty.' FROM trimmed GROUP BY file_name HAVING max(text) = ''"""
 EXPECTED["session_docs"] = """SELECT doc_id AS document_id, doc_id AS created_at FROM documents WHERE source = 'src1'"""
 EXPECTED["doc_lookup"] = f"""WITH {REG} SELECT document_id, status, sums.chunk_count, error_message
   FROM last_rows JOIN sums USING (document_id) WHERE document_id = 7"""

@@ -649,6 +649,21 @@ def conv_list(spark, sf):
     return listed.select("conversation_id", "updated_at", "title", text.list_label("title").alias("label"))
 
 
+@query
+def text_read(spark, sf):
+    """Every file's lines, or its place among the rejects."""
+    read, rejects = files.text_statements(derived.text_files(spark, sf))
+    kept = read.select("file_name", "line_no", "text", F.lit("").alias("error"))
+    return kept.unionByName(rejects.select("file_name", F.lit(-1).cast("long").alias("line_no"), F.lit("").alias("text"), "error"))
+
+
+@query
+def csv_read(spark, sf):
+    read, rejects = files.delimited_rows(derived.csv_files(spark, sf))
+    kept = read.select("file_name", "row_no", F.array_join("cells", "|").alias("cells"))
+    return kept.unionByName(rejects.select("file_name", F.lit(0).cast("long").alias("row_no"), F.col("error").alias("cells")))
+
+
 @query
 def session_docs(spark, sf):
     docs = derived.table(spark, sf, "documents").select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbook.operators.blocks import ordered
@@ -259,6 +259,39 @@ def table_cells(spark: SparkSession, folder: str) -> DataFrame:
     return headings.unionByName(body)
 
 
+def csv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """FILES: file_name, size, content of the table rows as CSV bytes.
+
+    By turns the second field holds a stray quote, doubled quotes in a quoted
+    field, a line break, or nothing special; every tenth row is followed by a
+    blank one, and even files begin with a byte-order mark.
+    """
+    order = Window.partitionBy("file_name").orderBy("row_no")
+    rows = table_cells(spark, folder).withColumn("k", F.row_number().over(order))
+    shown = F.expr(r'''transform(cells, (c, i) -> CASE WHEN i <> 1 THEN c WHEN k % 4 = 1 THEN concat('5" ', c)
+        WHEN k % 4 = 2 THEN concat('"""x"" ', c, '"') WHEN k % 4 = 3 THEN concat('"', c, '\nsecond, line"') ELSE c END)''')
+    line = F.concat(F.array_join(shown, ","), F.when(F.col("k") % 10 == 0, "\n").otherwise(""))
+    listed = F.array_sort(F.collect_list(F.struct("k", line.alias("line"))))
+    texts = rows.groupBy("file_name").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+    mark = F.when(F.regexp_extract("file_name", r"\d+", 0).cast("long") % 2 == 0, "\ufeff").otherwise("")
+    return _as_bytes(texts, F.encode(F.concat(mark, "text"), "utf-8"))
+
+
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """FILES: file_name, size, content of the documents, every third with a
+    byte-order mark and every fourth with a byte that is no UTF-8 before its text."""
+    docs = table(spark, folder, "documents")
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("file_name")
+    mark = F.when(F.col("doc_id") % 3 == 0, "\ufeff").otherwise("")
+    bad = F.when(F.col("doc_id") % 4 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.encode(mark, "utf-8"), bad, F.encode("text", "utf-8"))
+    return _as_bytes(docs.select(name, "doc_id", "text"), content)
+
+
+def _as_bytes(texts: DataFrame, content: Column) -> DataFrame:
+    return texts.select("file_name", content.alias("content")).withColumn("size", F.octet_length("content").cast("long"))
+
+
 COLUMN_CENTRES = (60.0, 200.0, 360.0, 450.0, 540.0)
 ROWS_PER_PAGE = 100
 
