@@ -504,16 +504,18 @@ EXPECTED["vec_topk_filtered"] = f"""WITH {VECTORS} kept AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, chunk_id) AS rank FROM kept)
 SELECT query_id, chunk_id, distance, rank FROM ranked WHERE rank <= 10 AND CASE WHEN distance <= 2 THEN 1 - distance ELSE 0 END >= 0.1"""
 EXPECTED["vec_topk_lsh"] = """SELECT DISTINCT CAST(label AS BIGINT) AS query_id, CAST(10 AS BIGINT) AS n_hits, true AS recalled FROM embeddings"""
-TOP4 = f"""{DOCS}, terms AS (
-  SELECT document_id, list_distinct(list_transform(list_filter(regexp_split_to_array(trim(string_split(text, chr(10))[1]), '\\s+'),
-    lambda w: length(w) > 2), lambda w: lower(w))) AS words FROM docs),
-scored AS (SELECT f.*, CAST(len(list_filter(words, lambda w: contains(lower(f.text), w))) AS BIGINT) AS score
+TOP4 = f"""{DOCS}, asked AS (
+  SELECT document_id, document_id * 2 AS query_id, string_split(text, chr(10))[1] AS question FROM docs
+  UNION ALL SELECT document_id, document_id * 2 + 1, string_split(text, chr(10))[-1] FROM docs), terms AS (
+  SELECT document_id, query_id, list_distinct(list_transform(list_filter(regexp_split_to_array(trim(question), '\\s+'),
+    lambda w: length(w) > 2), lambda w: lower(w))) AS words FROM asked),
+scored AS (SELECT f.*, query_id, CAST(len(list_filter(words, lambda w: contains(lower(f.text), w))) AS BIGINT) AS score
   FROM fixed_chunks f JOIN terms USING (document_id)),
-top4 AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_no) AS rank FROM scored QUALIFY rank <= 4)"""
-EXPECTED["keyword_top4"] = f"""WITH {TOP4} SELECT document_id, chunk_no, score, rank FROM top4"""
+top4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no) AS rank FROM scored QUALIFY rank <= 4)"""
+EXPECTED["keyword_top4"] = f"""WITH {TOP4} SELECT query_id, document_id, chunk_no, score, rank FROM top4"""
 EXPECTED["context_build"] = f"""WITH {TOP4}, whole AS (
-  SELECT document_id AS query_id, count(*) AS n_sources, string_agg('[Source: ' || filename || ', Page ' || (chunk_no + 1) || ', Section: body]' || chr(10) || text,
-    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body FROM top4 GROUP BY document_id)
+  SELECT query_id, count(*) AS n_sources, string_agg('[Source: ' || filename || ', Page ' || (chunk_no + 1) || ', Section: body]' || chr(10) || text,
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body FROM top4 GROUP BY query_id)
 SELECT query_id, CASE WHEN length(body) > 12000 THEN substring(body, 1, 12000) || chr(10) || chr(10) || '[... context truncated ...]'
   ELSE body END AS context, n_sources FROM whole"""
 HISTORY = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
@@ -521,7 +523,7 @@ histories AS (SELECT conv_id AS conversation_id, string_agg(role || ': ' || text
   FROM turns WHERE nth <= 10 GROUP BY conv_id)"""
 EXPECTED["agent_context"] = f"""WITH {TOP4}, {HISTORY}, parts AS (
   SELECT conversation_id AS query_id, 0 AS kind, 0 AS rank, 'Conversation history:' || chr(10) || history AS t FROM histories
-  UNION ALL SELECT document_id, 1, rank, '[Doc] ' || text FROM top4)
+  UNION ALL SELECT query_id, 1, rank, '[Doc] ' || text FROM top4)
 SELECT query_id, substring(string_agg(t, chr(10) || chr(10) ORDER BY kind, rank), 1, 15000) AS context FROM parts GROUP BY query_id"""
 EXPECTED["section_context"] = f"""WITH {CELLS} SELECT file_name AS document_id, substring(string_agg('[CSV, row ' || row_no || ']' || chr(10) ||
   regexp_replace(array_to_string(cells, ' | '), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY row_no), 1, 12000) AS context
@@ -534,11 +536,13 @@ CONTEXTS = f"""{TXNS}, contexts AS (
 QUESTIONS = f"""questions AS (
   SELECT conv_id, turn, text || ' ' || {pick(QUESTION_TAILS, 'conv_id % 6')} AS question FROM conversations WHERE role = 'user')"""
 EXPECTED["stmt_context"] = f"WITH {CONTEXTS} SELECT file_name, context FROM contexts"
-EXPECTED["prompt_build"] = f"""WITH {CONTEXTS}, {QUESTIONS} SELECT conv_id, turn, {quoted(PROMPT_BASE)} || CASE
+EXPECTED["prompt_build"] = f"""WITH {CONTEXTS}, {QUESTIONS}, {DOCS}, bodies AS (
+  SELECT document_id, substring(string_agg('[body]' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_no), 1, 12000) AS body
+  FROM fixed_chunks GROUP BY document_id) SELECT conv_id, turn, {quoted(PROMPT_BASE)} || CASE
   WHEN coalesce(context, '') <> '' THEN chr(10) || chr(10) || 'BANK STATEMENT CONTEXT:' || chr(10) || context
-  WHEN coalesce(text, '') <> '' THEN chr(10) || chr(10) || 'DOCUMENT CONTEXT:' || chr(10) || substring(text, 1, 12000) ELSE '' END ||
+  WHEN coalesce(body, '') <> '' THEN chr(10) || chr(10) || 'DOCUMENT CONTEXT:' || chr(10) || body ELSE '' END ||
   chr(10) || chr(10) || 'USER QUESTION:' || chr(10) || question AS prompt
-FROM questions LEFT JOIN contexts ON account = conv_id LEFT JOIN documents ON doc_id = conv_id"""
+FROM questions LEFT JOIN contexts ON account = conv_id LEFT JOIN bodies ON document_id = conv_id"""
 
 
 def any_of(words) -> str:

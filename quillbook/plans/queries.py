@@ -503,8 +503,11 @@ def vec_topk_lsh(spark, sf):
 
 
 def _asked_chunks(spark, sf) -> DataFrame:
+    """Two questions for every document: its first line and its last, often the same."""
     docs = derived.documents(spark, sf)
-    asked = docs.select(F.col("document_id").alias("query_id"), "document_id", F.get(F.split("text", "\n"), F.lit(0)).alias("question"))
+    lines_ = F.split("text", "\n")
+    asked = docs.select("document_id", F.posexplode(F.array(F.get(lines_, F.lit(0)), F.element_at(lines_, -1))).alias("n", "question")).select(
+        (F.col("document_id") * 2 + F.col("n")).alias("query_id"), "document_id", "question")
     chunks = documents.chunk_fixed(docs.select("document_id", "filename", "text"))
     return retrieval.keyword_top(chunks, asked)
 
@@ -512,14 +515,14 @@ def _asked_chunks(spark, sf) -> DataFrame:
 @query
 def keyword_top4(spark, sf):
     return _asked_chunks(spark, sf).select(
-        "document_id", "chunk_no", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank")
+        "query_id", "document_id", "chunk_no", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank")
     )
 
 
 @query
 def context_build(spark, sf):
     hits = _asked_chunks(spark, sf).select(
-        F.col("document_id").alias("query_id"), "rank", F.col("chunk_no").alias("chunk_id"), "text", "filename",
+        "query_id", "rank", F.col("chunk_no").alias("chunk_id"), "text", "filename",
         (F.col("chunk_no") + 1).alias("page_number"), F.lit("body").alias("section"),
     )
     built = retrieval.cited_context(hits)
@@ -531,7 +534,7 @@ def agent_context(spark, sf):
     history = registry.conversation_history(_messages(spark, sf)).select(
         F.col("conversation_id").alias("query_id"), F.col("history").alias("text")
     )
-    found = _asked_chunks(spark, sf).select(F.col("document_id").alias("query_id"), "rank", "text")
+    found = _asked_chunks(spark, sf).select("query_id", "rank", "text")
     return retrieval.agent_context(history, found)
 
 
@@ -566,9 +569,10 @@ def prompt_build(spark, sf):
         F.regexp_extract("file_name", r"\d+", 0).cast("long").alias("conv_id"), F.col("context").alias("statement")
     )
     asked = derived.questions(spark, sf).join(contexts, "conv_id", "left")
-    docs = derived.documents(spark, sf).select(F.col("document_id").alias("conv_id"), F.col("text").alias("document"))
+    chunks = documents.chunk_fixed(derived.documents(spark, sf).select("document_id", "text")).withColumn("section", F.lit("body"))
+    docs = retrieval.section_context(chunks, "chunk_no").select(F.col("document_id").alias("conv_id"), F.col("context").alias("document"))
     asked = asked.join(docs, "conv_id", "left")
-    prompt = retrieval.build_prompt(PROMPT_BASE, F.col("statement"), F.substring("document", 1, 12000), F.col("question"))
+    prompt = retrieval.build_prompt(PROMPT_BASE, F.col("statement"), F.col("document"), F.col("question"))
     return asked.select("conv_id", "turn", prompt.alias("prompt"))
 
 
