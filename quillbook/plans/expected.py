@@ -591,6 +591,12 @@ titled AS (SELECT *, regexp_replace(first[1:50], '^\\s+|\\s+$', '', 'g') || CASE
 named AS (SELECT *, trim(CASE WHEN title = '' THEN 'New Chat' ELSE title END) AS shown FROM titled)
 SELECT conv_id AS conversation_id, updated_at, title, CASE WHEN length(shown) > 28 THEN shown[1:25] || '...' ELSE shown END AS label
 FROM named ORDER BY updated_at DESC, conv_id LIMIT 50"""
+EXPECTED["index_log"] = f"""WITH {DOCS}, parts AS ({EXPECTED["chunk_structured"]}),
+counts AS (SELECT document_id, count(*) AS n, bool_or(contains(text, '|')) AS barred FROM parts GROUP BY document_id)
+SELECT document_id, CASE WHEN n IS NULL OR barred THEN 'error' ELSE 'indexed' END AS status,
+  CASE WHEN n IS NULL OR barred THEN 0 ELSE n END AS chunk_count,
+  CASE WHEN n IS NULL THEN 'The uploaded document is empty.' WHEN barred THEN 'no vector' END AS error_message
+FROM named LEFT JOIN counts USING (document_id) WHERE extension <> 'exe' AND size > 0 AND filename NOT LIKE '%statement%'"""
 EXPECTED["csv_read"] = f"""WITH {CELLS}, nth AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY row_no) AS k FROM cells_)
 SELECT file_name, k + (k - 1) // 10 AS row_no, array_to_string(list_transform(cells, lambda c, i: CASE
   WHEN i <> 2 THEN c WHEN k % 4 = 1 THEN '5" ' || c WHEN k % 4 = 2 THEN '"x" ' || c WHEN k % 4 = 3 THEN c || chr(10) || 'second, line' ELSE c END), '|') AS cells

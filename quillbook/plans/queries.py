@@ -5,6 +5,7 @@ Amounts are decimals inside and doubles in the result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from quillbook.functions import dates, money, text
 from quillbook.functions.patterns import CATEGORY_KEYWORDS
 from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, registry, retrieval, rows, tables
+from quillbook.plans import corpus
 from quillbook.plans.statement import StatementTables, process_statements
-from quillbook.session import materialize
+from quillbook.session import ensure_checkpoint_dir, materialize
 from quillbook.sources import derived, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +655,21 @@ def conv_list(spark, sf):
     return listed.select("conversation_id", "updated_at", "title", text.list_label("title").alias("label"))
 
 
+def _two_numbers(texts: list[str]) -> list[list[float]]:
+    """Stands for an embedding model; it has no vector for a text with a bar."""
+    if any("|" in t for t in texts):
+        raise ValueError("no vector")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query
+def index_log(spark, sf):
+    uploads = derived.documents(spark, sf).withColumn("ts", F.lit(1).cast("long"))
+    store = f"{ensure_checkpoint_dir(spark)}/store/{uuid.uuid4().hex}"
+    state = registry.registry_state(corpus.index_documents(uploads, _two_numbers, store).registry_log)
+    return state.select("document_id", "status", "chunk_count", "error_message")
+
+
 @query
 def text_read(spark, sf):
     """Every file's lines, or its place among the rejects."""

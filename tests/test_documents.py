@@ -146,17 +146,16 @@ def test_add_chunks_needs_equal_ids(spark, tmp_path):
     assert spark.read.parquet(store).count() == 2
 
 
-def test_index_and_answer(spark):
+def test_index_and_answer(spark, tmp_path):
     uploads = spark.createDataFrame(
-        [(1, "a.txt", "alpha\nbeta", 10, 1), (2, "statement.pdf", "x", 1, 1), (3, "c.exe", "x", 1, 1), (4, "d.md", " ", 1, 1)],
+        [(1, "a.txt", "alpha\nbeta", 10, 1), (2, "statement.pdf", "x", 1, 1), (3, "c.exe", "x", 1, 1), (4, "d.md", " ", 1, 1),
+         (5, "e.md", "gamma\nunreadable", 1, 1), (6, "f.md", "alpha\nbeta", 1, 1)],
         "document_id long, filename string, text string, size long, ts long",
     )
-    indexed = index_documents(uploads)
-    state = {r.document_id: (r.status, r.chunk_count) for r in registry.registry_state(indexed.registry_log).collect()}
-    assert state == {1: ("indexed", 2), 4: ("error", 0)}
-    assert [r.document_id for r in indexed.rejected.collect()] == [3]
 
     def vectors(texts):
+        if any("unreadable" in t for t in texts):
+            raise RuntimeError("no vector")
         return [[float("alpha" in t), float("beta" in t), 0.1] for t in texts]
 
     def reply(prompts):
@@ -164,9 +163,14 @@ def test_index_and_answer(spark):
             raise RuntimeError("down")
         return ["ok"]
 
-    chunks = retrieval.embed(indexed.chunks, vectors).withColumns(
-        {"page_number": F.lit(None).cast("int"), "section": F.lit("s")}
-    )
+    store = str(tmp_path / "store")
+    indexed = index_documents(uploads, vectors, store, run="first")
+    state = {r.document_id: (r.status, r.chunk_count, r.error_message) for r in registry.registry_state(indexed.registry_log).collect()}
+    assert state == {1: ("indexed", 2, None), 4: ("error", 0, "The uploaded document is empty."), 5: ("error", 0, "no vector"), 6: ("indexed", 2, None)}
+    assert [r.document_id for r in indexed.rejected.collect()] == [3]
+    assert sorted((r.document_id, r.text) for r in registry.stored_chunks(spark, store).collect()) == [
+        (1, "alpha"), (1, "beta"), (6, "alpha"), (6, "beta")]
+    chunks = indexed.chunks.filter("document_id = 1").withColumn("section", F.lit("s"))
     asked = spark.createDataFrame([(1, "beta?"), (2, "fail alpha")], "query_id long, question string")
     got = {r.query_id: r for r in answer_questions(asked, chunks, vectors, reply, 1).collect()}
     assert got[1].context == "[Source: a.txt, Section: s]\nbeta" and got[1].answer == "ok"
