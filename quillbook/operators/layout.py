@@ -6,8 +6,10 @@ page is the unit of work; a file of many pages spreads over many tasks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbook.functions import dates
 from quillbook.functions import patterns as p
@@ -37,24 +39,11 @@ def token_lines(tokens: DataFrame) -> DataFrame:
     )
     tolerance = f"""coalesce(least({TOLERANCE_MAX}D, greatest({TOLERANCE_MIN}D,
         {TOLERANCE_RATIO}D * get(h, cast(size(h) div 2 as int)))), {TOLERANCE_MAX}D)"""
-    pages = let(pages, t=F.col("t"), tolerance=F.expr(tolerance))
-    joins = "s.n > 0 AND abs(t.cy - s.centre) <= tolerance"
-    walked = let(
-        pages,
-        t=F.col("t"),
-        numbers=F.expr(f"""aggregate(t, named_struct('centre', 0D, 'n', 0, 'line', -1, 'out', cast(array() as array<int>)),
-            (s, t) -> if({joins},
-                named_struct('centre', s.centre + (t.cy - s.centre) / (s.n + 1), 'n', s.n + 1,
-                             'line', s.line, 'out', array_append(s.out, s.line)),
-                named_struct('centre', t.cy, 'n', 1, 'line', s.line + 1, 'out', array_append(s.out, s.line + 1))),
-            s -> s.out)"""),
-    )
-    last = "element_at(numbers, -1)"
-    line = f"""transform(sequence(0, {last}), l -> array_sort(transform(
-        filter(arrays_zip(t, numbers), z -> z.numbers = l),
-        z -> named_struct('cx', z.t.cx, 'cy', z.t.cy, 'token_no', z.t.token_no, 'text', z.t.text))))"""
+    numbered = pages.select(*PAGE, "t", _line_numbers(F.col("t.cy"), F.expr(tolerance)).alias("n"))
+    each = numbered.select(*PAGE, F.explode(F.arrays_zip("t", "n")).alias("z")).select(
+        *PAGE, F.col("z.n").alias("line_no"), F.struct("z.t.cx", "z.t.cy", "z.t.token_no", "z.t.text").alias("token"))
     return (
-        walked.select(*PAGE, F.posexplode(F.expr(line)).alias("line_no", "tokens"))
+        each.groupBy(*PAGE, "line_no").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
         .select(
             *PAGE,
             F.col("line_no").cast("long").alias("line_no"),
@@ -64,6 +53,24 @@ def token_lines(tokens: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _line_numbers(centres: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Line of each of a page's tokens, given their centres from the top down."""
+
+    def walk(page: list[float], reach: float) -> list[int]:
+        numbers, line, n, mean = [], -1, 0, 0.0
+        for y in page:
+            if n and abs(y - mean) <= reach:
+                n += 1
+                mean += (y - mean) / n
+            else:
+                line, n, mean = line + 1, 1, y
+            numbers.append(line)
+        return numbers
+
+    return pd.Series([walk(c.tolist(), r) for c, r in zip(centres, tolerance, strict=True)])
+
+
 def word_lines(words: DataFrame) -> DataFrame:
     """Lines of native words: vertical buckets of four units, left to right."""
     bucket = F.bround(F.col("y0") / WORD_BUCKET).cast("long")

@@ -58,7 +58,7 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
         flagged, _header=F.when(F.col("_switch").isNull() & F.col("text").rlike(p.TABLE_HEADER), F.col("line_no"))
     )
     carried = ordered(
-        flagged,
+        materialize(flagged),  # read twice: no pattern runs again
         ["file_name", "page_no"],
         "line_no",
         latest={

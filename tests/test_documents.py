@@ -103,6 +103,13 @@ def test_lines_follow_the_running_mean(spark):
     assert [r.text for r in got] == ["a b c", "next", "tiny"]
 
 
+def test_a_page_of_many_tokens(spark):
+    df = spark.range(20_000).selectExpr("'f' file_name", "1 page_no", "id token_no", "concat('w', id) text", "id % 10 * 50D - 5 x0", "id % 10 * 50D + 5 x1",
+                                        "(id div 10) * 20D - 9 y0", "(id div 10) * 20D + 9 y1", "id % 10 * 50D cx", "(id div 10) * 20D + id % 3 cy")
+    got = layout.token_lines(df).orderBy("line_no").collect()
+    assert len(got) == 2000 and got[7].text == " ".join(f"w{i}" for i in range(70, 80))
+
+
 def test_exact_top_k_against_numpy(spark):
     import numpy as np
 
