@@ -110,13 +110,15 @@ ACCOUNT_LABEL = (
 IFSC_LABEL = r"IFSC(?:\s*CODE)?\s*[:\-]?\s*([A-Z]{4}0[A-Z0-9]{6})"
 IFSC = r"\b([A-Z]{4}0[A-Z0-9]{6})\b"
 BALANCE_NUMBER = r"\d[\d,]*(?:\.\d{1,2})?"
+OPENING_KINDS, CLOSING_KINDS = "beginning|opening|starting", "ending|closing"
+BALANCE_KINDS = f"{OPENING_KINDS}|{CLOSING_KINDS}"
 DATED_BALANCE = (
-    r"\b(beginning|opening|starting|ending|closing)\s+balance\b"
+    rf"\b({BALANCE_KINDS})\s+balance\b"
     r"(?:\s+(?:on|as\s+of|for)\s+[A-Za-z]+\.?\s+\d{1,2}(?:\s*,?\s*\d{4})?)?"
     r"[^\n\d]*(\d[\d,]*(?:\.\d{1,2})?)"
 )
 DATED_BALANCE_DAY = (
-    r"\b(beginning|opening|starting|ending|closing)\s+balance\s+"
+    rf"\b({BALANCE_KINDS})\s+balance\s+"
     r"(?:on|as\s+of|for)\s+([A-Za-z]+\.?\s+\d{1,2}(?:\s*,?\s*\d{4})?)"
 )
 PERIOD = (

@@ -32,16 +32,6 @@ def _labelled_balance(label: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(line, F.lit(p.BALANCE_NUMBER), F.lit(0)), F.lit(-1))
 
 
-def _dated(kind: str, group: int, pattern: str) -> Column:
-    labels = F.regexp_extract_all("context", F.lit("(?im)" + pattern), F.lit(1))
-    values = F.regexp_extract_all("context", F.lit("(?im)" + pattern), F.lit(group))
-    opens = lambda x: F.lower(x["l"]).rlike("^(?:begin|open|start)")
-    pairs = F.filter(
-        F.arrays_zip(labels.alias("l"), values.alias("v")), opens if kind == "open" else lambda x: ~opens(x)
-    )
-    return F.get(pairs, F.lit(0))["v"]
-
-
 def _first(value: Column, name: str) -> Column:
     """Value of the earliest line where it is known."""
     return F.min_by(value, F.when(value.isNotNull(), F.col("pos"))).alias(name)
@@ -52,6 +42,11 @@ def _found(pattern: str, group: int = 1, flags: str = "(?i)") -> Column:
     return F.when(matched, F.regexp_extract("context", _here(pattern, flags), group))
 
 
+def _dated(kinds: str, pattern: str) -> Column:
+    """Value behind a dated balance of the given kinds that begins on the line itself: its context holds all of it."""
+    return _found(pattern.replace(p.BALANCE_KINDS, kinds), 2)
+
+
 def statement_metadata(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """One row per file: bank_name, account_holder_name, account_number,
     ifsc_code, opening_balance, closing_balance, statement_period."""
@@ -68,16 +63,16 @@ def statement_metadata(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -
         ifsc_any=F.nullif(F.regexp_extract(F.upper("text"), p.IFSC, 1), F.lit("")),
         opening=_labelled_balance("opening"),
         closing=_labelled_balance("closing"),
-        dated_opening=_dated("open", 2, p.DATED_BALANCE),
-        dated_closing=_dated("close", 2, p.DATED_BALANCE),
+        dated_opening=_dated(p.OPENING_KINDS, p.DATED_BALANCE),
+        dated_closing=_dated(p.CLOSING_KINDS, p.DATED_BALANCE),
         period=F.when(
             F.col("context").rlike(period),
             F.concat(
                 F.trim(F.regexp_extract("context", period, 1)), F.lit(" to "), F.trim(F.regexp_extract("context", period, 2))
             ),
         ),
-        first_day=_dated("open", 2, p.DATED_BALANCE_DAY),
-        last_day=_dated("close", 2, p.DATED_BALANCE_DAY),
+        first_day=_dated(p.OPENING_KINDS, p.DATED_BALANCE_DAY),
+        last_day=_dated(p.CLOSING_KINDS, p.DATED_BALANCE_DAY),
     )
     names = [c for c in read.columns if c not in {"file_name", "pos", "text", "context", "following"}]
     found = read.groupBy("file_name").agg(*[_first(F.col(n), n) for n in names])

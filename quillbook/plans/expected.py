@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from quillbook.functions import patterns as p
 from quillbook.plans.queries import DATE_STYLES, PROMPT_BASE
-from quillbook.sources.derived import CREDIT_WORDS, DEBIT_WORDS, DOCUMENT_SUFFIXES, QUESTION_TAILS
+from quillbook.sources.derived import CREDIT_WORDS, DEBIT_WORDS, DOCUMENT_SUFFIXES, FIRST_NAMES, LAST_NAMES, QUESTION_TAILS
 
 EXPECTED: dict[str, str] = {}
 
@@ -218,6 +218,12 @@ EXPECTED["txn_parse"] = f"""WITH {READ} SELECT file_name, 'primary' AS part, dat
 UNION ALL SELECT file_name, part, date, description, CAST(debit_amount AS DOUBLE), CAST(credit_amount AS DOUBLE), CAST(0 AS DOUBLE) FROM details"""
 EXPECTED["check_ledger"] = f"""WITH {READ} SELECT file_name, date, description, CAST(debit_amount AS DOUBLE) AS debit_amount
 FROM details WHERE part = 'checks'"""
+EXPECTED["letterhead_fields"] = f"""SELECT 'letter_' || c_custkey || '.txt' AS file_name, 'UNION BANK' AS bank_name,
+  {pick(FIRST_NAMES, 'c_custkey % 5')} || ' ' || {pick(LAST_NAMES, 'c_custkey % 3')} AS account_holder_name,
+  CAST(c_custkey + 1000000000 AS VARCHAR) AS account_number,
+  CASE WHEN c_custkey % 4 IN (0, 3) THEN 'UNBK0' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS ifsc_code,
+  CASE WHEN c_custkey % 4 <> 2 THEN CAST(c_custkey * 1000 + 0.5 AS DOUBLE) END AS opening_balance, CAST(c_custkey * 3000 + 0.25 AS DOUBLE) AS closing_balance,
+  CASE WHEN c_custkey % 4 = 1 THEN 'January 1, 2020 to January 31, 2020' ELSE '1 Jan 2020 to 31 Jan 2020' END AS statement_period FROM customer"""
 EXPECTED["stmt_metadata"] = f"""WITH {PRINTED} SELECT file_name, 'FIRST NATIONAL BANK' AS bank_name,
   coalesce(replace(c_name, '#', ' '), 'Holder ' || account) AS account_holder_name,
   CAST(account + 1000000000 AS VARCHAR) AS account_number, 'FNBK0' || lpad(CAST(account AS VARCHAR), 6, '0') AS ifsc_code,

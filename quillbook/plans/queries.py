@@ -203,6 +203,11 @@ def check_ledger(spark, sf):
     return doubles(parsed, "debit_amount").select("file_name", "date", "description", "debit_amount")
 
 
+@query
+def letterhead_fields(spark, sf):
+    return doubles(metadata.statement_metadata(derived.letterheads(spark, sf)), "opening_balance", "closing_balance")
+
+
 @query
 def stmt_metadata(spark, sf):
     return doubles(metadata.statement_metadata(_lines(spark, sf)), "opening_balance", "closing_balance")

@@ -259,6 +259,42 @@ def table_cells(spark: SparkSession, folder: str) -> DataFrame:
     return headings.unionByName(body)
 
 
+FIRST_NAMES, LAST_NAMES = ("Ada", "Grace", "Alan", "Edsger", "Barbara"), ("Stone", "Rivers", "Hill")
+
+
+def letterheads(spark: SparkSession, folder: str) -> DataFrame:
+    """HEADS: file_name, page_no, line_no, text, one letterhead per customer.
+
+    By turns: labelled; without labels, an address block and dated balances;
+    labels broken over as many lines as they can be; labels on a second page.
+    """
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"))
+    key = F.col("key")
+    name = F.concat_ws(" ", _pick(FIRST_NAMES, key % 5), _pick(LAST_NAMES, key % 3))
+    opening, closing = (F.format_number(e, 2) for e in (key * 1000 + 0.5, key * 3000 + 0.25))
+    number = (key + 1000000000).cast("string")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    labelled = [
+        said("UNION BANK"), said("Account Holder Name: ", name), said("Account Number: ", number),
+        said("IFSC Code: UNBK0", F.lpad(key.cast("string"), 6, "0")), said("Statement Period: 1 Jan 2020 to 31 Jan 2020"),
+        said("Opening Balance: ", opening), said("Closing Balance: ", closing),
+    ]
+    block = [
+        said("UNION BANK"), name, said(key.cast("string"), " Elm Street"), said("Springfield, IL 62704"), said("Account No. ", number),
+        said("Beginning balance on January 1, 2020 $", opening), said("Ending balance on January 31, 2020 $", closing),
+    ]
+    broken = [said(x) if isinstance(x, str) else x for x in (
+        "UNION BANK", "Name", "of", "Account", "Holder", ":", name, "Account", "Number", ":", number, "Statement", "Period", ":", "1 Jan 2020", "to",
+        "31 Jan 2020", "Closing", "balance", "as", "of", "January", "31", ",", said("2020 $", closing))]
+    terms = [said(f"Terms apply to clause {i}") for i in range(25)]
+    style = F.when(key % 4 == 0, F.array(*labelled)).when(key % 4 == 1, F.array(*block)).when(key % 4 == 2, F.array(*broken))
+    lines = customers.select(
+        F.concat(F.lit("letter_"), "key", F.lit(".txt")).alias("file_name"), "key",
+        F.posexplode(style.otherwise(F.array(*terms, *labelled))).alias("at", "text"))
+    second = (key % 4 == 3) & (F.col("at") >= len(terms))
+    return lines.select("file_name", F.when(second, 2).otherwise(1).alias("page_no"), F.col("at").cast("long").alias("line_no"), "text")
+
+
 def csv_files(spark: SparkSession, folder: str) -> DataFrame:
     """FILES: file_name, size, content of the table rows as CSV bytes.
 
