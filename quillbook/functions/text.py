@@ -119,3 +119,8 @@ def list_label(x: str) -> Column:
     """Sidebar label: over 28 characters is cut to 25 and dots."""
     title = F.trim(F.coalesce(F.nullif(F.col(x), F.lit("")), F.lit("New Chat")))
     return F.when(F.length(title) > 28, F.concat(F.substring(title, 1, 25), F.lit("..."))).otherwise(title)
+
+
+def upload_title(file_name: str) -> Column:
+    """Title of a conversation that begins with an upload and no words."""
+    return F.substring(F.concat(F.lit("Chat about "), F.col(file_name)), 1, 50)

@@ -612,6 +612,17 @@ EXPECTED["text_read"] = r"""WITH cut AS (SELECT 'doc_' || doc_id || '.txt' AS fi
 trimmed AS (SELECT file_name, line_no, regexp_replace(raw, '^[\s\x{a0}\x{3000}\x1f]+|[\s\x{a0}\x{3000}\x1f]+$', '', 'g') AS text FROM cut)
 SELECT file_name, line_no, text, '' AS error FROM trimmed WHERE text <> '' UNION ALL
 SELECT file_name, -1, '', 'The uploaded bank statement is empty.' FROM trimmed GROUP BY file_name HAVING max(text) = ''"""
+EXPECTED["payload_round_trip"] = f"""WITH {TXNS}, heads AS (
+  SELECT file_name, count(*) AS transaction_count, CAST(sum(debit_amount) AS DOUBLE) AS total_debit FROM txns GROUP BY file_name)
+SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY seq) - 1 AS INTEGER) AS row_no, date, description,
+  {dbl('debit_amount', 'credit_amount', 'balance')}, {rule_sql('category')} AS category, transaction_count, total_debit,
+  'read "' || file_name || '"' AS warnings FROM txns JOIN heads USING (file_name)"""
+EXPECTED["upload_titles"] = f"""WITH {DOCS} SELECT document_id, ('Chat about ' || repeat('long ', 8) || filename)[1:50] AS title FROM docs"""
+EXPECTED["analysis_sources"] = f"""WITH {DOCS}, cut AS (
+  SELECT document_id, filename, n, regexp_replace(substring(text, n * 560 + 1, 600), '^\\s+|\\s+$', '', 'g') AS body
+  FROM docs, LATERAL (SELECT unnest(range(CAST(ceil(length(text) / 560.0) AS BIGINT))) AS n)),
+firsts AS (SELECT * FROM cut WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n) <= 8)
+SELECT document_id, string_agg(filename || ', part ' || (n + 1), '; ' ORDER BY n) AS sources FROM firsts GROUP BY document_id"""
 EXPECTED["session_docs"] = """SELECT doc_id AS document_id, doc_id AS created_at FROM documents WHERE source = 'src1'"""
 EXPECTED["doc_lookup"] = f"""WITH {REG} SELECT document_id, status, sums.chunk_count, error_message
   FROM last_rows JOIN sums USING (document_id) WHERE document_id = 7"""

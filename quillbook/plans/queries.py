@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money, text
 from quillbook.functions.patterns import CATEGORY_KEYWORDS
-from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, registry, retrieval, rows, tables
+from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, payload, registry, retrieval, rows, tables
 from quillbook.plans import corpus
 from quillbook.plans.statement import StatementTables, process_statements
 from quillbook.session import ensure_checkpoint_dir, materialize
@@ -690,6 +690,31 @@ def csv_read(spark, sf):
     return kept.unionByName(rejects.select("file_name", F.lit(0).cast("long").alias("row_no"), F.col("error").alias("cells")))
 
 
+@query
+def payload_round_trip(spark, sf):
+    """Statements written as JSON and read again: their rows beside their summary."""
+    ruled = categorize.with_rules(_txn_rows(spark, sf)).withColumns({"category": F.col("rule_category"), "confidence": F.col("rule_confidence")})
+    heads = ruled.groupBy("file_name").agg(F.count("*").alias("transaction_count"), F.sum("debit_amount").alias("total_debit"))
+    heads = heads.withColumn("warnings", F.array(F.concat(F.lit('read "'), "file_name", F.lit('"'))))
+    written = payload.statement_payload(heads, ruled, ["file_name", "transaction_count", "total_debit"])
+    head = F.from_json("payload", "summary struct<transaction_count: long, total_debit: double>, warnings array<string>")
+    read = written.select("file_name", head.alias("h")).select("file_name", "h.summary.*", F.array_join("h.warnings", ";").alias("warnings"))
+    return doubles(payload.payload_rows(written), *AMOUNTS).join(read, "file_name").drop("confidence")
+
+
+@query
+def upload_titles(spark, sf):
+    long_name = derived.documents(spark, sf).withColumn("name", F.concat(F.repeat(F.lit("long "), F.lit(8)), "filename"))
+    return long_name.select("document_id", text.upload_title("name").alias("title"))
+
+
+@query
+def analysis_sources(spark, sf):
+    chunks = documents.chunk_fixed(derived.documents(spark, sf).select("document_id", "filename", "text"), 600, 40)
+    source = F.concat("filename", F.lit(", part "), (F.col("chunk_no") + 1).cast("string"))
+    return retrieval.leading_sources(chunks, "chunk_no", source).select("document_id", F.array_join("sources", "; ").alias("sources"))
+
+
 @query
 def session_docs(spark, sf):
     docs = derived.table(spark, sf, "documents").select(
