@@ -32,6 +32,8 @@ from quillbook.session import ensure_checkpoint_dir, materialize
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 28
 LEAST_REVISIT = 1000
+#: Frames that a task reads back, about.
+FRAMES_A_TASK = 32
 
 #: Fixed values of the seekable format: frame magic, footer magic, descriptor with checksums.
 SKIPPABLE = 0x184D2A5E
@@ -219,6 +221,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                 yield pd.DataFrame(records)
 
     frames = index.select("bundle", "frame").distinct()
+    frames = frames.repartitionByRange(max(1, -(-frames.count() // FRAMES_A_TASK)), "bundle", "frame")
     return frames.mapInPandas(unpack, READ)
 
 
