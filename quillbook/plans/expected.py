@@ -218,6 +218,9 @@ EXPECTED["txn_parse"] = f"""WITH {READ} SELECT file_name, 'primary' AS part, dat
 UNION ALL SELECT file_name, part, date, description, CAST(debit_amount AS DOUBLE), CAST(credit_amount AS DOUBLE), CAST(0 AS DOUBLE) FROM details"""
 EXPECTED["check_ledger"] = f"""WITH {READ} SELECT file_name, date, description, CAST(debit_amount AS DOUBLE) AS debit_amount
 FROM details WHERE part = 'checks'"""
+EXPECTED["plain_parse"] = f"""WITH {TXNS} SELECT 'plain_' || account || '.txt' AS file_name, date,
+  description || CASE WHEN o_orderkey % 71 = 0 THEN ' late night order' ELSE '' END AS description,
+  {dbl('debit_amount', 'credit_amount')}, CAST(0 AS DOUBLE) AS balance FROM txns"""
 EXPECTED["letterhead_fields"] = f"""SELECT 'letter_' || c_custkey || '.txt' AS file_name, 'UNION BANK' AS bank_name,
   {pick(FIRST_NAMES, 'c_custkey % 5')} || ' ' || {pick(LAST_NAMES, 'c_custkey % 3')} AS account_holder_name,
   CAST(c_custkey + 1000000000 AS VARCHAR) AS account_number,

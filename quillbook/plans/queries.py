@@ -203,6 +203,14 @@ def check_ledger(spark, sf):
     return doubles(parsed, "debit_amount").select("file_name", "date", "description", "debit_amount")
 
 
+@query
+def plain_parse(spark, sf):
+    """Statements whose lines stand under no heading."""
+    parts = materialize(lines.split_parts(derived.plain_statements(spark, sf)))
+    parsed = rows.primary_only(rows.parse_parts(parts))
+    return doubles(parsed, *AMOUNTS).select("file_name", "date", "description", *AMOUNTS)
+
+
 @query
 def letterhead_fields(spark, sf):
     return doubles(metadata.statement_metadata(derived.letterheads(spark, sf)), "opening_balance", "closing_balance")

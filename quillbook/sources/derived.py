@@ -262,6 +262,19 @@ def table_cells(spark: SparkSession, folder: str) -> DataFrame:
 FIRST_NAMES, LAST_NAMES = ("Ada", "Grace", "Alan", "Edsger", "Barbara"), ("Stone", "Rivers", "Hill")
 
 
+def plain_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """PLAIN: file_name, page_no, line_no, text of statements without a table
+    heading: date, words and one amount a line, by turns with a line below it;
+    a page holds forty rows."""
+    rows = transactions(spark, folder)
+    line = F.concat_ws(" ", _dated(F.col("o_orderkey"), F.col("txn_date")), "description", F.col("debit_amount") + F.col("credit_amount"))
+    printed = F.when(F.col("o_orderkey") % 71 == 0, F.array(line, F.lit("late night order"))).otherwise(F.array(line))
+    return rows.select(
+        F.concat(F.lit("plain_"), F.col("account"), F.lit(".txt")).alias("file_name"),
+        (F.floor(F.col("seq") / 40) + 1).cast("int").alias("page_no"), "seq", F.posexplode(printed).alias("sub", "text"),
+    ).select("file_name", "page_no", (F.col("seq") * 2 + F.col("sub")).alias("line_no"), "text")
+
+
 def letterheads(spark: SparkSession, folder: str) -> DataFrame:
     """HEADS: file_name, page_no, line_no, text, one letterhead per customer.
 
