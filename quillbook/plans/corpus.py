@@ -36,6 +36,12 @@ def index_documents(uploads: DataFrame, embed_fn: Callable, store: str, run: str
     checked = uploads.withColumn("error", d.upload_error("filename", "size"))
     routed = checked.filter("error IS NULL").withColumn("route", d.route_document("filename"))
     general = routed.filter("route.strategy <> 'bank_statement'").select("document_id", "filename", "text", "ts")
+    good, log = index_texts(general, embed_fn, store, run)
+    return CorpusTables(checked.filter("error IS NOT NULL"), routed, good, log)
+
+
+def index_texts(general: DataFrame, embed_fn: Callable, store: str, run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stored chunks, log) of documents that are to be indexed: document_id, filename, text, ts."""
 
     def embedded(distinct: DataFrame) -> DataFrame:
         elements = d.elements_of_text(distinct.select(F.col("content_hash").alias("document_id"), "text"))
@@ -60,7 +66,7 @@ def index_documents(uploads: DataFrame, embed_fn: Callable, store: str, run: str
     done = F.col("error_message").isNull()
     log = entry(0, F.lit("processing"), F.lit(None), F.lit(None)).unionByName(entry(
         1, F.when(done, "indexed").otherwise("error"), F.when(done, F.col("chunk_count")), F.col("error_message")))
-    return CorpusTables(checked.filter("error IS NOT NULL"), routed, good, log)
+    return good, log
 
 
 def answer_questions(

@@ -600,6 +600,7 @@ titled AS (SELECT *, regexp_replace(first[1:50], '^\\s+|\\s+$', '', 'g') || CASE
 named AS (SELECT *, trim(CASE WHEN title = '' THEN 'New Chat' ELSE title END) AS shown FROM titled)
 SELECT conv_id AS conversation_id, updated_at, title, CASE WHEN length(shown) > 28 THEN shown[1:25] || '...' ELSE shown END AS label
 FROM named ORDER BY updated_at DESC, conv_id LIMIT 50"""
+EXPECTED["reroute_docs"] = f"""WITH {DOCS} SELECT filename AS file_name, length(regexp_replace(text, '[0-9]', '', 'g')) AS n_chars FROM docs"""
 EXPECTED["index_log"] = f"""WITH {DOCS}, parts AS ({EXPECTED["chunk_structured"]}),
 counts AS (SELECT document_id, count(*) AS n, bool_or(contains(text, '|')) AS barred FROM parts GROUP BY document_id)
 SELECT document_id, CASE WHEN n IS NULL OR barred THEN 'error' ELSE 'indexed' END AS status,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillbook.operators import documents, layout, registry, retrieval
 from quillbook.plans.corpus import answer_questions, index_documents
+from quillbook.plans.uploads import process_uploads
 from quillbook.sources import files
 
 
@@ -184,6 +185,21 @@ def test_index_and_answer(spark, tmp_path):
     assert (got[2].answer, got[2].answer_error) == (None, "down")
 
 
+def test_upload_job(spark, tmp_path):
+    statement = "Date Description Debit Credit Balance\n01/02/2024 SHOP 5.00 0.00 95.00\n02/02/2024 PAY 5.00 0.00 90.00\n"
+    sent = [(1, "statement_a.txt", statement), (2, "bank_statement.txt", "nothing of that kind"), (3, "notes.md", "alpha"), (4, "x.exe", "x"),
+            (5, "empty.txt", " "), (6, "statement_a.txt", statement)]
+    uploads = spark.createDataFrame([(i, n, t.encode(), len(t), 1) for i, n, t in sent], "document_id long, filename string, content binary, size long, ts long")
+    done = process_uploads(uploads, lambda texts: [[1.0] for _ in texts], str(tmp_path / "store"))
+    state = {r.document_id: (r.status, r.chunk_count) for r in registry.registry_state(done.registry_log).collect()}
+    assert state == {1: ("indexed", 2), 2: ("indexed", 1), 3: ("indexed", 1), 5: ("error", 0), 6: ("indexed", 2)}
+    assert [r.document_id for r in done.rejected.collect()] == [4]
+    assert sorted(r.document_id for r in done.chunks.collect()) == [2, 3]
+    files.write_statement_export(done.statements, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "transactions")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out" / "summary")).count() == 3 and spark.read.parquet(str(tmp_path / "out" / "validation")).count() == 15
+
+
 def test_structured_query_checks_names(spark):
     df = spark.range(3).withColumn("g", F.col("id") % 2)
     with pytest.raises(ValueError):
