@@ -335,10 +335,11 @@ cells_ AS (
     WHEN 'narrow' THEN ['', 'late night order', '', ''] ELSE ['', 'late night order', ''] END FROM tabled WHERE continued),
 page_rows AS (
   SELECT file_name, CAST((row_no - 2) // 100 + 1 AS INTEGER) AS page_no, (row_no - 2) % 100 + 1 AS row, cells
-  FROM cells_ WHERE layout = 'wide' AND row_no > 0),
+  FROM cells_ WHERE row_no > 0),
 pages_ AS (
   SELECT * FROM page_rows UNION ALL
-  SELECT DISTINCT file_name, page_no, CAST(0 AS BIGINT), ['Txn Date', 'Narration', 'Withdrawal', 'Deposit', 'Balance'] FROM page_rows),
+  SELECT p.file_name, page_no, CAST(0 AS BIGINT), c.cells FROM (SELECT DISTINCT file_name, page_no FROM page_rows) p
+  JOIN cells_ c ON c.file_name = p.file_name AND c.row_no = 0),
 page_lines AS (
   SELECT file_name, page_no, row, cells, CAST(row_number() OVER (PARTITION BY file_name, page_no ORDER BY row) - 1 AS BIGINT) AS line_no,
     array_to_string(list_filter(cells, lambda c: c <> ''), ' ') AS text FROM pages_)"""
@@ -361,7 +362,7 @@ EXPECTED["word_lines"] = f"""WITH {CELLS} SELECT file_name, page_no, 25 + 5 * ro
 EXPECTED["token_lines"] = f"""WITH {CELLS} SELECT file_name, page_no, line_no, text FROM page_lines"""
 EXPECTED["token_columns"] = f"""WITH {CELLS} SELECT file_name, page_no, line_no, array_to_string(cells, '|') AS cells FROM page_lines"""
 EXPECTED["token_txns"] = f"""WITH {CELLS} SELECT table_name AS file_name, date, {_described},
-  {dbl('debit_amount', 'credit_amount', 'balance')} FROM tabled WHERE layout = 'wide'"""
+  {dbl('debit_amount', 'credit_amount')}, CAST(CASE WHEN layout = 'short' THEN 0 ELSE balance END AS DOUBLE) AS balance FROM tabled"""
 SCORES = f"""{BAD}, candidates AS (
   SELECT 'line_window' AS strategy, file_name, pos, date, description, debit_amount, credit_amount, balance FROM bad
   UNION ALL SELECT 'box_columns', file_name, seq, date, description, debit_amount, credit_amount, CAST(0 AS {MONEY}) FROM txns

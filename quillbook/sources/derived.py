@@ -346,21 +346,21 @@ ROWS_PER_PAGE = 100
 
 
 def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """TOKENS: the table cells of even accounts as word boxes on printed pages.
+    """TOKENS: the table cells of all accounts as word boxes on printed pages.
 
     Each page repeats the heading and holds up to a hundred rows; the drift
     inside a row stays below the line tolerance.
     """
-    cells = table_cells(spark, folder).filter("size(cells) = 5")
+    cells = table_cells(spark, folder)
     body = cells.filter("row_no > 0").select(
         "file_name",
         (F.floor((F.col("row_no") - 2) / ROWS_PER_PAGE) + 1).cast("int").alias("page_no"),
         ((F.col("row_no") - 2) % ROWS_PER_PAGE + 1).alias("row"),
         "cells",
     )
-    heading = F.array(*[F.lit(w) for w in ("Txn Date", "Narration", "Withdrawal", "Deposit", "Balance")])
+    headings = cells.filter("row_no = 0").select("file_name", "cells")
     pages = body.select("file_name", "page_no").distinct()
-    printed = body.unionByName(pages.select("*", F.lit(0).cast("long").alias("row"), heading.alias("cells")))
+    printed = body.unionByName(pages.join(headings, "file_name").select("file_name", "page_no", F.lit(0).cast("long").alias("row"), "cells"))
     centre = F.element_at(F.array(*map(F.lit, COLUMN_CENTRES)), F.col("column") + 1)
     boxes = printed.select("file_name", "page_no", "row", F.posexplode("cells").alias("column", "text")).filter(
         "text <> ''"
