@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from quillbook.functions.text import lines_of_text
+from quillbook.operators.documents import upload_error
 from quillbook.plans.statement import process_statements
 from quillbook.session import scratch
 
@@ -35,7 +36,9 @@ def drop_repeated_uploads(uploads: DataFrame, within: str = "1 hour") -> DataFra
 
 
 def process_uploads(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Parse one micro-batch and replace its own output folders.
+    """Check and parse one micro-batch and replace its own output folders.
+
+    An upload that breaks an upload rule is logged with it and not parsed.
 
     Each batch writes below its own id, so a batch that is run again after a
     failure overwrites itself and nothing is written twice.
@@ -45,19 +48,20 @@ def process_uploads(batch: DataFrame, batch_id: int, folder: str) -> None:
 
 
 def _process(batch: DataFrame, batch_id: int, folder: str) -> None:
-    lines = lines_of_text(batch.select("file_name", "text")).select(
+    batch = batch.withColumn("size", F.octet_length("text")).withColumn("error", upload_error("file_name", "size"))
+    lines = lines_of_text(batch.filter("error IS NULL").select("file_name", "text")).select(
         "file_name", F.lit(1).alias("page_no"), "line_no", "text"
     )
     result = process_statements(lines)
     result.transactions.write.mode("overwrite").parquet(f"{folder}/transactions/batch={batch_id}")
     counts = result.statements.select("file_name", "transaction_count", "validation_status")
-    log = batch.select("file_name", "content_hash", "arrived_at").join(counts, "file_name", "left").select(
+    log = batch.select("file_name", "content_hash", "arrived_at", "error").join(counts, "file_name", "left").select(
         F.col("file_name").alias("document_id"),
         F.col("arrived_at").alias("ts"),
         F.lit(batch_id).cast("long").alias("event_id"),
         F.when(F.col("transaction_count") > 0, "indexed").otherwise("error").alias("status"),
         F.col("transaction_count").cast("long").alias("chunk_count"),
-        F.when(
+        F.when(F.col("error").isNotNull(), F.col("error")).when(
             F.coalesce(F.col("transaction_count"), F.lit(0)) == 0,
             "No transaction rows could be parsed from this document.",
         ).alias("error_message"),

@@ -11,6 +11,7 @@ def test_intake_registers_and_parses(spark, tmp_path):
     drop.mkdir()
     (drop / "a.txt").write_text(STATEMENT)
     (drop / "b.txt").write_text("nothing here")
+    (drop / "d.exe").write_text(STATEMENT)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     intake.run_intake(intake.watch_folder(spark, str(drop)), out, state).awaitTermination()
     (drop / "c.txt").write_text(STATEMENT.replace("SHOP", "STORE"))
@@ -21,7 +22,7 @@ def test_intake_registers_and_parses(spark, tmp_path):
     ]
     log = spark.read.parquet(f"{out}/registry_log").withColumn("event_id", F.col("event_id").cast("long"))
     assert {r.document_id: (r.status, r.chunk_count) for r in registry_state(log).collect()} == {
-        "a.txt": ("indexed", 2), "b.txt": ("error", 0), "c.txt": ("indexed", 2),
+        "a.txt": ("indexed", 2), "b.txt": ("error", 0), "c.txt": ("indexed", 2), "d.exe": ("error", 0),
     }
 
 
