@@ -533,7 +533,8 @@ histories AS (SELECT conv_id AS conversation_id, string_agg(role || ': ' || text
   FROM turns WHERE nth <= 10 GROUP BY conv_id)"""
 EXPECTED["agent_context"] = f"""WITH {TOP4}, {HISTORY}, parts AS (
   SELECT conversation_id AS query_id, 0 AS kind, 0 AS rank, 'Conversation history:' || chr(10) || history AS t FROM histories
-  UNION ALL SELECT query_id, 1, rank, '[Doc] ' || text FROM top4)
+  UNION ALL SELECT query_id, 1, rank, '[Doc] ' || text FROM top4
+  UNION ALL SELECT page_id, 2, 1, '[Web] ' || url || ': ' || html FROM pages)
 SELECT query_id, substring(string_agg(t, chr(10) || chr(10) ORDER BY kind, rank), 1, 15000) AS context FROM parts GROUP BY query_id"""
 EXPECTED["section_context"] = f"""WITH {CELLS} SELECT file_name AS document_id, substring(string_agg('[CSV, row ' || row_no || ']' || chr(10) ||
   regexp_replace(array_to_string(cells, ' | '), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY row_no), 1, 12000) AS context
@@ -628,6 +629,23 @@ EXPECTED["analysis_sources"] = f"""WITH {DOCS}, cut AS (
   FROM docs, LATERAL (SELECT unnest(range(CAST(ceil(length(text) / 560.0) AS BIGINT))) AS n)),
 firsts AS (SELECT * FROM cut WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n) <= 8)
 SELECT document_id, string_agg(filename || ', part ' || (n + 1), '; ' ORDER BY n) AS sources FROM firsts GROUP BY document_id"""
+EXPECTED["embed_texts"] = """SELECT doc_id, CASE WHEN NOT contains(text, '|') THEN CAST(length(text) AS DOUBLE) END AS n_chars,
+  CASE WHEN NOT contains(text, '|') THEN CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) END AS n_blanks,
+  CASE WHEN contains(text, '|') THEN 'no vector' ELSE '' END AS error FROM documents"""
+EXPECTED["generate_answers"] = """SELECT doc_id, CASE WHEN NOT contains(text, '|') AND length(text) % 7 <> 0 THEN CAST(length(text) AS VARCHAR) END AS answer,
+  CASE WHEN contains(text, '|') THEN 'no answer' WHEN length(text) % 7 = 0 THEN 'The model returned an empty response' END AS answer_error FROM documents"""
+EXPECTED["retry_picked"] = """WITH counts AS (
+  SELECT 'scan_' || o_custkey AS file_name, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS native, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS ocr
+  FROM orders GROUP BY o_custkey), picked AS (SELECT file_name, native < 2 AND ocr > native AS again FROM counts)
+SELECT file_name, CASE WHEN again THEN 'ocr' ELSE 'native' END AS source, CASE WHEN again THEN 'image' ELSE 'text' END AS document_type,
+  CASE WHEN again THEN 'Image-based PDF detected; text was recovered with OCR.' ELSE '' END AS warning FROM picked"""
+EXPECTED["sql_functions"] = f"""WITH {PRINTED}, said AS (
+  SELECT o_orderkey, CASE WHEN fault = 'bad_date' THEN '00-00-00' ELSE {DATED} END AS shown, txn_date, words, amount, fault FROM printed)
+SELECT o_orderkey, shown AS token, CASE WHEN fault = 'bad_date' THEN NULL ELSE CAST(txn_date AS VARCHAR) END AS day, 'strong' AS strength,
+  CAST(-amount AS DOUBLE) AS amount, words AS description,
+  array_to_string(regexp_extract_all(lower(shown || ' ' || words), '[a-z0-9]{{2,}}'), ' ') AS words FROM said"""
+EXPECTED["structured_filter"] = f"""WITH {TXNS} SELECT file_name, seq, description, CAST(debit_amount AS DOUBLE) AS debit_amount
+  FROM txns WHERE contains(description, 'STORE') AND debit_amount >= 1000"""
 EXPECTED["session_docs"] = """SELECT doc_id AS document_id, doc_id AS created_at FROM documents WHERE source = 'src1'"""
 EXPECTED["doc_lookup"] = f"""WITH {REG} SELECT document_id, status, sums.chunk_count, error_message
   FROM last_rows JOIN sums USING (document_id) WHERE document_id = 7"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money, text
 from quillbook.functions.patterns import CATEGORY_KEYWORDS
+from quillbook.functions.register import register_sql_functions
 from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, payload, registry, retrieval, rows, tables
 from quillbook.plans import corpus
 from quillbook.plans.statement import StatementTables, process_statements
@@ -554,7 +555,9 @@ def agent_context(spark, sf):
         F.col("conversation_id").alias("query_id"), F.col("history").alias("text")
     )
     found = _asked_chunks(spark, sf).select("query_id", "rank", "text")
-    return retrieval.agent_context(history, found)
+    web = derived.table(spark, sf, "pages").select(
+        F.col("page_id").alias("query_id"), F.lit(1).alias("rank"), F.col("url").alias("title"), F.col("html").alias("content"))
+    return retrieval.agent_context(history, found, web)
 
 
 @query
@@ -727,6 +730,54 @@ def analysis_sources(spark, sf):
     return retrieval.leading_sources(chunks, "chunk_no", source).select("document_id", F.array_join("sources", "; ").alias("sources"))
 
 
+@query
+def embed_texts(spark, sf):
+    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    found = retrieval.embed_or_error(docs, _two_numbers)
+    number = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return found.select("doc_id", number(0).alias("n_chars"), number(1).alias("n_blanks"), F.coalesce("embedding_error", F.lit("")).alias("error"))
+
+
+def _length_reply(prompts: list[str]) -> list[str]:
+    """Stands for a model: says a prompt's length, nothing to every seventh length, and fails on a bar."""
+    if any("|" in p for p in prompts):
+        raise ValueError("no answer")
+    return [f" {len(p)} " if len(p) % 7 else "" for p in prompts]
+
+
+@query
+def generate_answers(spark, sf):
+    prompts = derived.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return retrieval.generate(prompts, _length_reply).select("doc_id", "answer", "answer_error")
+
+
+@query
+def retry_picked(spark, sf):
+    """Files by account: rows of native text and of recognised text, and the source that is kept."""
+    rows_ = derived.order_rows(spark, sf).select(F.concat(F.lit("scan_"), "account").alias("file_name"), "o_orderkey")
+    source = F.when(F.col("o_orderkey") % 5 == 0, "native").otherwise("ocr")
+    counts = rows_.groupBy("file_name", source.alias("source")).agg(F.count("*").alias("n"))
+    return choose.retry_pick(counts).withColumn("warning", F.coalesce("warning", F.lit("")))
+
+
+@query
+def sql_functions(spark, sf):
+    register_sql_functions(spark)
+    order = derived.statement_rows(spark, sf).select(
+        "o_orderkey", "printed_date", F.concat("printed_date", F.lit(" "), "words").alias("line"),
+        F.concat(F.lit("("), F.format_number(F.col("debit_amount") + F.col("credit_amount"), 2), F.lit(")")).alias("money"))
+    return order.selectExpr(
+        "o_orderkey", "qb_date_token(line) AS token", "qb_normalize_date(printed_date) AS day", "qb_money_strength(money) AS strength",
+        "cast(qb_to_amount(money) AS double) AS amount", "qb_clean_description(line) AS description", "array_join(qb_word_tokens(line), ' ') AS words")
+
+
+@query
+def structured_filter(spark, sf):
+    rows_ = derived.transactions(spark, sf)
+    kept = registry.structured_query(rows_, "filter", {"where": [("description", "contains", "STORE"), ("debit_amount", ">=", 1000)]})
+    return doubles(kept, "debit_amount").select("file_name", "seq", "description", "debit_amount")
+
+
 @query
 def session_docs(spark, sf):
     docs = derived.table(spark, sf, "documents").select(
