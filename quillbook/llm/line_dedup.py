@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import fresh, or_empty
+from quillbook.llm.common import or_empty
+from quillbook.session import materialize
 
 RATIO = 0.5
 #: Pages a host needs before its lines are judged: on fewer, half the pages say nothing.
@@ -49,12 +50,14 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     dropped wherever it stands. An empty table gives no rows.
 
     A host's boilerplate lines are at most its lines per page divided by
-    ``ratio``, however many pages it has, so they travel as one array.
+    ``ratio``, however many pages it has, so they travel as one array. They are
+    written once: Spark then knows their size, and may split the pages of a large
+    host when it joins them.
     """
     lined = pages.select(
         F.col(id_col).alias("page"), host_of(F.col(url_col)).alias("host"), page_lines(or_empty(html_col)).alias("lines"))
     totals = lined.filter("host != ''").groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    common = (
+    common = materialize(
         lined.filter("host != ''").select("host", F.explode(F.array_distinct("lines")).alias("line"))
         .groupBy("host", "line").agg(F.count("*").alias("holding")).filter(F.col("holding") > ratio * least_pages)
         .join(totals, "host").filter(F.col("holding") > ratio * F.col("pages"))
