@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     label_id, label, text = "label_id", "label", "label_text"
-    texts = docs.select(F.col(id_col).alias(label_id), or_empty(text_col).alias(text))
-    picked = texts.join(F.broadcast(chosen.select(F.col("doc_id").alias(label_id), F.col("quality").alias(label))), label_id)
+    texts = docs.select(F.col(id_col).cast("string").alias(label_id), or_empty(text_col).alias(text))
+    picked = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("string").alias(label_id), F.col("quality").cast("int").alias(label))), label_id)
     columns = [f"x{i}" for i in range(len(FEATURES))]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = pd.DataFrame(np.array([f[1] for f in found], float).reshape(-1, len(columns)), columns=columns)
             yield out.assign(label=batch[label].to_numpy(), failed=base_failed(counts), id=batch[label_id].to_numpy())
 
-    schema = ", ".join(f"{c} double" for c in columns) + ", label int, failed boolean, id long"
+    schema = ", ".join(f"{c} double" for c in columns) + ", label int, failed boolean, id string"
     rows = picked.mapInPandas(measure, schema)
     # an id may occur on many rows: one row of each is enough, and keeps the bound
     rows = rows.groupBy("id").agg(F.min(F.struct(*columns, "label", "failed")).alias("row")).select("row.*").toPandas()
