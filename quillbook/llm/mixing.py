@@ -21,7 +21,7 @@ from quillbook.llm.common import fresh, or_empty
 
 OTHER = "*"
 #: Rows of all sources in one of the buckets in which a source's rows are put in order, about.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 BLOCK_BYTES = 1 << 16
 #: Sum of all weights, at most: the length of a planned cycle.
 MAX_CYCLE = 100_000
