@@ -34,10 +34,10 @@ def drain(df) -> None:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="quillbook-bench")
-    scratch = tempfile.mkdtemp(prefix="quillbook-bench-")
-    derived.statement_lines(spark, folder).write.parquet(f"{scratch}/lines")
-    derived.table_cells(spark, folder).write.parquet(f"{scratch}/cells")
-    stored_lines, stored_cells = (spark.read.parquet(f"{scratch}/{n}") for n in ("lines", "cells"))
+    rendered = tempfile.mkdtemp(prefix="quillbook-bench-")
+    derived.statement_lines(spark, folder).write.parquet(f"{rendered}/lines")
+    derived.table_cells(spark, folder).write.parquet(f"{rendered}/cells")
+    stored_lines, stored_cells = (spark.read.parquet(f"{rendered}/{n}") for n in ("lines", "cells"))
 
     runs = {name: (lambda q=QUERIES[name]: q(spark, folder)) for name in NAMES}
     runs["txn_parse"] = lambda: rows.parse_parts(lines.split_parts(stored_lines))
