@@ -188,8 +188,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The chosen rows are named by id and text, so texts are shuffled once and
     written nowhere. Of rows that share both, any one stays.
     """
+    return first_rows(docs, grouped(docs, id_col, text_col, shingle_words, threshold), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``rows`` (key, first) marks as the first of their groups; of equal ones any."""
     (key,) = fresh(docs, "row_key")
-    rows = grouped(docs, id_col, text_col, shingle_words, threshold)
     kept = materialize(rows.groupBy("key").agg(F.max("first").alias("first"), F.count("*").alias("n")).filter("first"))
     keyed = docs.withColumn(key, row_key(id_col, text_col))
 
