@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,27 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def file_places(df: DataFrame) -> tuple[DataFrame, Column, Column] | None:
+    """``df`` with (file, index in it) per row, and columns that put the rows in the order of file names and of rows in them.
+
+    Spark reads files by size and cuts them, so neither partitions nor row
+    numbers follow their names. None where ``df`` is no plain scan of Parquet
+    files, with columns and rows taken from it at most.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return None
+    path, index = fresh(df, "file_path", "row_index")
+    try:
+        placed = df.withColumns({path: F.col("_metadata.file_path"), index: F.col("_metadata.row_index")})
+        placed.schema  # noqa: B018 - resolves the names
+    except AnalysisException:
+        return None
+    return placed, F.col(path), F.col(index)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A digest of a row's id and text, equal for rows that share both and never null."""
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0001")), F.lit("\u0002"), or_empty(text_col)))

@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import ROW_BYTES, fresh, numbered, or_empty, row_key
+from quillbook.llm.common import ROW_BYTES, file_places, fresh, numbered, or_empty, row_key
 from quillbook.session import materialize
 
 GRAIN = 64
 #: Groups in a cell, about.
 CELL_GROUPS = 20_000
 SIZES = ("size", "tokens", "n_rows")
+#: Rows of a file that are numbered together, as a power of two.
+PART_BITS = 17
 
 
 def place(items: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -48,7 +50,8 @@ def pack(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: st
     """(id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 16, null counting as empty; slots run from
-    0 without gaps in every shard, in the order of the input. Rows with equal
+    0 without gaps in every shard, in the order of the input; that of Parquet files
+    is the order of their names, and of the rows in them. Rows with equal
     texts share a shard, unless they exceed a shard's capacity in bytes, tokens or
     rows: such a group is cut by row number into pieces of about half a shard.
     Repeated rows are rows of their own; null ids are values like others. An empty
@@ -83,11 +86,12 @@ def packed(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, size, text_crc32, shard, slot) per row of ``docs``, without its texts."""
     text = or_empty(text_col)
+    docs, path, index = file_places(docs) or (docs, F.lit(None).cast("string"), F.lit(None).cast("long"))
     base = numbered(docs.select(
-        F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"),
+        path.alias("path"), index.alias("index"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"),
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
         F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest")), "row_no")
-    narrow = base.select("row_no", "size", "tokens", "digest")
+    narrow = base.select("row_no", "path", "index", "size", "tokens", "digest")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")]
     total = narrow.agg(*sums).first()
     capacity = np.maximum([float(total[c] or 0) / shards for c in SIZES], 1e-9)
@@ -98,7 +102,7 @@ def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFr
     hot = narrow.groupBy("digest").agg(*sums).filter(share > 1).select("digest", F.ceil(2 * share).alias("pieces")).collect()
     cut = spark.createDataFrame([tuple(r) for r in hot], "digest string, pieces long")
     pieces = narrow.join(F.broadcast(cut), "digest", "left").select(
-        "row_no", "size", "tokens", "digest",
+        "row_no", "path", "index", "size", "tokens", "digest",
         F.coalesce(F.pmod(F.xxhash64("row_no"), F.col("pieces")), F.lit(0)).alias("piece"))
     groups = materialize(pieces.groupBy("digest", "piece").agg(*sums))
 
@@ -120,12 +124,18 @@ def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFr
         pack_cell, "digest string, piece long, shard int")
     placed = placed_small.unionByName(spark.createDataFrame(large_rows, "digest string, piece long, shard int"))
 
-    # slots: the rows of a shard from one written partition, then those of the next
-    rows = materialize(pieces.join(placed, ["digest", "piece"]).select("row_no", "shard", F.shiftright("row_no", 33).alias("part")))
-    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).select(
-        "shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "part").orderBy("row_no")
-    slots = rows.join(offsets, ["shard", "part"]).select(
+    # slots: the rows of a shard from one part of a file, or from one written partition, then those of the next
+    rows = materialize(pieces.join(placed, ["digest", "piece"]).select(
+        "row_no", "shard", "path", "index",
+        F.coalesce(F.shiftright("index", PART_BITS), F.shiftright("row_no", 33)).alias("part")))
+    # names of part files: a longer number is a larger one
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = F.expr("left(path, length(path) - length(element_at(split(path, '/'), -1)))")
+    earlier = Window.partitionBy("shard").orderBy(folder, F.length(name), name, "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("shard", "path", "part").agg(F.count("*").alias("n")).select(
+        "shard", F.coalesce("path", F.lit("")).alias("path"), "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    rows = rows.withColumn("path", F.coalesce("path", F.lit("")))
+    within = Window.partitionBy("shard", "path", "part").orderBy("index", "row_no")
+    slots = rows.join(offsets, ["shard", "path", "part"]).select(
         "row_no", "shard", (F.col("offset") + F.row_number().over(within) - 1).alias("slot"))
     return base.join(slots, "row_no").select("id", "key", "size", "text_crc32", "shard", "slot")

@@ -126,3 +126,39 @@ def test_in_order_and_empty(spark):
     assert mixing.mix(docs.limit(0), {"big": 3}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"big": 0})
+
+
+def test_slots_follow_files_of_unequal_size(spark, tmp_path):
+    start = 0
+    for k, n in enumerate((40, 900, 300, 2000, 5, 1200)):
+        rows = spark.range(start, start + n, 1, 1).select(
+            F.col("id").alias("doc_id"), F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), 20), F.lit("x")).alias("text"))
+        rows.write.parquet(f"{tmp_path}/made/{k}")
+        (made,) = (tmp_path / "made" / str(k)).glob("part-*.parquet")
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        (tmp_path / "docs" / f"part-{k:05d}-x.parquet").write_bytes(made.read_bytes())
+        start += n
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert [r.doc_id for r in docs.select("doc_id").collect()] != list(range(start))
+    for out in (sharding.packed(docs, 3), sharding.pack(docs, 3), sharding.pack(docs.filter("doc_id >= 0").select("text", "doc_id"), 3)):
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == list(range(start))
+        for shard in range(3):
+            ids = [r.doc_id for r in sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)]
+            assert ids and ids == sorted(ids)
+
+
+def test_slots_follow_the_mix_of_several_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = {"src0": 5, "src1": 1}
+    mixed = mixing.in_order(docs, weights, block_bytes=4096)
+    mixed.write.option("maxRecordsPerFile", 170).parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(read.inputFiles()) > 3
+    slot = {r.doc_id: r.slot for r in mixing.mix(docs, weights, block_bytes=4096).collect()}
+    by_shard = defaultdict(list)
+    for r in sharding.packed(read, 4).collect():
+        by_shard[r.shard].append((r.slot, slot[r.doc_id]))
+    for pairs in by_shard.values():
+        order = [s for _, s in sorted(pairs)]
+        assert order == sorted(order)
