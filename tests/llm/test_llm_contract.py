@@ -17,9 +17,11 @@ COLUMNS = {
                         "formatted_chars": "bigint"},
     "op9_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
                           "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op13_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint",
+                                 "count_sum": "bigint", "groups_sha256": "string"},
 }
 ROWS = {"op1_sharding": "documents", "op2_license_scan": "documents", "op3_line_dedup": "pages", "op4_warc": "pages", "op5_simhash": "documents",
-        "op7_mixing": "documents", "op9_quality_rules": "documents", "op10_token_counts": "documents"}
+        "op7_mixing": "documents", "op9_quality_rules": "documents", "op10_token_counts": "documents", "op13_tokenizer_alignment": "documents"}
 
 
 def test_names():
