@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm import alignment, chat, decontam, licenses, line_dedup, mixing, quality, sharding, simhash, token_counts, warc
+from quillbook.llm import alignment, chat, decontam, divergence, licenses, line_dedup, mixing, quality, sharding, simhash, token_counts, warc
 from quillbook.llm.common import read
 
 #: Target weights of the training mix, in parts of the sum; every other source shares the last entry.
@@ -83,6 +83,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recount(trees, "edits").select("doc_id", "n_tokens", "new_tokens", "new_chars", "encoded_chars")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op12_source_divergence": op12_source_divergence,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -114,4 +119,5 @@ LLM_EXPECTED: dict[str, str] = {
     FROM ranked
     """,
     "op8_chat_format": chat.expected_sql(ADDED_CONVERSATION),
+    "op12_source_divergence": divergence.expected_sql(),
 }

@@ -17,6 +17,7 @@ COLUMNS = {
                         "formatted_chars": "bigint"},
     "op9_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
                           "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op12_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
     "op13_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint",
                                  "count_sum": "bigint", "groups_sha256": "string"},
 }
