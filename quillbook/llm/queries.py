@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm import alignment, chat, decontam, divergence, licenses, line_dedup, mixing, quality, sharding, simhash, token_counts, warc
+from quillbook.llm import alignment, chat, decontam, divergence, licenses, line_dedup, mixing, quality, rule_ensemble, sharding, simhash, token_counts, warc
 from quillbook.llm.common import read
 
 #: Target weights of the training mix, in parts of the sum; every other source shares the last entry.
@@ -83,6 +83,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recount(trees, "edits").select("doc_id", "n_tokens", "new_tokens", "new_chars", "encoded_chars")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = rule_ensemble.score(docs, rule_ensemble.fit(docs, read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(rule_ensemble.remainder("doc_id") == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -102,6 +109,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_source_divergence": op12_source_divergence,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

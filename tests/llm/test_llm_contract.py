@@ -17,18 +17,19 @@ COLUMNS = {
                         "formatted_chars": "bigint"},
     "op9_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
                           "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op12_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
     "op13_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint",
                                  "count_sum": "bigint", "groups_sha256": "string"},
 }
 ROWS = {"op1_sharding": "documents", "op2_license_scan": "documents", "op3_line_dedup": "pages", "op4_warc": "pages", "op5_simhash": "documents",
-        "op7_mixing": "documents", "op9_quality_rules": "documents", "op10_token_counts": "documents", "op13_tokenizer_alignment": "documents"}
+        "op7_mixing": "documents", "op9_quality_rules": "documents", "op10_token_counts": "documents", "op11_quality_classifier": "documents", "op13_tokenizer_alignment": "documents"}
 
 
 def test_names():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
-    assert {n for n in oracle_sql() if n in names} == {"op3_line_dedup", "op4_warc", "op8_chat_format"}
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
+    assert {n for n in oracle_sql() if n in names} == {"op3_line_dedup", "op4_warc", "op8_chat_format", "op12_source_divergence"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
