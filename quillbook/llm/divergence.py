@@ -34,7 +34,7 @@ TERMS_A_SHARD = 40_000
 #: Bytes of transducers that are sent to the tasks for one pass over the texts, unless one alone is larger.
 PASS_BYTES = 48 << 20
 #: Counts that a task holds before it hands them on; only memory depends on it.
-COUNTS_AT_ONCE = 400_000
+COUNTS_AT_ONCE = 1_000_000
 #: Ordinals whose counts in all groups of a language lie in one task.
 BLOCK_TERMS = 4096
 SCALE = 1_000_000_000
@@ -179,7 +179,7 @@ def recount(docs: DataFrame, shards: DataFrame, group: list) -> DataFrame:
                 terms = list(counter)
                 at, ordinals = ready[lang].ordinals(terms)
                 n = np.fromiter(counter.values(), np.int64, len(terms))[at]
-                yield pd.DataFrame({"lang": lang, "source": source, "ordinal": ordinals, "n": n})
+                yield pd.DataFrame({"lang": [lang], "source": [source], "ordinals": [ordinals], "n": [n]})
             counts.clear()
 
         for batch in batches:
@@ -195,7 +195,9 @@ def recount(docs: DataFrame, shards: DataFrame, group: list) -> DataFrame:
 
     wanted = docs.filter(F.col("lang").isin(list(by_lang))) if len(by_lang) < 1000 else docs.join(
         F.broadcast(keys.select("lang").distinct()), "lang", "left_semi")
-    return wanted.select("lang", "source", "text").mapInPandas(stream, "lang string, source string, ordinal long, n long")
+    made = wanted.select("lang", "source", "text").mapInPandas(stream, "lang string, source string, ordinals array<long>, n array<long>")
+    return made.select("lang", "source", F.explode(F.arrays_zip("ordinals", "n")).alias("c")).select(
+        "lang", "source", F.col("c.ordinals").alias("ordinal"), F.col("c.n").alias("n"))
 
 
 def block_rows(counts: pd.DataFrame, groups: pd.DataFrame, block_terms: int) -> pd.DataFrame:
