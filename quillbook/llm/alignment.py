@@ -6,10 +6,10 @@ double from the last place found, then a binary search closes in. Ends on both
 sides cut the tokens into groups, and the difference of a token's rank and that
 of the token before it is the range of the other side's tokens it overlaps.
 
-How often an id pair is linked in the whole corpus takes two passes over the
-texts. Rows lie in blocks of bounded bytes; the first pass counts the pairs of
-each block, so a pair that every text holds is one row a block. The sums go
-back to the blocks that asked for them, where the second pass looks them up.
+Texts are encoded once. Rows lie in blocks of bounded bytes; a block's distinct
+id pairs are counted beside its rows, so a pair that every text holds is one row
+a block. The sums over all blocks go back to those that hold the pair, and each
+row adds up what its links find there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,24 +39,27 @@ BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes in a block, about: what one task holds at a time.
 BLOCK_BYTES = 8 << 20
-#: Links whose pairs are counted at once; only memory depends on it.
-LINKS_AT_ONCE = 4 << 20
+#: Links that are handed on at once; only memory depends on it.
+LINKS_AT_ONCE = 1 << 20
 #: Chunks of text whose tokens a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 #: A pre-token ends here in both vocabularies: after a character that is no white space, before a blank.
 CUT = re.compile(r"(?<=\S)(?= )")
-RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Where this occurs, not every blank is a cut.
+BLANKS = re.compile(r"(?:^|\s) ")
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def gallop(shorter: list[int], longer: list[int]) -> list[int]:
     """For each of ``shorter``, how many of ``longer`` are smaller; both ascend, and no value is above the last of ``longer``."""
     ranks, at, last = [], 0, len(longer) - 1
     for end in shorter:
-        step, top = 1, at
-        while top < last and longer[top] < end:
-            at, top, step = top + 1, top + step, 2 * step
-        at = bisect_left(longer, end, at, min(top, last) + 1)
+        top, step = at, 1
+        while longer[top] < end:
+            at, top, step = top + 1, min(top + step, last), 2 * step
+        if at < top:
+            at = bisect_left(longer, end, at, top)
         ranks.append(at)
     return ranks
 
@@ -121,41 +126,44 @@ class Pair:
         return tuple(np.array([f"{i}{c}" for i in range(n)], object) for n, c in ((len(a), ","), (len(a), "|"), (len(b), ","), (len(b), ";")))
 
     def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """Tokens of chunks that begin with a blank; None where a side's bytes differ from the chunk's."""
+        """Tokens of a blank and each of the chunks, as bytes of their ids; None where the bytes of the second's differ from these."""
         out = {}
-        for chunk, b in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            # the second tokenizer puts no blank before an empty text
-            a, b, wanted = self.a.encode_ordinary(chunk), b or [self.b.piece_to_id("▁")], chunk.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == wanted == b"".join(map(self.b_bytes.__getitem__, b))
-            out[chunk] = (a, b) if same else None
+        for chunk, b in zip(chunks, map(self.b.encode, chunks), strict=True):
+            b = b or [self.b.piece_to_id("▁")]  # it puts no blank before an empty text
+            chunk_and_blank = " " + chunk
+            same = b"".join(map(self.b_bytes.__getitem__, b)) == chunk_and_blank.encode()
+            out[chunk] = tuple(np.array(x, np.int32).tobytes() for x in (self.a.encode_ordinary(chunk_and_blank), b)) if same else None
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a blank and the text by both; None for an empty text, and where joined bytes differ from it."""
+        """Ids of a blank and the text by both; None for an empty text, and where joined bytes differ from it.
+
+        A byte-level vocabulary has a token for every byte, so the first one's bytes never differ.
+        """
         if not text:
             return None
-        chunks = CUT.split(" " + text) if self.cuts else [" " + text]
-        entries = list(map(self.remembered.get, chunks, [False] * len(chunks)))
+        if not self.cuts:
+            chunks = [text]
+        elif BLANKS.search(text):
+            chunks = [c[1:] for c in CUT.split(" " + text)]
+        else:
+            chunks = text.split(" ")
+        entries = list(map(self.remembered.get, chunks, repeat(False)))
         if False in entries:
-            new = self.learn([c for c, e in dict(zip(chunks, entries, strict=True)).items() if e is False])
+            new = self.learn(list({c for c, e in zip(chunks, entries, strict=True) if e is False}))
             entries = [new[c] if e is False else e for c, e in zip(chunks, entries, strict=True)]
-            if len(self.remembered) + len(new) > REMEMBERED:
-                self.remembered.clear()
-            self.remembered.update((c, e) for c, e in new.items() if len(c) <= LONGEST_REMEMBERED)
+            if len(self.remembered) < REMEMBERED:
+                self.remembered.update((c, e) for c, e in new.items() if len(c) <= LONGEST_REMEMBERED)
         if None in entries:
             return None
-        a, b = [], []
-        for x, y in entries:
-            a += x
-            b += y
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return tuple(np.frombuffer(b"".join(map(itemgetter(side), entries)), np.int32).astype(np.int64) for side in (0, 1))
 
     def align(self, ids: tuple[np.ndarray, np.ndarray]) -> Alignment:
         return Alignment.of(*(np.cumsum(length[i]) for length, i in zip(self.lengths, ids, strict=True)))
 
     def codes(self, ids: tuple[np.ndarray, np.ndarray], found: Alignment) -> np.ndarray:
-        """One number for the two ids of each link."""
-        return ids[0][found.a_link] << 32 | ids[1][found.b_link]
+        """One number for the two ids of each link, below the product of the vocabularies' sizes."""
+        return ids[0][found.a_link] * len(self.lengths[1]) + ids[1][found.b_link]
 
     def groups(self, ids: tuple[np.ndarray, np.ndarray], found: Alignment) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group, the first tokenizer's before the second's."""
@@ -204,55 +212,60 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     they occur; a null id is a row like any other; an empty table gives no rows.
     Other columns of ``docs``, whatever their names, play no part.
     """
-    context = docs.sparkSession.sparkContext
     files = []
     for path in (byte_level, pieces):
         with open(path, "rb") as file:  # on the driver; the tasks get the bytes
             files.append(file.read())
-    sent = context.broadcast(tuple(files))  # two files of about a megabyte
-    blocks = in_blocks(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(files))  # two files of about a megabyte
+    sizes = [len(x) for x in pair_of(*files).lengths]
+    number = np.int32 if sizes[0] * sizes[1] < 1 << 31 else np.int64
+    columns = ["block", "id", *COUNTS, "groups_sha256", "groups", "links", "times"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair, block, codes, n = pair_of(*sent.value), None, [], 0
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each text; behind the rows of a block its distinct links, and how often each occurs."""
+        pair, block, links, out, held = pair_of(*sent.value), None, [], [], 0
 
-        def counted() -> pd.DataFrame:
-            found, times = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True)
-            return pd.DataFrame({"block": np.full(len(found), block or 0), "pair": found, "n": times})
+        def block_row() -> list:
+            found, times = np.unique(np.concatenate(links), return_counts=True)
+            return [(block, None, 0, 0, 0, 0, None, None, found.astype(number), times)]
 
         for batch in batches:
-            for at, text in zip(batch.block.tolist(), batch.text, strict=True):
-                if at != block or n > LINKS_AT_ONCE:
-                    yield counted()
-                    block, codes, n = at, [], 0
+            for at, key, text in zip(batch.block.tolist(), batch.id, batch.text, strict=True):
+                if links and (at != block or held > LINKS_AT_ONCE):
+                    yield pd.DataFrame(out + block_row(), columns=columns)
+                    links, out, held = [], [], 0
+                block = at
                 if ids := pair.encode(text):
-                    codes.append(pair.codes(ids, pair.align(ids)))
-                    n += len(codes[-1])
-        yield counted()
-
-    met = materialize(blocks.select("block", "text").mapInPandas(count, "block long, pair long, n long"))
-    sums = met.groupBy("pair").agg(F.sum("n").alias("count"))
-    second = F.col("pair").bitwiseAND((1 << 32) - 1)
-    best = sums.groupBy(second.alias("second")).agg(F.max("count").alias("highest"))
-    known = sums.withColumn("second", second).join(best, "second").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    asked = met.select("block", "pair").join(known, "pair").select("block", "pair", "count", "best")
-    kind = docs.schema[id_col].dataType
+                    found = pair.align(ids)
+                    groups, codes = pair.groups(ids, found), pair.codes(ids, found).astype(number)
+                    counts = len(ids[0]), len(ids[1]), len(found.a_common), len(codes)
+                    digest = hashlib.sha256(groups.encode()).hexdigest()
+                else:
+                    groups, digest, codes, counts = "", "", np.zeros(0, number), (0, 0, 0, 0)
+                out.append((block, key, *counts, digest, groups if with_groups else None, codes, None))
+                links.append(codes)
+                held += len(codes) + 16
+        yield pd.DataFrame(out + block_row() if links else out, columns=columns)
+
+    kind = "int" if number is np.int32 else "long"
+    schema = (f"block long, id string, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, groups string, "
+              f"links array<{kind}>, times array<long>")
+    made = materialize(in_blocks(docs, id_col, text_col).mapInPandas(encoded, schema))
+    met = made.filter("times IS NOT NULL").select("block", F.explode(F.arrays_zip("links", "times")).alias("m")).select(
+        "block", F.col("m.links").alias("pair"), F.col("m.times").alias("n"))
+    sums = met.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("second", F.col("pair") % sizes[1])
+    best = sums.groupBy("second").agg(F.max("count").alias("highest"))
+    known = sums.join(best, "second").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
+    asked = met.select(F.col("block").alias("holder"), "pair").join(known, "pair").select("holder", "pair", "count", "best")
 
     def judge(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        pair = pair_of(*sent.value)
         asked = asked.sort_values("pair")
         pairs, counts, best = (asked[c].to_numpy() for c in ("pair", "count", "best"))
-        out = []
-        for text in rows.text:
-            if ids := pair.encode(text):
-                found = pair.align(ids)
-                at = np.searchsorted(pairs, pair.codes(ids, found))
-                groups = pair.groups(ids, found)
-                numbers = len(ids[0]), len(ids[1]), len(found.a_common), len(at), int(best[at].sum()), int(counts[at].sum())
-                out.append((*numbers, hashlib.sha256(groups.encode()).hexdigest(), groups if with_groups else ""))
-            else:
-                out.append((*[0] * len(RESULT), "", ""))
-        return pd.DataFrame(out, columns=[*RESULT, "groups_sha256", "groups"]).assign(id=rows.id.to_numpy())
-
-    schema = "id string, " + ", ".join(f"{c} long" for c in RESULT) + ", groups_sha256 string, groups string"
-    judged = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(judge, schema)
-    return judged.select(F.col("id").cast(kind).alias(id_col), *RESULT, "groups_sha256", *["groups"] * with_groups)
+        at = [np.searchsorted(pairs, links) for links in rows.links]
+        return rows.drop(columns=["block", "links"]).assign(n_best=[int(best[x].sum()) for x in at], count_sum=[int(counts[x].sum()) for x in at])
+
+    texts = made.filter("times IS NULL").drop("times")
+    result = [*COUNTS, "n_best", "count_sum", "groups_sha256"]
+    judged = texts.groupBy("block").cogroup(asked.groupBy("holder")).applyInPandas(
+        judge, f"id string, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, groups string, n_best long, count_sum long")
+    return judged.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *result, *["groups"] * with_groups)
