@@ -141,7 +141,7 @@ def transducers(kept: DataFrame) -> DataFrame:
     before = Window.partitionBy("lang").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     bases = made.select("lang", "first", F.size("terms").cast("long").alias("n"))
     bases = bases.select("lang", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return made.join(bases, ["lang", "first"])
+    return made.join(F.broadcast(bases), ["lang", "first"])
 
 
 def passes(shards: DataFrame) -> Iterator[list]:
@@ -265,7 +265,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     terms = made.filter("part = 'term'")
     terms = terms.withColumn("rank", ranked(terms, "ordinal")).filter(F.col("rank") <= TOP_TERMS)
     names = shards.select("lang", "base", F.posexplode("terms").alias("at", "item")).select("lang", (F.col("base") + F.col("at")).alias("ordinal"), "item")
-    named = terms.drop("item").join(names, ["lang", "ordinal"])
+    named = terms.drop("item").join(names.hint("merge"), ["lang", "ordinal"])  # a vocabulary is no side to broadcast
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.select(*columns).unionByName(named.select(*columns))
 
