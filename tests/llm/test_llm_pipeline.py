@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_llm_copies import plain_fingerprint, plain_groups
+from test_llm_overlap import plain_kept
 from test_llm_text import plain_counts
 
 from quillbook.llm import decontam, mixing, quality
@@ -37,11 +37,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
             wanted |= {i} if score <= forest.threshold else set()
     assert set(kept[0]) == wanted
 
-    prints = {i: plain_fingerprint(r.text) for i, r in kept[0].items()}
-    groups, least = plain_groups(prints.values()), {}
-    for i in sorted(prints):
-        least.setdefault(groups[prints[i]], i)
-    assert set(kept[1]) == set(least.values())
+    assert set(kept[1]) == plain_kept([(i, r.text) for i, r in kept[0].items()])
 
     items = [decontam.WORD.findall(b.text.lower()) for b in bench]
     leaks = {i for i, r in kept[1].items() if any(
