@@ -612,6 +612,9 @@ EXPECTED["csv_read"] = f"""WITH {CELLS}, nth AS (SELECT *, row_number() OVER (PA
 SELECT file_name, k + (k - 1) // 10 AS row_no, array_to_string(list_transform(cells, lambda c, i: CASE
   WHEN i <> 2 THEN c WHEN k % 4 = 1 THEN '5" ' || c WHEN k % 4 = 2 THEN '"x" ' || c WHEN k % 4 = 3 THEN c || chr(10) || 'second, line' ELSE c END), '|') AS cells
 FROM nth"""
+EXPECTED["csv_scan"] = f"""WITH {CELLS} SELECT file_name, row_no, array_to_string(list_transform(cells, lambda c, i: CASE
+  WHEN i <> 2 THEN c WHEN row_no % 4 = 1 THEN '5" ' || c WHEN row_no % 4 = 2 THEN '"x" ' || c WHEN row_no % 4 = 3 THEN c || chr(10) || 'second, line' ELSE c END), '|') AS cells
+FROM cells_"""
 EXPECTED["text_read"] = r"""WITH cut AS (SELECT 'doc_' || doc_id || '.txt' AS file_name, unnest(lines) AS raw, unnest(range(len(lines))) AS line_no
   FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\f\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS lines FROM documents)),
 trimmed AS (SELECT file_name, line_no, regexp_replace(raw, '^[\s\x{a0}\x{3000}\x1f]+|[\s\x{a0}\x{3000}\x1f]+$', '', 'g') AS text FROM cut)

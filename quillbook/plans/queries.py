@@ -699,6 +699,16 @@ def csv_read(spark, sf):
     return kept.unionByName(rejects.select("file_name", F.lit(0).cast("long").alias("row_no"), F.col("error").alias("cells")))
 
 
+@query
+def csv_scan(spark, sf):
+    """Table rows written as a few large CSV files, with breaks and quotes in fields, and read again by ranges of bytes."""
+    folder = f"{ensure_checkpoint_dir(spark)}/csv_scan/{uuid.uuid4().hex}"
+    derived.csv_lines(spark, sf).write.text(folder)
+    read, _ = files.delimited_scan(spark, folder)
+    return read.select(F.col("cells")[0].alias("file_name"), F.col("cells")[1].cast("long").alias("row_no"),
+                       F.array_join(F.slice("cells", 3, F.size("cells") - 2), "|").alias("cells"))
+
+
 @query
 def payload_round_trip(spark, sf):
     """Statements written as JSON and read again: their rows beside their summary."""

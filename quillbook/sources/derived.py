@@ -326,6 +326,13 @@ def csv_files(spark: SparkSession, folder: str) -> DataFrame:
     return _as_bytes(texts, F.encode(F.concat(mark, "text"), "utf-8"))
 
 
+def csv_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """value: file_name, row_no and cells of the table rows as CSV records, quoted by turns as in ``csv_files``."""
+    shown = F.expr(r'''transform(cells, (c, i) -> CASE WHEN i <> 1 THEN c WHEN row_no % 4 = 1 THEN concat('5" ', c)
+        WHEN row_no % 4 = 2 THEN concat('"""x"" ', c, '"') WHEN row_no % 4 = 3 THEN concat('"', c, '\nsecond, line"') ELSE c END)''')
+    return table_cells(spark, folder).select(F.concat_ws(",", "file_name", F.col("row_no").cast("string"), F.array_join(shown, ",")).alias("value"))
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """FILES: file_name, size, content of the documents, every third with a
     byte-order mark and every fourth with a byte that is no UTF-8 before its text."""
