@@ -653,6 +653,9 @@ EXPECTED["doc_lookup"] = f"""WITH {REG} SELECT document_id, status, sums.chunk_c
   FROM last_rows JOIN sums USING (document_id) WHERE document_id = 7"""
 EXPECTED["latest_events"] = """SELECT user_id, event_type, event_id FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"""
+EXPECTED["stored_events"] = """SELECT user_id, event_type, event_id FROM (SELECT DISTINCT * FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE user_id % 7 <> 0"""
+EXPECTED["stored_lengths"] = """SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, length(coalesce(text, '')) AS n_chars FROM documents"""
 EXPECTED["delete_convs"] = """SELECT conv_id AS conversation_id, count(*) AS n, count(*) AS kept FROM conversations
   WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id"""
 EXPECTED["panel_upload"] = """SELECT doc_id AS document_id, CASE WHEN strlen(text) * 4096 > 20 * 1024 * 1024

@@ -15,6 +15,7 @@ from quillbook.functions import dates, money, text
 from quillbook.functions.patterns import CATEGORY_KEYWORDS
 from quillbook.functions.register import register_sql_functions
 from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, payload, registry, retrieval, rows, tables
+from quillbook.operators.keyed_store import KeyedStore
 from quillbook.plans import corpus
 from quillbook.plans.statement import StatementTables, process_statements
 from quillbook.session import ensure_checkpoint_dir, materialize
@@ -801,6 +802,35 @@ def latest_events(spark, sf):
     return registry.latest_by_key(log, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+def _store(spark, schema: str, key: str, version: str) -> KeyedStore:
+    return KeyedStore(spark, f"{ensure_checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}", schema, key, version, buckets=8)
+
+
+@query
+def stored_events(spark, sf):
+    """A user's latest event from a store that got all events in three batches, one of them twice, late ones among them, and deletes."""
+    log = derived.table(spark, sf, "events").select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("at"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in log.dtypes)
+    store = _store(spark, schema, "user_id", "at")
+    for n in (2, 0, 1, 0):
+        store.merge(log.filter(F.col("event_id") % 3 == n), f"batch {n}")
+    store.compact()
+    gone = log.filter("user_id % 7 = 0").groupBy("user_id").agg(F.max("at").alias("at"))
+    store.merge(log.filter("event_id % 3 = 1"), "again", deletes=gone)
+    return store.read().select("user_id", "event_type", "event_id").distinct()
+
+
+@query
+def stored_lengths(spark, sf):
+    """Lengths of all documents, worked out once for each text over two batches that share some."""
+    docs = derived.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    store = _store(spark, "content_hash string, n_chars int, work_version int", "content_hash", "work_version")
+    work = lambda new: new.select("content_hash", F.length("text").alias("n_chars"))
+    first = documents.once_ever(docs.filter("doc_id % 2 = 0"), work, store, "even")
+    return materialize(first).unionByName(documents.once_ever(docs.filter("doc_id % 2 <> 0"), work, store, "odd")).select(
+        "doc_id", "content_hash", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 @query
 def delete_convs(spark, sf):
     messages = _messages(spark, sf)
