@@ -46,7 +46,8 @@ class KeyedStore:
     def merge(self, rows: DataFrame, batch: str, deletes: DataFrame | None = None) -> bool:
         """Add rows and deletes (key, version) as one batch; False where the store has the batch already.
 
-        A null key or version is an error, and nothing is added. Of the rows of one key in a batch, those with the highest version count.
+        A null key or version is an error, and nothing is added. Of the rows of one key in a batch, those with the highest version count;
+        a delete of the same version wins over them.
         """
         number, manifest = self._manifest()
         if batch in manifest["batches"]:
@@ -101,8 +102,9 @@ class KeyedStore:
     def _folded(self, runs: dict[str, list[str]], keys: DataFrame | None = None) -> DataFrame:
         """Rows of these buckets with the highest version of their key, deletes among them."""
         rows = self._rows(runs, keys)
-        newest = rows.groupBy(self.key).agg(F.max(F.struct(self.version, BATCH)).alias("_newest"))
-        return rows.join(newest, self.key).filter(F.struct(self.version, BATCH) == F.col("_newest")).drop("_newest")
+        state = F.struct(self.version, BATCH, DELETED)  # true is above false: a delete wins over rows of its version and batch
+        newest = rows.groupBy(self.key).agg(F.max(state).alias("_newest"))
+        return rows.join(newest, self.key).filter(state == F.col("_newest")).drop("_newest")
 
     def _rows(self, runs: dict[str, list[str]], keys: DataFrame | None = None) -> DataFrame:
         paths = [f"{self.path}/runs/{run}/{BUCKET}={bucket}" for bucket, names in sorted(runs.items()) for run in names]
