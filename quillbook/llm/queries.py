@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillbook.llm import alignment, chat, decontam, divergence, licenses, line_dedup, mixing, quality, rule_ensemble, sharding, simhash, token_counts, warc
 from quillbook.llm.common import read
 
-#: Target weights of the training mix, in parts of the sum; every other source shares the last entry.
+#: Target weights of the training mix, in parts of the sum; the last entry is dealt equally to all other sources.
 MIX_WEIGHTS = {"src0": 200, "src1": 80, "src2": 60, "src3": 60, "src4": 40, "src5": 40, "src6": 30, mixing.OTHER: 490}
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillbook.llm import mixing, sharding
+from quillbook.llm import mixing, queries, sharding
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, source string, row_no long, SIZE string, shard string, block string, p_source string"
@@ -110,7 +110,7 @@ def test_mix_odd_rows(spark):
     # brute force: sizes laid end to end give each source's blocks
     groups = defaultdict(list)
     for r in rows:
-        groups[r[2] if r[2] in ("big", "s1") else mixing.OTHER].append((r[8], r[10], len((r[1] or "").encode()) + 1))
+        groups[mixing.OTHER if r[2] is None else r[2]].append((r[8], r[10], len((r[1] or "").encode()) + 1))
     for members in groups.values():
         members.sort()
         assert [s for _, s, _ in members] == sorted(s for _, s, _ in members)
@@ -119,6 +119,60 @@ def test_mix_odd_rows(spark):
     assert len({(b, g) for g, m in groups.items() for b, _, _ in m}) == len({s for m in groups.values() for _, s, _ in m})
 
 
+def plain_mix(rows, weights, block_bytes):
+    """(id, block, phase, slot) of (id, bucket, hash, bytes, queue) rows: every slot goes to the released block that is due first."""
+    laid, starts = defaultdict(list), Counter()
+    for i, _, _, size, queue in sorted(rows, key=lambda r: (r[4], r[1], r[2], r[0])):
+        laid[queue].append((starts[queue] // block_bytes, i))
+        starts[queue] += size
+    left = {q: -(-n // block_bytes) for q, n in starts.items()}
+    done, slot, phase, at = Counter(), 0, 0, {}
+    while left:
+        total, begun, taken = sum(weights[q] for q in left), slot, Counter()
+        while True:
+            released = [q for q in left if taken[q] * total // weights[q] <= slot - begun]
+            q = min(released, key=lambda q: (-(-(taken[q] + 1) * total // weights[q]), q))
+            if taken[q] == left[q]:
+                break
+            at[q, done[q]] = (phase, slot)
+            taken[q], done[q], slot = taken[q] + 1, done[q] + 1, slot + 1
+        left = {q: n - taken[q] for q, n in left.items() if n > taken[q]}
+        phase += 1
+    return {(i, block, *at[q, block]) for q, members in laid.items() for block, i in members}
+
+
+@pytest.mark.parametrize("together", [1, 4_096])
+def test_registered_query_against_a_plain_scheduler(spark, monkeypatch, together):
+    monkeypatch.setattr(mixing, "BUCKETS_TOGETHER", together)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    n = -(-docs.count() // 50)
+    rows = [tuple(r) for r in docs.select("doc_id", F.expr(f"pmod(xxhash64(doc_id, text), {n})"), F.expr("xxhash64(doc_id, text)"), F.expr(
+        "octet_length(coalesce(text, '')) + 1"), F.coalesce("source", F.lit("*"))).collect()]
+    listed = queries.MIX_WEIGHTS
+    others = {r[4] for r in rows} - set(listed)
+    n_parts = len(others) + ("*" in {r[4] for r in rows})
+    weights = listed | {q: round(listed["*"] / n_parts) for q in others | {"*"}}
+    assert len(others) > 5
+    found = {(r.doc_id, r.block, r.phase, r.slot) for r in queries.op7_mixing(spark, folder).collect()}
+    assert found == plain_mix(rows, weights, mixing.BLOCK_BYTES)
+
+
+def test_sources_beyond_the_queues_share_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_QUEUES", 2)
+    rows = [(i, "x" * (10 * (i % 7)), ("a", "b", "c", "d", None, "*", "named")[i % 7]) for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"named": 3, "*": 6}, block_bytes=64).collect()
+    assert len(mixed) == 210
+    slots = defaultdict(set)
+    for r in mixed:
+        slots[r.slot].add(r.source if r.source in ("c", "d", "named") else "*")  # c and d are the largest without a weight
+    assert all(len(s) == 1 for s in slots.values()) and set.union(*slots.values()) == {"c", "d", "named", "*"}
+    assert mixing.shared_out({"named": 3, "*": 6}, ["c", "d"], True) == {"named": 3, "c": 2, "d": 2, "*": 2}
+    assert mixing.shared_out({"*": 6}, [], False) == {"*": 6}
+
+
 def test_in_order_and_empty(spark):
     docs = spark.createDataFrame(odd_rows(), ODD)
     assert mixing.in_order(docs, {"big": 3}).columns == docs.columns
