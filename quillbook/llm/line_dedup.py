@@ -13,8 +13,8 @@ from quillbook.llm.common import or_empty
 from quillbook.session import materialize
 
 RATIO = 0.5
-#: Pages a host needs before its lines are judged: on fewer, half the pages say nothing.
-LEAST_PAGES = 4
+#: Pages a host needs before its lines are judged: a single page repeats nothing.
+LEAST_PAGES = 2
 
 #: What ends a line of a page, and what holds no text of it.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"

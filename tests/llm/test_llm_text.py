@@ -70,7 +70,8 @@ def plain_lines(html):
 
 def test_boilerplate_matches_brute_force(spark):
     rows = [(i, "http://User@Site.example:80/x", f"<p>Menu</p><p>page {i}</p><script>x</script><P>Menu</P>") for i in range(6)]
-    rows += [(i, "https://small.example/?q", "<p>only</p>") for i in (20, 21)]
+    rows += [(i, "https://small.example/?q", "<p>only</p>") for i in (20, 21)] + [(22, "https://alone.example/", "<p>kept</p>")]
+    rows += [(i, "https://three.example/", f"<p>text {i}</p><footer>Imprint</footer>") for i in (23, 24, 25)]
     rows += [(30, None, "<p>Menu</p>"), (31, "http://site.example/", None), (32, "no url", ""), (33, "http://site.example", "<b>un\x0b closed"),
              (None, "http://site.example/", "<li>other<li>page 1"), (1, "http://User@Site.example:80/x", rows[1][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit(1)).withColumn("page", F.lit(2))
@@ -79,7 +80,7 @@ def test_boilerplate_matches_brute_force(spark):
     for (page, _, html), host in zip(rows, hosts, strict=True):
         own = [plain_lines(h) for (_, _, h), x in zip(rows, hosts, strict=True) if x == host]
         lines = plain_lines(html)
-        bad = {x for x in lines if host and len(own) >= 4 and sum(x in o for o in own) > 0.5 * len(own)}
+        bad = {x for x in lines if host and len(own) >= 2 and sum(x in o for o in own) > 0.5 * len(own)}
         kept = [x for x in lines if x not in bad]
         wanted.append((page, host, len(lines), len(lines) - len(kept), "\n".join(kept)))
     found = [tuple(r) for r in line_dedup.drop_boilerplate(pages).collect()]
