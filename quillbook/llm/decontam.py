@@ -145,6 +145,12 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int)
             yield Block.of([r.item for r in rows], [r.text for r in rows])
 
 
+def too_short(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: items (long), and too_short (long), those of fewer than ``LEAST`` words, which no document can match. Null texts have none."""
+    words = F.size(F.regexp_extract_all(F.lower(or_empty(text_col)), F.lit(r"(?U)\w+"), F.lit(0)))
+    return benchmark.agg(F.count("*").alias("items"), F.count_if(words < LEAST).alias("too_short"))
+
+
 def matches(text: Column, block: Block, item_type: str, spark, covered: float) -> Column:
     sent = spark.sparkContext.broadcast(block)
 
@@ -162,7 +168,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Documents without a match give no row; null and empty texts match nothing.
     Repeated documents give a row each; a repeated benchmark row counts once, and
     an id with several texts gives a row per text. An empty benchmark, or no
-    documents, gives no rows.
+    documents, gives no rows. Items of fewer than ``LEAST`` words never match: so
+    short a run stands in clean documents too; ``too_short`` counts them.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
     ids = docs.select(F.col(id_col), or_empty(text_col).alias("tiled_text"))
@@ -179,7 +186,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
           item_text: str = "text", covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item; same columns, no shuffle."""
+    """The rows of ``docs`` that cover no benchmark item; same columns, no shuffle.
+
+    Items of fewer than ``LEAST`` words take no rows away; ``too_short`` counts them.
+    """
     kind = benchmark.schema[item_col].dataType.simpleString()
     (found,) = fresh(docs, "found")
     kept = docs

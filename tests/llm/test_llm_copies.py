@@ -172,6 +172,10 @@ def test_contaminations(spark):
         kept = decontam.clean(docs, bench, block_words=words)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 6]
     assert decontam.contaminations(docs, bench.limit(0)).count() == 0 == decontam.contaminations(docs.limit(0), bench).count()
+    short = spark.createDataFrame([(1, "four words, no more"), (2, None), (3, "Größe zählt hier als Wort")], "item_id long, text string")
+    assert tuple(decontam.too_short(short).first()) == (3, 2) and tuple(decontam.too_short(short.limit(0)).first()) == (0, 0)
+    whole = spark.createDataFrame([(1, "it has four words, no more than that")], "doc_id long, text string")
+    assert decontam.contaminations(whole, short).count() == 0
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
