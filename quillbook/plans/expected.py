@@ -625,6 +625,9 @@ EXPECTED["payload_round_trip"] = f"""WITH {TXNS}, heads AS (
 SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY seq) - 1 AS INTEGER) AS row_no, date, description,
   {dbl('debit_amount', 'credit_amount', 'balance')}, {rule_sql('category')} AS category, transaction_count, total_debit,
   'read "' || file_name || '"' AS warnings FROM txns JOIN heads USING (file_name)"""
+EXPECTED["payload_parts_round_trip"] = f"""WITH {TXNS}
+SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY seq) - 1 AS row_no, date, description,
+  {dbl('debit_amount', 'credit_amount', 'balance')}, {rule_sql('category')} AS category FROM txns"""
 EXPECTED["upload_titles"] = f"""WITH {DOCS} SELECT document_id, ('Chat about ' || repeat('long ', 8) || filename)[1:50] AS title FROM docs"""
 EXPECTED["analysis_sources"] = f"""WITH {DOCS}, cut AS (
   SELECT document_id, filename, n, regexp_replace(substring(text, n * 560 + 1, 600), '^\\s+|\\s+$', '', 'g') AS body

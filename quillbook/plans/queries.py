@@ -722,6 +722,15 @@ def payload_round_trip(spark, sf):
     return doubles(payload.payload_rows(written), *AMOUNTS).join(read, "file_name").drop("confidence")
 
 
+@query
+def payload_parts_round_trip(spark, sf):
+    """Statements written as JSON in parts of 100 rows and read again part by part."""
+    ruled = categorize.with_rules(_txn_rows(spark, sf)).withColumns({"category": F.col("rule_category"), "confidence": F.col("rule_confidence")})
+    heads = ruled.groupBy("file_name").agg(F.count("*").alias("transaction_count"), F.lit(None).cast("array<string>").alias("warnings"))
+    parts = payload.payload_parts(heads, materialize(ruled), ["file_name", "transaction_count"], rows_per_part=100)
+    return doubles(payload.part_rows(materialize(parts)), *AMOUNTS).drop("confidence")
+
+
 @query
 def upload_titles(spark, sf):
     long_name = derived.documents(spark, sf).withColumn("name", F.concat(F.repeat(F.lit("long "), F.lit(8)), "filename"))
