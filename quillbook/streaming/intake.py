@@ -80,35 +80,82 @@ def run_intake(uploads: DataFrame, folder: str, checkpoint: str) -> StreamingQue
     )
 
 
+FEED_ROW = ("us", "timed", "id", "known", "debit", "credit", "balance")
+FEED_SCHEMA = "us long, timed boolean, id long, known boolean, debit long, credit long, balance long"
+CHECKED = ("account", "id", "known", "balance", "breaks", "late")
+
+
 class BalanceCheck(StatefulProcessor):
-    """Keeps the last balance of an account and flags rows that do not follow it."""
+    """Holds the rows of an account back until the watermark has passed them, then compares each with the balance before it.
+
+    State: the waiting rows by millisecond and number, how many each millisecond
+    has, and the last row that was let go. Each millisecond has a timer; timers
+    fire in order of time, and only the rows of one millisecond are in memory.
+    """
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "cents long")
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "at long", "n long")
+        self.waiting = handle.getMapState("waiting", "at long, n long", FEED_SCHEMA)
+        self.last = handle.getValueState("last", "us long, id long, balance long")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["ts", "id"])
-        stored = self.last.get() if self.last.exists() else None
-        before = frame["balance"].shift(1)
-        if stored is not None:
-            before.iloc[0] = stored[0]
-        known = before.notna() & (before != 0) & (frame["balance"] != 0)
-        off = (before - frame["debit"] + frame["credit"] - frame["balance"]).abs() > 100
-        self.last.update((int(frame["balance"].iloc[-1]),))
-        yield pd.DataFrame(
-            {"account": key[0], "id": frame["id"], "balance": frame["balance"], "breaks": (known & off).astype(bool)}
-        )
+        last = self.last.get() if self.last.exists() else None
+        for frame in rows:
+            late = []
+            for row in zip(*[frame[c].tolist() for c in FEED_ROW], strict=True):
+                us, timed, number, known, _, _, balance = row
+                if not timed or (last is not None and (us, number) <= (last[0], last[1])):
+                    late.append((key[0], number, known, balance, None, True))
+                    continue
+                at = us // 1000 + 1  # the first millisecond that the row lies wholly before
+                n = self.counts.getValue((at,))[0] if self.counts.containsKey((at,)) else 0
+                if n == 0:
+                    self.handle.registerTimer(at)
+                self.waiting.updateValue((at, n), row)
+                self.counts.updateValue((at,), (n + 1,))
+            if late:
+                yield pd.DataFrame(late, columns=CHECKED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        count = self.counts.getValue((at,))[0]
+        rows = [tuple(self.waiting.getValue((at, n))) for n in range(count)]
+        before = self.last.get()[2] if self.last.exists() else 0
+        out = []
+        for us, _, number, known, debit, credit, balance in sorted(rows):
+            off = before != 0 and balance != 0 and abs(before - debit + credit - balance) > 100
+            out.append((key[0], number, known, balance, off, False))
+            before = balance
+        self.last.update((us, number, balance))
+        for n in range(count):
+            self.waiting.removeKey((at, n))
+        self.counts.removeKey((at,))
+        yield pd.DataFrame(out, columns=CHECKED)
 
     def close(self) -> None:
         pass
 
 
-def live_balance_check(feed: DataFrame) -> DataFrame:
-    """account, id, balance, breaks for a stream of (account, ts, id, debit,
-    credit, balance), amounts in cents. Needs the RocksDB state store."""
-    return feed.groupBy("account").transformWithStateInPandas(
+def live_balance_check(feed: DataFrame, late_by: str = "1 hour") -> DataFrame:
+    """account, id, balance, breaks, late for a stream of (account, ts, id, debit, credit, balance), amounts in cents, ts a timestamp.
+
+    A row waits until the stream is ``late_by`` past it; then it is compared with
+    the account's row before it, in order of ts and id, whatever the order they came in.
+    A row that comes after a later one of its account was let go, a repeat of the last
+    one let go, and a row without ts are late: given out at once with null in ``breaks``, and compared with nothing.
+    Null amounts count as 0, and a balance of 0 is unknown: neither it nor the row after it breaks.
+    Null accounts are one account. Needs the RocksDB state store.
+    """
+    amounts = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("debit", "credit", "balance")]
+    # the watermark moves the timers; without its column Spark drops no row by itself
+    rows = feed.withWatermark("ts", late_by).select(
+        "account", F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"), F.col("ts").isNotNull().alias("timed"),
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), *amounts)
+    checked = rows.groupBy("account").transformWithStateInPandas(
         statefulProcessor=BalanceCheck(),
-        outputStructType="account long, id long, balance long, breaks boolean",
+        outputStructType="account long, id long, known boolean, balance long, breaks boolean, late boolean",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
+    return checked.select("account", F.when(F.col("known"), F.col("id")).alias("id"), "balance", "breaks", "late")
