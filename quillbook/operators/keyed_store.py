@@ -17,13 +17,13 @@ changes nothing.
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbook.operators.manifests import Manifested
 from quillbook.session import delete_folder
 
 BUCKETS = 64
@@ -33,7 +33,7 @@ BATCH, DELETED, BUCKET = "_batch", "_deleted", "_bucket"
 
 
 @dataclass
-class KeyedStore:
+class KeyedStore(Manifested):
     """The rows of ``schema`` under ``path``; ``version`` is a column whose highest value wins, of equal ones that of the later batch."""
 
     spark: SparkSession
@@ -42,6 +42,7 @@ class KeyedStore:
     key: str
     version: str
     buckets: int = BUCKETS
+    EMPTY = '{"batches": [], "runs": {}, "folded": []}'
 
     def merge(self, rows: DataFrame, batch: str, deletes: DataFrame | None = None) -> bool:
         """Add rows and deletes (key, version) as one batch; False where the store has the batch already.
@@ -127,30 +128,3 @@ class KeyedStore:
 
     def _buckets_of(self, run: str) -> list[int]:
         return sorted(int(n.split("=")[1]) for n in self._names(f"runs/{run}") if n.startswith(f"{BUCKET}="))
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, folder: str) -> list[str]:
-        system, path = self._file(folder)
-        return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
-
-    def _manifest(self) -> tuple[int, dict]:
-        """The next manifest's number, and the content of the newest one."""
-        numbers = [int(n.removesuffix(".json")) for n in self._names("manifests") if n.endswith(".json")]
-        if not numbers:
-            return 1, {"batches": [], "runs": {}, "folded": []}
-        (row,) = self.spark.read.text(f"{self.path}/manifests/{max(numbers):012d}.json", wholetext=True).collect()
-        return max(numbers) + 1, json.loads(row["value"])
-
-    def _swap(self, number: int, manifest: dict) -> None:
-        """Make ``manifest`` the newest one, unless another writer was faster: its file is complete before it gets its name, and a rename doesn't overwrite."""
-        system, made = self._file(f"manifests/.{uuid.uuid4().hex}")
-        out = system.create(made, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        _, named = self._file(f"manifests/{number:012d}.json")
-        if system.exists(named) or not system.rename(made, named):
-            system.delete(made, False)
-            raise RuntimeError(f"the store at {self.path} was changed by another writer; read it again and repeat the batch")

@@ -667,6 +667,8 @@ EXPECTED["description_quality"] = f"""SELECT doc_id, trim(line) <> '' AND length
   FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)"""
 EXPECTED["delete_docs"] = f"""WITH {DOCS}, {REG} SELECT document_id, chunk_no, length(text) AS n_chars FROM fixed_chunks
 WHERE document_id NOT IN (SELECT document_id FROM last_rows WHERE status = 'error')"""
+EXPECTED["forgotten_docs"] = f"""WITH {DOCS}, {REG} SELECT document_id, chunk_no, length(text) AS n_chars FROM fixed_chunks
+WHERE document_id % 14 = 0 OR (document_id % 7 <> 0 AND (document_id % 2 = 1 OR document_id NOT IN (SELECT document_id FROM last_rows WHERE status = 'error')))"""
 EXPECTED["structured_group"] = f"""WITH {TXNS} SELECT description, CAST(sum(debit_amount) AS DOUBLE) AS spent, count(debit_amount) AS n,
   CAST(max(debit_amount) AS DOUBLE) AS most FROM txns WHERE debit_amount > 0 GROUP BY description"""
 EXPECTED["structured_compare"] = f"""WITH {TXNS} SELECT description,

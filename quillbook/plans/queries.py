@@ -15,6 +15,7 @@ from quillbook.functions import dates, money, text
 from quillbook.functions.patterns import CATEGORY_KEYWORDS
 from quillbook.functions.register import register_sql_functions
 from quillbook.operators import categorize, checks, choose, documents, layout, lines, metadata, payload, registry, retrieval, rows, tables
+from quillbook.operators.chunk_store import ChunkStore
 from quillbook.operators.keyed_store import KeyedStore
 from quillbook.plans import corpus
 from quillbook.plans.statement import StatementTables, process_statements
@@ -869,6 +870,28 @@ def delete_docs(spark, sf):
     return registry.delete_keys(chunks, failed, "document_id").select("document_id", "chunk_no", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def forgotten_docs(spark, sf):
+    """Chunks of all documents in a store with deletes between its batches: failed documents, then every seventh, half of which come back."""
+    parts = documents.chunk_fixed(derived.documents(spark, sf).select("document_id", "text"))
+    parts = materialize(parts.select(
+        F.concat_ws("-", "document_id", "chunk_no").alias("chunk_id"), "document_id", "chunk_no", "text"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in parts.dtypes) + ", embedding array<float>"
+    store = ChunkStore(spark, f"{ensure_checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}", schema, buckets=8)
+
+    def add(wanted: str) -> None:
+        rows_ = parts.filter(wanted)
+        store.add(rows_, rows_.select("chunk_id", F.array(F.length("text").cast("float")).alias("embedding")), wanted)
+
+    add("document_id % 2 = 0")
+    store.delete(registry.registry_state(derived.registry_log(spark, sf)).filter("status = 'error'"), "failed")
+    add("document_id % 2 = 1")
+    store.compact()
+    store.delete(parts.filter("document_id % 7 = 0"), "sevenths")
+    add("document_id % 14 = 0")
+    return store.read().select("document_id", "chunk_no", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def structured_group(spark, sf):
     rows_ = derived.transactions(spark, sf)
