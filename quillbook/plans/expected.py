@@ -608,7 +608,8 @@ SELECT document_id, CASE WHEN n IS NULL OR barred THEN 'error' ELSE 'indexed' EN
   CASE WHEN n IS NULL OR barred THEN 0 ELSE n END AS chunk_count,
   CASE WHEN n IS NULL THEN 'The uploaded document is empty.' WHEN barred THEN 'no vector' END AS error_message
 FROM named LEFT JOIN counts USING (document_id) WHERE extension <> 'exe' AND size > 0 AND filename NOT LIKE '%statement%'"""
-EXPECTED["csv_read"] = f"""WITH {CELLS}, nth AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY row_no) AS k FROM cells_)
+EXPECTED["csv_read"] = f"""WITH {CELLS}, nth AS (SELECT file_name || '_' || (row_no // 500) AS file_name, cells,
+  row_number() OVER (PARTITION BY file_name, row_no // 500 ORDER BY row_no) AS k FROM cells_)
 SELECT file_name, k + (k - 1) // 10 AS row_no, array_to_string(list_transform(cells, lambda c, i: CASE
   WHEN i <> 2 THEN c WHEN k % 4 = 1 THEN '5" ' || c WHEN k % 4 = 2 THEN '"x" ' || c WHEN k % 4 = 3 THEN c || chr(10) || 'second, line' ELSE c END), '|') AS cells
 FROM nth"""

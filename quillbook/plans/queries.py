@@ -474,10 +474,12 @@ def reroute_docs(spark, sf):
     docs = derived.documents(spark, sf).withColumn("text", F.regexp_replace("text", "[0-9]", ""))
     docs = docs.withColumn("route", documents.route_document("filename"))
     prose = docs.filter("route.strategy = 'bank_statement'").select(F.col("filename").alias("file_name"), "text")
-    printed = derived.plain_statements(spark, sf)
+    # a printed page is a file: forty rows at most
+    printed = derived.plain_statements(spark, sf).withColumn("file_name", F.concat_ws("-", "file_name", F.col("page_no").cast("string")))
     page = text.lines_of_text(prose).select("file_name", F.lit(1).alias("page_no"), "line_no", "text").unionByName(printed)
     parsed = materialize(rows.primary_only(rows.parse_parts(materialize(lines.split_parts(page)))))
-    whole = printed.groupBy("file_name").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    whole = printed.groupBy("file_name").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
     general = docs.filter("route.strategy <> 'bank_statement'").select(F.col("filename").alias("file_name"), "text")
     return documents.reroute(prose.unionByName(whole), parsed, general).select("file_name", F.length("text").cast("long").alias("n_chars"))
 

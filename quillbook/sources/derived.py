@@ -309,14 +309,15 @@ def letterheads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_files(spark: SparkSession, folder: str) -> DataFrame:
-    """FILES: file_name, size, content of the table rows as CSV bytes.
+    """FILES: file_name, size, content of the table rows as CSV bytes, up to 500 rows of an account in a file.
 
     By turns the second field holds a stray quote, doubled quotes in a quoted
     field, a line break, or nothing special; every tenth row is followed by a
     blank one, and even files begin with a byte-order mark.
     """
     order = Window.partitionBy("file_name").orderBy("row_no")
-    rows = table_cells(spark, folder).withColumn("k", F.row_number().over(order))
+    part = F.concat_ws("_", "file_name", F.expr("cast(row_no div 500 as string)"))
+    rows = table_cells(spark, folder).withColumn("file_name", part).withColumn("k", F.row_number().over(order))
     shown = F.expr(r'''transform(cells, (c, i) -> CASE WHEN i <> 1 THEN c WHEN k % 4 = 1 THEN concat('5" ', c)
         WHEN k % 4 = 2 THEN concat('"""x"" ', c, '"') WHEN k % 4 = 3 THEN concat('"', c, '\nsecond, line"') ELSE c END)''')
     line = F.concat(F.array_join(shown, ","), F.when(F.col("k") % 10 == 0, "\n").otherwise(""))
