@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbook.llm.common import ROW_BYTES, file_places, fresh, numbered, or_empty, row_key
+from quillbook.operators.blocks import ordered
 from quillbook.session import materialize
 
 GRAIN = 64
 #: Groups in a cell, about.
 CELL_GROUPS = 20_000
 SIZES = ("size", "tokens", "n_rows")
+#: A repeated row that is more than one in so many rows is joined without shuffling its copies.
+HOT_KEYS = 1000
 #: Rows of a file that are numbered together, as a power of two.
 PART_BITS = 17
 
@@ -68,19 +71,31 @@ def packed(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     nowhere. Rows that share both are interchangeable; they are numbered, and the
     slots of such rows dealt out by number.
     """
-    key, nth, *names = fresh(docs, "row_key", "nth", "size", "text_crc32", "shard", "slot")
+    key, nth, row, *names = fresh(docs, "row_key", "nth", "whole_row", "size", "text_crc32", "shard", "slot")
     rows = materialize(assigned(docs, shards, id_col, text_col))
     keyed = docs.withColumn(key, row_key(id_col, text_col))
     values = [F.col(c).alias(n) for c, n in zip(("size", "text_crc32", "shard", "slot"), names, strict=True)]
-    times = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("size", "text_crc32", "shard", "slot")])
-    out = keyed.join(times.filter("n = 1").select(F.col("key").alias(key), *values), key).select(*docs.columns, *names)
-    repeated = materialize(times.filter("n > 1").select(F.col("key").alias(key)))
-    if not repeated.isEmpty():
-        number = F.row_number().over(Window.partitionBy(key).orderBy(key)).alias(nth)
-        slots = rows.select(F.col("key").alias(key), *values).join(repeated, key, "left_semi").select(key, *names, number)
-        again = keyed.join(repeated, key, "left_semi").select("*", number)
-        out = out.unionByName(again.join(slots, [key, nth]).select(*docs.columns, *names))
-    return out
+    times = materialize(
+        rows.groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("size", "text_crc32", "shard", "slot")]))
+    repeated = times.filter("n > 1").withColumnRenamed("key", key)
+    if repeated.isEmpty():
+        return keyed.join(times.select(F.col("key").alias(key), *values), key).select(*docs.columns, *names)
+
+    # fewer than HOT_KEYS keys: their rows stay where they are, all others are dealt by key
+    hot = materialize(repeated.filter(F.col("n") > rows.count() / HOT_KEYS).select(key))
+    cold = repeated.select(key).join(F.broadcast(hot), key, "left_anti")
+
+    def copies(df: DataFrame) -> DataFrame:
+        """Rows of repeated keys, numbered key by key in blocks: no task gets all of a key."""
+        some = df.join(F.broadcast(hot), key, "left_semi").unionByName(
+            df.join(F.broadcast(hot), key, "left_anti").join(cold, key, "left_semi"))
+        return ordered(numbered(some, "copy_no"), [key], "copy_no", running={nth: F.lit(1)})
+
+    once = times.filter("n = 1").select(F.col("key").alias(key), *values)
+    out = keyed.join(F.broadcast(hot), key, "left_anti").join(once, key).select(*docs.columns, *names)
+    slots = copies(rows.select(F.col("key").alias(key), *values)).select(key, nth, *names)
+    again = copies(keyed.select(key, F.struct(*docs.columns).alias(row)))  # as one column, so that no name of theirs clashes
+    return out.unionByName(again.join(slots, [key, nth]).select(f"{row}.*", *names))
 
 
 def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
@@ -122,10 +137,13 @@ def assigned(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFr
 
     placed_small = small.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells))).groupBy("cell").applyInPandas(
         pack_cell, "digest string, piece long, shard int")
-    placed = placed_small.unionByName(spark.createDataFrame(large_rows, "digest string, piece long, shard int"))
+    placed_large = F.broadcast(spark.createDataFrame(large_rows, "digest string, piece long, shard int"))
+    # rows of large groups stay where they are; a small group is less than 1 / GRAIN of a shard, so no key of the shuffle is hot
+    both = pieces.join(placed_large, ["digest", "piece"]).unionByName(
+        pieces.join(placed_large, ["digest", "piece"], "left_anti").join(placed_small, ["digest", "piece"]))
 
     # slots: the rows of a shard from one part of a file, or from one written partition, then those of the next
-    rows = materialize(pieces.join(placed, ["digest", "piece"]).select(
+    rows = materialize(both.select(
         "row_no", "shard", "path", "index",
         F.coalesce(F.shiftright("index", PART_BITS), F.shiftright("row_no", 33)).alias("part")))
     # names of part files: a longer number is a larger one

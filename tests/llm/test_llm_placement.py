@@ -1,6 +1,8 @@
 """Sharding and mixing against their laws, on tables with ties, nulls, repeats and clashing names."""
 
+import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,6 +62,47 @@ def test_pack_odd_rows(spark):
     assert max(counts.values()) < 1.5 * len(rows) / 6
 
 
+@pytest.mark.parametrize("hot_keys", [2, 10, 1000])
+def test_repeated_rows_find_their_slots(spark, monkeypatch, hot_keys):
+    """A row that fills a third of the table, others that come a few times, single ones; names of helper columns among the columns."""
+    monkeypatch.setattr(sharding, "HOT_KEYS", hot_keys)
+    rows = [(1, "one row, many times", 0)] * 200 + [(i, f"text {i}", i) for i in range(2, 300)] + [(i, f"text {i}", -i) for i in range(2, 60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long").withColumns(
+        {c: F.lit(c) for c in ("_block", "copy_no", "nth", "row_key", "whole_row")}).repartition(5)
+    out = sharding.packed(docs, 6)
+    assert out.columns == [*docs.columns, "size", "text_crc32", "shard", "slot"]
+    found = out.collect()
+    check_packed(found, [r[1] for r in rows], 6)
+    assert Counter((r.doc_id, r.text, r["_key"]) for r in found) == Counter(rows)
+    places = Counter((r.doc_id, r.text, r.shard, r.slot) for r in found)
+    wanted = Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard) for r in found)
+    assert max(places.values()) == 1 and sum(wanted.values()) == len(rows)
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_every_group_takes_the_best_shard(spark, shards):
+    """The dealt rule, group by group: the shard chosen has the highest dot product of residual capacity and sizes."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    where = defaultdict(set)
+    for r in sharding.pack(docs, shards).collect():
+        where[texts[r.doc_id]].add(r.shard)
+    sizes = defaultdict(lambda: [0, 0, 0])
+    for text in texts.values():
+        for at, n in enumerate((len(text.encode()) + 16, len(re.findall(r"\S+", text, re.ASCII)), 1)):
+            sizes[text][at] += n
+    capacity = [sum(s[at] for s in sizes.values()) / shards for at in range(3)]
+    shares = {t: [n / c for n, c in zip(s, capacity, strict=True)] for t, s in sizes.items()}
+    order = sorted(shares, key=lambda t: (-max(shares[t]), hashlib.md5(t.encode()).hexdigest()))
+    assert max(shares[order[0]]) <= 1 and len(order) < sharding.CELL_GROUPS  # nothing is cut, one cell
+    residual = [[1.0] * 3 for _ in range(shards)]
+    for text in order:
+        (shard,) = where[text]
+        fits = [sum(a * b for a, b in zip(left, shares[text], strict=True)) for left in residual]
+        assert fits[shard] >= max(fits) - 1e-9
+        residual[shard] = [a - b for a, b in zip(residual[shard], shares[text], strict=True)]
+
+
 def test_cells_and_few_shards(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_GROUPS", 50)
     rows = [(i, "x" * random.Random(i).randint(1, 400)) for i in range(2000)]
