@@ -1,16 +1,20 @@
 """Ordered operators that stay balanced when one key holds most of the rows.
 
 A window over ``file_name`` alone puts a whole file into one task. Here the
-rows of a key are cut into blocks of its order column: windows run inside a
-block, one summary row per block is carried across the blocks of the key, and
-the two are joined on (key, block). The unit of work is a block, whatever the
-size of the key; a key has a summary row for each ``ROWS_PER_BLOCK`` positions
-that it uses, a page of a statement being one at least.
+rows of a key with more than ``ROWS_PER_BLOCK`` rows are cut into blocks of its
+order column: windows run inside a block, one summary row per block is carried
+across the blocks of the key, and the two are joined on (key, block). A key
+with fewer rows is one block and needs neither. The unit of work is a block,
+whatever the size of the key; a large key has a summary row for each
+``ROWS_PER_BLOCK`` positions that it uses, a page of a statement being one at
+least. There are at most as many large keys as there are rows over
+``ROWS_PER_BLOCK``, so their names are broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +29,15 @@ def _block_of(order: str, rows_per_block: int) -> Column:
     return F.expr(f"cast({order} as bigint) div {int(rows_per_block)}")
 
 
-def _key(keys: Sequence[str], block: Column) -> Column:
-    return F.struct(*[F.col(k) for k in keys], block.alias(BLOCK)).alias(KEY)
+def _cut(df: DataFrame, keys: Sequence[str], block: Column, columns: Sequence[Column], rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """``columns`` and ``KEY`` of the rows of ``df``, and of those alone whose key has more than ``rows_per_block`` rows."""
+    named = [F.col(k).alias(f"_large_{i}") for i, k in enumerate(keys)]
+    counts = df.groupBy(*named).agg(F.count("*").alias("_large_n")).filter(F.col("_large_n") > rows_per_block)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{i}")) for i, k in enumerate(keys)])
+    at = F.when(F.col("_large_n").isNotNull(), block).otherwise(F.lit(0))
+    key = F.struct(*[F.col(k) for k in keys], at.alias(BLOCK)).alias(KEY)
+    marked = lambda how: df.join(F.broadcast(counts), same, how).select(*columns, key)
+    return marked("left"), marked("inner")
 
 
 def ordered(
@@ -49,8 +60,9 @@ def ordered(
     before    last non-null value above the row
     previous  value of the row before (null on the first row)
     smallest  least value over the whole key
-    block     an existing column that is non-decreasing in ``order``; by
-              default ``order`` (one integer column) is cut into equal blocks
+    block     an existing column that is non-decreasing in ``order``, by which
+              large keys are cut; by default ``order`` (one integer column) is
+              cut into equal blocks
 
     ``order`` must be unique within a key.
     """
@@ -63,7 +75,7 @@ def ordered(
 
     cut = _block_of(orders[0], rows_per_block) if block is None else F.col(block)
     inputs = {f"_in_{k}": v for m in (running, latest, before, previous, smallest) for k, v in m.items()}
-    df = df.select(*names, _key(keys, cut), *[v.alias(k) for k, v in inputs.items()])
+    df, large = _cut(df, keys, cut, [*map(F.col, names), *[v.alias(k) for k, v in inputs.items()]], rows_per_block)
     position = F.col(orders[0]) if len(orders) == 1 else F.struct(*orders)
 
     summary = []
@@ -89,7 +101,7 @@ def ordered(
         carry.append(F.lag(f"_s_{name}").over(across).alias(f"_c_{name}"))
     for name in smallest:
         carry.append(F.min(f"_s_{name}").over(everything).alias(f"_c_{name}"))
-    carried = df.groupBy(KEY).agg(*summary).select(KEY, *carry)
+    carried = large.groupBy(KEY).agg(*summary).select(KEY, *carry)
 
     inside = Window.partitionBy(KEY).orderBy(*orders)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,8 +120,8 @@ def ordered(
         own = F.lag(F.struct(F.col(f"_in_{name}").alias("v"))).over(inside)
         columns[name] = F.coalesce(own, F.col(f"_c_{name}"))["v"]
     for name in smallest:
-        columns[name] = F.col(f"_c_{name}")
-    joined = df.join(carried, KEY)
+        columns[name] = F.coalesce(f"_c_{name}", F.min(f"_in_{name}").over(Window.partitionBy(KEY)))
+    joined = df.join(carried, KEY, "left")
     return joined.select(*[n for n in names if n not in columns], *[c.alias(n) for n, c in columns.items()])
 
 
@@ -125,13 +137,13 @@ def following(
     """Add ``name``: array of the next ``count`` values of ``value`` after each row."""
     keys = list(keys)
     names = list(df.columns)
-    df = df.select(*names, _key(keys, _block_of(order, rows_per_block)))
+    df, large = _cut(df, keys, _block_of(order, rows_per_block), [F.col(n) for n in names], rows_per_block)
     inside = Window.partitionBy(KEY).orderBy(order)
     ahead = inside.rowsBetween(1, count)
     across = Window.partitionBy(*[F.col(KEY)[k] for k in keys]).orderBy(F.col(KEY)[BLOCK])
 
     heads = (
-        df.select(KEY, order, value)
+        large.select(KEY, order, value)
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") <= count)
         .groupBy(KEY)
@@ -141,8 +153,8 @@ def following(
     )
     own = F.collect_list(value).over(ahead)
     return (
-        df.join(heads, KEY)
+        df.join(heads, KEY, "left")
         .withColumn("_own", own)
-        .withColumn(name, F.slice(F.concat("_own", "_later"), 1, count))
+        .withColumn(name, F.coalesce(F.slice(F.concat("_own", "_later"), 1, count), "_own"))
         .select(*names, name)
     )

@@ -6,6 +6,8 @@ Input ``lines``: file_name, page_no, line_no, text (trimmed, non-blank).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def position(page: str = "page_no", line: str = "line_no") -> Column:
     return (F.col(page).cast("long") * PAGE_STRIDE + F.col(line)).alias("pos")
 
 
+def _matches(pattern: str, words: tuple[str, ...], text: str = "text") -> Column:
+    """Whether a text matches; the pattern runs only where one of the words that it needs occurs."""
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]) & F.col(text).rlike(pattern)
+
+
 FLAGS = ("has_date", "is_noise", "is_balance_label")
 
 
@@ -34,13 +42,13 @@ def line_flags(lines: DataFrame) -> DataFrame:
     dated = let(lines, has_date=F.expr(dates.has_date("text")))
     return let(
         dated,
-        is_noise=~F.col("has_date") & F.col("text").rlike(p.NOISE_LINE),
-        is_balance_label=F.col("text").rlike(p.BALANCE_LABEL),
+        is_noise=~F.col("has_date") & _matches(p.NOISE_LINE, p.NOISE_WORDS),
+        is_balance_label=_matches(p.BALANCE_LABEL, p.BALANCE_WORDS),
     )
 
 
 def _matched_title(text: str = "text") -> Column:
-    found = [F.when(F.col(text).rlike(pattern), F.lit(key)) for key, pattern in p.SECTION_TITLES]
+    found = [F.when(_matches(pattern, (p.TITLE_WORDS[key],), text), F.lit(key)) for key, pattern in p.SECTION_TITLES]
     return F.coalesce(*found)
 
 
@@ -53,9 +61,9 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
     """
     flagged = line_flags(lines)
     title = F.when(~F.col("has_date") & ~F.expr(money.has_money("text")), _matched_title())
-    flagged = let(flagged, _switch=F.coalesce(title, F.when(F.col("text").rlike(p.SUMMARY_TITLE), F.lit(""))))
+    flagged = let(flagged, _switch=F.coalesce(title, F.when(_matches(p.SUMMARY_TITLE, p.SUMMARY_WORDS), F.lit(""))))
     flagged = let(
-        flagged, _header=F.when(F.col("_switch").isNull() & F.col("text").rlike(p.TABLE_HEADER), F.col("line_no"))
+        flagged, _header=F.when(F.col("_switch").isNull() & _matches(p.TABLE_HEADER, p.HEADER_WORDS), F.col("line_no"))
     )
     carried = ordered(
         materialize(flagged),  # read twice: no pattern runs again
@@ -94,13 +102,13 @@ def split_parts(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
         F.when(in_table, PRIMARY)
         .when(F.col("region").isin(*SECTIONS), F.col("region"))
         .when(
-            ~F.col("_has_table") & ~F.col("is_noise") & ~F.col("text").rlike(p.SUMMARY_TITLE) & _matched_title().isNull(),
+            ~F.col("_has_table") & ~F.col("is_noise") & ~_matches(p.SUMMARY_TITLE, p.SUMMARY_WORDS) & _matched_title().isNull(),
             PRIMARY,
         )
     )
     # a section line of a table-less file is read twice: with its section and with the rest
     also_primary = F.col("region").isin(*SECTIONS) & ~F.col("_has_table") & ~F.col("is_noise") & (
-        ~F.col("text").rlike(p.SUMMARY_TITLE) & _matched_title().isNull()
+        ~_matches(p.SUMMARY_TITLE, p.SUMMARY_WORDS) & _matched_title().isNull()
     )
     placed = roles.join(tables, "file_name").select(
         "file_name",

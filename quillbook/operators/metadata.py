@@ -19,7 +19,8 @@ from quillbook.operators.lines import position
 #: Lines are trimmed and never blank, so a label breaks at each of its blanks once at most: a dated balance
 #: ("closing / balance / as / of / January / 31 / , / 2025 amount") spans the most lines, eight.
 LOOK_AHEAD = 7
-CANDIDATE = r"(?i)bank|acc|a/c|name|holder|primary|ifsc|statement|balance|[a-z]{4}0[a-z0-9]{6}|opening|closing|beginning|ending|starting"
+#: Every pattern begins on the line itself, with one of these words: no other line has a field.
+CANDIDATE = r"(?i)bank|acc|a/c|name|customer|primary|ifsc|statement|[a-z]{4}0[a-z0-9]{6}|opening|closing|beginning|ending|starting"
 
 
 def _here(pattern: str, flags: str = "(?i)") -> str:
@@ -52,7 +53,7 @@ def statement_metadata(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -
     ifsc_code, opening_balance, closing_balance, statement_period."""
     placed = lines.select("file_name", position(), "text")
     read = following(placed, ["file_name"], "pos", "text", LOOK_AHEAD, rows_per_block=rows_per_block)
-    read = let(read, context=F.concat_ws("\n", "text", "following")).filter(F.col("context").rlike(CANDIDATE))
+    read = let(read.filter(F.col("text").rlike(CANDIDATE)), text=F.col("text"), context=F.concat_ws("\n", "text", "following"))
     period = _here(p.PERIOD)
     read = let(
         read,

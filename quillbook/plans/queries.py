@@ -54,7 +54,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _statements(spark: SparkSession, sf: str) -> StatementTables:
-    return process_statements(_lines(spark, sf))
+    return process_statements(derived.statement_lines(spark, sf))
 
 
 # --- transactions -------------------------------------------------------------

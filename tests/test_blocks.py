@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillbook.operators.blocks import following, ordered
+from quillbook.operators.blocks import KEY, _cut, following, ordered
 
 
 def fixture_rows():
@@ -55,3 +55,13 @@ def test_following_crosses_blocks(spark, rows_per_block):
     df = spark.createDataFrame([("a", i * 2, f"t{i}") for i in range(9)], "k string, at long, t string")
     got = following(df, ["k"], "at", "t", 3, rows_per_block=rows_per_block).orderBy("at").collect()
     assert [r.following for r in got] == [[f"t{j}" for j in range(i + 1, min(i + 4, 9))] for i in range(9)]
+
+
+def test_only_keys_with_more_rows_than_a_block_are_cut(spark):
+    # ten rows each, as far apart as the parts of a statement
+    df = spark.range(30).select(F.concat(F.lit("f"), F.col("id") % 3).alias("k"), (F.col("id") * (1 << 40)).alias("at"))
+    block = F.expr("at div 65536")
+    whole, large = _cut(df, ["k"], block, [F.col("k"), F.col("at")], 10)
+    assert whole.select(KEY).distinct().count() == 3 and large.isEmpty()
+    whole, large = _cut(df.union(spark.sql("SELECT 'f0', -1L")), ["k"], block, [F.col("k"), F.col("at")], 10)
+    assert whole.select(KEY).distinct().count() == 2 + 10 and {r.k for r in large.select("k").collect()} == {"f0"}

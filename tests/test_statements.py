@@ -214,3 +214,26 @@ def test_repair_offers_are_pre_aggregated(spark):
     decimals = {c: F.col(c).cast("decimal(18,2)") for c in ("debit_amount", "credit_amount", "balance")}
     fixed = checks.repair_amounts(rows_.withColumns(decimals), details.withColumns(decimals)).orderBy("pos").collect()
     assert [(r.debit_amount, r.misread) for r in fixed] == [(Decimal("5.00"), None), (Decimal("9.00"), Decimal("900.00"))]
+
+
+def test_letterheads_of_large_customer_keys_have_balances(spark, tmp_path):
+    from quillbook.sources import derived
+
+    spark.sql("SELECT explode(array(4L, 10000000000000000L)) AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r.text for r in derived.letterheads(spark, str(tmp_path)).filter("text LIKE 'Opening%'").collect()}
+    assert found == {"Opening Balance: 4,000.50", "Opening Balance: 10,000,000,000,000,000,000.50"}
+
+
+def test_pattern_words_leave_no_match_out(spark):
+    from quillbook.operators.lines import _matches
+
+    texts = [
+        "BEGINNING  Balance", "ending balance", "Brought Forward", "carried\tforward", "Sub TOTAL", "Page 3", "Statement Summary",
+        "This is a Computer printed page", "B/F 10", "c/f", "Transaction Count", "No. of Transactions", "ledger balance", "Summary of your ACCOUNT",
+        "Account Activity", "Statement of account", "Deposits and other Credits", "WITHDRAWAL and other debit", "Account service charges and fees",
+        "CHECKS PAID", "Txn Date Narration Debit", "Val Date Details Balance", "plain words",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    titles = [(pattern, (p.TITLE_WORDS[key],)) for key, pattern in p.SECTION_TITLES]
+    for pattern, words in [(p.NOISE_LINE, p.NOISE_WORDS), (p.BALANCE_LABEL, p.BALANCE_WORDS), (p.SUMMARY_TITLE, p.SUMMARY_WORDS), (p.TABLE_HEADER, p.HEADER_WORDS), *titles]:
+        assert df.filter(F.col("text").rlike(pattern)).count() == df.filter(_matches(pattern, words)).count() > 0
