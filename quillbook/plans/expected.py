@@ -512,7 +512,8 @@ EXPECTED["vec_topk_filtered"] = f"""WITH {VECTORS} kept AS (
   SELECT * FROM distances WHERE chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1)), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw, chunk_id) AS rank FROM kept)
 SELECT query_id, chunk_id, distance, rank FROM ranked WHERE rank <= 10 AND CASE WHEN distance <= 2 THEN 1 - distance ELSE 0 END >= 0.1"""
-EXPECTED["vec_topk_lsh"] = """SELECT count(*) AS n_queries, 10 * count(*) AS n_hits, true AS recalled FROM embeddings WHERE vec_id % 20 = 0"""
+EXPECTED["vec_topk_lsh"] = """SELECT 'row' AS kind, vec_id AS query_id, CAST(10 AS BIGINT) AS n_hits, true AS recalled FROM embeddings WHERE vec_id % 20 = 0
+UNION ALL SELECT DISTINCT 'label', CAST(label AS BIGINT), CAST(10 AS BIGINT), true FROM embeddings"""
 TOP4 = f"""{DOCS}, asked AS (
   SELECT document_id, document_id * 2 AS query_id, string_split(text, chr(10))[1] AS question FROM docs
   UNION ALL SELECT document_id, document_id * 2 + 1, string_split(text, chr(10))[-1] FROM docs), terms AS (
