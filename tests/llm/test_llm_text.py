@@ -233,3 +233,21 @@ def test_op10_matches_full_counts(spark, vocabulary):
         t = t[:at] + "edited words" + t[at + 8:]
         new[r.doc_id] = (vocabulary.count(t), len(t))
     assert {r.doc_id: (r.new_tokens, r.new_chars) for r in found} == new
+
+
+def test_threshold_and_trees_come_from_all_labelled_rows(spark):
+    """More rows than the 20,000 that were once taken."""
+    import numpy as np
+
+    n = 24_000
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "array_join(transform(sequence(1, 60), i -> concat('w', hash(id, i) % (10 + id % 37), repeat('x', cast(id % 11 AS int)))), ' ') AS text")
+    forest = quality.fit(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    passed = [(c, x) for c, x in (quality.statistics(r.text) for r in docs.collect())]
+    failed = quality.base_failed(np.array([c for c, _ in passed]))
+    scores = np.sort(forest.scores(np.array([x for _, x in passed])[~failed]))
+    assert len(scores) > 20_000
+    assert forest.threshold == pytest.approx((scores[int(np.ceil(0.998 * len(scores))) - 1] + 1) / 2, abs=1e-12)
+    values = spark.createDataFrame([(float(v),) for v in np.random.default_rng(5).integers(0, 50, 400) / 7], "score double")
+    ordered = sorted(r.score for r in values.collect())
+    assert [quality.value_at(values, rank) for rank in (0, 1, 200, 399)] == [ordered[rank] for rank in (0, 1, 200, 399)]
