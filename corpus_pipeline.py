@@ -26,7 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that with the smallest doc_id, of each group of texts linked at 0.8 of their five-word shingles or more."""
+    """One row, that with the smallest doc_id, of each group of texts linked at 0.8 of their five-word shingles or more.
+
+    Texts with fingerprints two bits apart or nearer are candidates, as are those that share a band of minima.
+    """
     return overlap.one_per_group(docs)
 
 

@@ -1,6 +1,8 @@
-"""Near-duplicates by the share of common word shingles: MinHash bands find candidates, the sets themselves decide.
+"""Near-duplicates by the share of common word shingles: SimHash and MinHash find candidates, the sets themselves decide.
 
-Texts whose shingle sets have a Jaccard similarity s share a band of ``ROWS``
+Texts whose fingerprints, the majority bits of their shingles, are linked at
+``BITS`` or fewer differing bits share a bucket. Similar texts further apart
+meet by MinHash: texts whose shingle sets have a Jaccard similarity s share a band of ``ROWS``
 minima with probability s^ROWS. There are as many bands as it takes for a pair
 at the threshold to share none with a probability of at most ``MISSED``.
 
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillbook.llm.common import fresh, numbered, or_empty, row_key
-from quillbook.llm.simhash import components, first_rows
+from quillbook.llm.simhash import components, first_rows, links
 from quillbook.session import materialize
 
 ROWS = 5
+#: Bits in which fingerprints differ that are linked, at most.
+BITS = 2
 #: Probability that two texts just at the threshold share no band, at most.
 MISSED = 1e-5
 #: Pairs that may meet by one edit; where there would be more, the texts with that edit get a leader.
@@ -84,6 +88,22 @@ def bands_of(found: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprint_of(found: np.ndarray) -> int:
+    """Majority bits of a set of hashes, as a signed number; zero for an empty set."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(found), SHINGLES_AT_ONCE):
+        votes += np.unpackbits(found[at:at + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view(np.int64)[0])
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(node, band): a bucket for each chain of fingerprints (node, fp) that differ in at most ``BITS`` bits."""
+    prints = materialize(nodes.select("fp").distinct())
+    roots = components(links(prints, BITS)).withColumnRenamed("node", "fp")
+    return nodes.select("node", "fp").join(roots, "fp", "left").select(
+        "node", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("band"))
+
+
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with both sets of shingles, a_set and b_set."""
     for end in ("a", "b"):
@@ -163,13 +183,13 @@ def meeting(edits: DataFrame, similarity: float) -> DataFrame:
 
 def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the texts linked by chains of similar pairs that share a bucket (band, node); root is the smallest of them."""
-    links, roots = None, None
+    found_links, roots = None, None
     for number in range(ROUNDS):
         compared = against_leaders(members, sets)
         common = F.col("size") - F.col("lacks")
         found = compared.filter(common / (F.col("size") + F.col("adds")) >= similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        found_links = found if found_links is None else found_links.unionByName(found)
+        roots = components(found_links)
         edits = edits_of(compared, roots, sets, similarity)
         if edits is None:
             break
@@ -181,8 +201,8 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         light = edits.join(crowds.filter(~crowded), ["leader", "edit"], "left_semi")
         more = materialize(similar(meeting(light, similarity), sets, similarity))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+            found_links = found_links.unionByName(more)
+            roots = components(found_links)
         if crowds.filter(crowded).isEmpty():
             break
         members = edits.join(crowds.filter(crowded), ["leader", "edit"], "left_semi").select(
@@ -204,19 +224,20 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def signatures(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t, shingle_words) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(f.tobytes()) for f in found], "bands": [bands_of(f, bands) for f in found]})
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(f.tobytes()) for f in found], "bands": [bands_of(f, bands) for f in found],
+                             "fp": np.array([fingerprint_of(f) for f in found], np.int64)})
 
     def sets_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, shingle_words).view(np.int64) for t in texts])
 
-    signed = F.pandas_udf(signatures, "digest string, bands array<long>")(or_empty(text_col))
+    signed = F.pandas_udf(signatures, "digest string, bands array<long>, fp long")(or_empty(text_col))
     rows = numbered(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), signed.alias("s"))
                     .select("id", "key", "s.*"), "row_no")
     least = F.min(F.struct(F.col("id").isNull(), "id", "row_no", "key"))
     # a node for each distinct set: the number of its first row
-    nodes = materialize(rows.groupBy("digest").agg(least.alias("least"), F.first("bands").alias("bands"))
-                        .select("digest", "least", F.col("least.row_no").alias("node"), F.col("least.key").alias("key"), "bands"))
-    placed = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = materialize(rows.groupBy("digest").agg(least.alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+                        .select("digest", "least", F.col("least.row_no").alias("node"), F.col("least.key").alias("key"), "bands", "fp"))
+    placed = nodes.select("node", F.explode("bands").alias("band")).unionByName(by_fingerprint(nodes))
     members = materialize(placed.join(placed.groupBy("band").count().filter("count > 1"), "band").select("band", "node"))
 
     (key,) = fresh(docs, "row_key")

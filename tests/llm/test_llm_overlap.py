@@ -108,3 +108,21 @@ def test_odd_rows(spark):
     kept = overlap.one_per_group(docs)
     assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "7", "None"]
     assert overlap.one_per_group(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_within_two_bits_share_a_bucket_of_the_pipelines_stage(spark, monkeypatch):
+    import corpus_pipeline
+    from quillbook.llm import overlap
+
+    nodes = spark.createDataFrame([(1, 0), (2, 0b11), (3, 0b1111), (4, -1), (5, 0)], "node long, fp long")
+    bands = {}
+    for r in overlap.by_fingerprint(nodes).collect():
+        bands.setdefault(r.band, set()).add(r.node)
+    assert sorted(map(sorted, bands.values())) == [[1, 2, 3, 5], [4]]
+    asked, links = [], overlap.links
+    monkeypatch.setattr(overlap, "links", lambda prints, bits: asked.append(bits) or links(prints, bits))
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words)), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and asked == [2]
