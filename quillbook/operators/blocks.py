@@ -3,8 +3,9 @@
 A window over ``file_name`` alone puts a whole file into one task. Here the
 rows of a key with more than ``ROWS_PER_BLOCK`` rows are cut into blocks of its
 order column: windows run inside a block, one summary row per block is carried
-across the blocks of the key, and the two are joined on (key, block). A key
-with fewer rows is one block and needs neither. The unit of work is a block,
+across the blocks of the key, and the two are joined on (key, block). The keys
+with fewer rows take a plain window over the key and need none of it; what
+follows and works by key keeps their partitioning. The unit of work is a block,
 whatever the size of the key; a large key has a summary row for each
 ``ROWS_PER_BLOCK`` positions that it uses, a page of a statement being one at
 least. There are at most as many large keys as there are rows over
@@ -13,7 +14,7 @@ least. There are at most as many large keys as there are rows over
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,15 +30,21 @@ def _block_of(order: str, rows_per_block: int) -> Column:
     return F.expr(f"cast({order} as bigint) div {int(rows_per_block)}")
 
 
-def _cut(df: DataFrame, keys: Sequence[str], block: Column, columns: Sequence[Column], rows_per_block: int) -> tuple[DataFrame, DataFrame]:
-    """``columns`` and ``KEY`` of the rows of ``df``, and of those alone whose key has more than ``rows_per_block`` rows."""
+def apart(df: DataFrame, keys: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key has up to ``rows_per_block`` rows, and the others."""
     named = [F.col(k).alias(f"_large_{i}") for i, k in enumerate(keys)]
     counts = df.groupBy(*named).agg(F.count("*").alias("_large_n")).filter(F.col("_large_n") > rows_per_block)
+    large = F.broadcast(counts.drop("_large_n"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{i}")) for i, k in enumerate(keys)])
-    at = F.when(F.col("_large_n").isNotNull(), block).otherwise(F.lit(0))
-    key = F.struct(*[F.col(k) for k in keys], at.alias(BLOCK)).alias(KEY)
-    marked = lambda how: df.join(F.broadcast(counts), same, how).select(*columns, key)
-    return marked("left"), marked("inner")
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
+def _cut(df: DataFrame, keys: Sequence[str], block: Column, columns: Sequence[Column], rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """``columns`` and ``KEY`` of the rows of ``df``, and of those alone whose key has more than ``rows_per_block`` rows."""
+    key = lambda at: F.struct(*[F.col(k) for k in keys], at.alias(BLOCK)).alias(KEY)
+    small, large = apart(df, keys, rows_per_block)
+    small, large = small.select(*columns, key(F.lit(0).cast("long"))), large.select(*columns, key(block))
+    return small.unionByName(large), large
 
 
 def ordered(
@@ -51,6 +58,7 @@ def ordered(
     previous: Mapping[str, Column] | None = None,
     smallest: Mapping[str, Column] | None = None,
     block: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ordered columns per key, block by block.
@@ -63,6 +71,8 @@ def ordered(
     block     an existing column that is non-decreasing in ``order``, by which
               large keys are cut; by default ``order`` (one integer column) is
               cut into equal blocks
+    prepare   adds columns that the values use, row by row, after the keys
+              have been counted, so that counting does not work them out
 
     ``order`` must be unique within a key.
     """
@@ -71,11 +81,29 @@ def ordered(
     running, latest, before, previous, smallest = (
         dict(m or {}) for m in (running, latest, before, previous, smallest)
     )
-    names = [*df.columns]
-
     cut = _block_of(orders[0], rows_per_block) if block is None else F.col(block)
+    small, _ = apart(df, keys, rows_per_block)
+    _, large = _cut(df, keys, cut, [F.col(c) for c in df.columns], rows_per_block)
+    small, large = (prepare(d) if prepare else d for d in (small, large))
+    names = [*small.columns]
     inputs = {f"_in_{k}": v for m in (running, latest, before, previous, smallest) for k, v in m.items()}
-    df, large = _cut(df, keys, cut, [*map(F.col, names), *[v.alias(k) for k, v in inputs.items()]], rows_per_block)
+    columns = [*map(F.col, names), *[v.alias(k) for k, v in inputs.items()]]
+    small, large = small.select(*columns), large.select(*columns, KEY)
+
+    def seen(partition: Sequence[str]) -> dict[str, Column]:
+        """The columns as far as the rows of one partition tell."""
+        own = Window.partitionBy(*partition)
+        inside = own.orderBy(*orders)
+        so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        above = inside.rowsBetween(Window.unboundedPreceding, -1)
+        return (
+            {k: F.sum(f"_in_{k}").over(so_far) for k in running}
+            | {k: F.last(f"_in_{k}", ignorenulls=True).over(so_far) for k in latest}
+            | {k: F.last(f"_in_{k}", ignorenulls=True).over(above) for k in before}
+            | {k: F.lag(F.struct(F.col(f"_in_{k}").alias("v"))).over(inside) for k in previous}
+            | {k: F.min(f"_in_{k}").over(own) for k in smallest}
+        )
+
     position = F.col(orders[0]) if len(orders) == 1 else F.struct(*orders)
 
     summary = []
@@ -103,26 +131,21 @@ def ordered(
         carry.append(F.min(f"_s_{name}").over(everything).alias(f"_c_{name}"))
     carried = large.groupBy(KEY).agg(*summary).select(KEY, *carry)
 
-    inside = Window.partitionBy(KEY).orderBy(*orders)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = {}
+    columns = seen([KEY])
     for name in running:
-        total = F.sum(f"_in_{name}").over(so_far)
-        columns[name] = F.when(F.col(f"_c_{name}").isNull(), total).otherwise(
-            F.coalesce(total, F.lit(0)) + F.col(f"_c_{name}")
+        columns[name] = F.when(F.col(f"_c_{name}").isNull(), columns[name]).otherwise(
+            F.coalesce(columns[name], F.lit(0)) + F.col(f"_c_{name}")
         )
-    for name in latest:
-        columns[name] = F.coalesce(F.last(f"_in_{name}", ignorenulls=True).over(so_far), F.col(f"_c_{name}"))
-    for name in before:
-        above = inside.rowsBetween(Window.unboundedPreceding, -1)
-        columns[name] = F.coalesce(F.last(f"_in_{name}", ignorenulls=True).over(above), F.col(f"_c_{name}"))
-    for name in previous:
-        own = F.lag(F.struct(F.col(f"_in_{name}").alias("v"))).over(inside)
-        columns[name] = F.coalesce(own, F.col(f"_c_{name}"))["v"]
+    for name in (*latest, *before, *previous):
+        columns[name] = F.coalesce(columns[name], F.col(f"_c_{name}"))
     for name in smallest:
-        columns[name] = F.coalesce(f"_c_{name}", F.min(f"_in_{name}").over(Window.partitionBy(KEY)))
-    joined = df.join(carried, KEY, "left")
-    return joined.select(*[n for n in names if n not in columns], *[c.alias(n) for n, c in columns.items()])
+        columns[name] = F.col(f"_c_{name}")
+
+    def result(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        values = {n: c["v"] if n in previous else c for n, c in columns.items()}
+        return rows.select(*[n for n in names if n not in values], *[c.alias(n) for n, c in values.items()])
+
+    return result(small, seen(keys)).unionByName(result(large.join(carried, KEY), columns))
 
 
 def following(
@@ -137,9 +160,9 @@ def following(
     """Add ``name``: array of the next ``count`` values of ``value`` after each row."""
     keys = list(keys)
     names = list(df.columns)
-    df, large = _cut(df, keys, _block_of(order, rows_per_block), [F.col(n) for n in names], rows_per_block)
+    small, _ = apart(df, keys, rows_per_block)
+    _, large = _cut(df, keys, _block_of(order, rows_per_block), [F.col(n) for n in names], rows_per_block)
     inside = Window.partitionBy(KEY).orderBy(order)
-    ahead = inside.rowsBetween(1, count)
     across = Window.partitionBy(*[F.col(KEY)[k] for k in keys]).orderBy(F.col(KEY)[BLOCK])
 
     heads = (
@@ -151,10 +174,6 @@ def following(
         .withColumn("_later", F.flatten(F.collect_list("_head").over(across.rowsBetween(1, count))))
         .select(KEY, F.slice(F.transform("_later", lambda h: h["v"]), 1, count).alias("_later"))
     )
-    own = F.collect_list(value).over(ahead)
-    return (
-        df.join(heads, KEY, "left")
-        .withColumn("_own", own)
-        .withColumn(name, F.coalesce(F.slice(F.concat("_own", "_later"), 1, count), "_own"))
-        .select(*names, name)
-    )
+    ahead = lambda *partition: F.collect_list(value).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(1, count))
+    cut = large.join(heads, KEY).withColumn("_own", ahead(KEY)).withColumn(name, F.slice(F.concat("_own", "_later"), 1, count))
+    return small.select(*names, ahead(*keys).alias(name)).unionByName(cut.select(*names, name))

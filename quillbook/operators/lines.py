@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbook.functions import dates, money
 from quillbook.functions import patterns as p
-from quillbook.operators.blocks import ROWS_PER_BLOCK, ordered
+from quillbook.operators.blocks import ROWS_PER_BLOCK, apart, ordered
 from quillbook.operators.lets import let
 from quillbook.session import materialize
 
@@ -59,24 +59,28 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
     consumed. A column-header line opens the table unless a section is open.
     A line with a date or a digit is never a title. Pages start afresh.
     """
+    carried = ordered(
+        lines, ["file_name", "page_no"], "line_no", latest=_marks(), prepare=_with_marks, rows_per_block=rows_per_block
+    )
+    return _with_region(carried, lines.columns)
+
+
+def _with_marks(lines: DataFrame) -> DataFrame:
+    """Add the flags, ``_switch`` (a section that opens, '' where any ends) and ``_header`` (a column-header line)."""
     flagged = line_flags(lines)
     title = F.when(~F.col("has_date") & ~F.expr(money.has_money("text")), _matched_title())
     flagged = let(flagged, _switch=F.coalesce(title, F.when(_matches(p.SUMMARY_TITLE, p.SUMMARY_WORDS), F.lit(""))))
-    flagged = let(
+    return let(
         flagged, _header=F.when(F.col("_switch").isNull() & _matches(p.TABLE_HEADER, p.HEADER_WORDS), F.col("line_no"))
     )
-    carried = ordered(
-        materialize(flagged),  # read twice: no pattern runs again
-        ["file_name", "page_no"],
-        "line_no",
-        latest={
-            "_open": F.when(
-                F.col("_switch").isNotNull(), F.struct(F.col("_switch").alias("kind"), F.col("line_no").alias("at"))
-            ),
-            "_head_at": F.col("_header"),
-        },
-        rows_per_block=rows_per_block,
-    )
+
+
+def _marks() -> dict[str, Column]:
+    opened = F.struct(F.col("_switch").alias("kind"), F.col("line_no").alias("at"))
+    return {"_open": F.when(F.col("_switch").isNotNull(), opened), "_head_at": F.col("_header")}
+
+
+def _with_region(carried: DataFrame, columns: list[str]) -> DataFrame:
     region = (
         F.when(F.col("_open.kind") != "", F.col("_open.kind"))
         .when(F.col("_head_at") > F.coalesce(F.col("_open.at"), F.lit(-1)), F.lit("table"))
@@ -84,7 +88,7 @@ def section_roles(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Dat
     return (
         carried.filter("_switch IS NULL")
         .withColumn("region", region)
-        .select(*lines.columns, "region", *[f for f in FLAGS if f not in lines.columns])
+        .select(*columns, "region", *[f for f in FLAGS if f not in columns])
     )
 
 
@@ -94,10 +98,20 @@ def split_parts(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     The primary part is the table without noise. A file with no table line at
     all falls back to every line that is neither noise nor any kind of title.
     """
-    roles = section_roles(lines, rows_per_block).select("file_name", position(), "text", "region", *FLAGS)
-    roles = materialize(roles)
     in_table = (F.col("region") == "table") & ~F.col("is_noise")
-    tables = roles.groupBy("file_name").agg(F.coalesce(F.max(in_table), F.lit(False)).alias("_has_table"))
+    columns = ["file_name", position(), "text", "region", *FLAGS]
+    small, large = apart(lines, ["file_name"], rows_per_block)
+    # a file of few lines stays in one task from its titles to its parts
+    small = _with_marks(small.repartition("file_name"))
+    page = Window.partitionBy("file_name", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = small.select("*", *[F.last(m, ignorenulls=True).over(page).alias(n) for n, m in _marks().items()])
+    file = Window.partitionBy("file_name")
+    whole = _with_region(carried, lines.columns).select(
+        *columns, F.coalesce(F.max(in_table).over(file), F.lit(False)).alias("_has_table")
+    )
+    roles = materialize(section_roles(large, rows_per_block).select(*columns))  # read twice
+    tables = roles.groupBy(F.col("file_name").alias("_file")).agg(F.coalesce(F.max(in_table), F.lit(False)).alias("_has_table"))
+    roles = whole.unionByName(roles.join(tables, F.col("file_name").eqNullSafe(F.col("_file"))).drop("_file"))
     part = (
         F.when(in_table, PRIMARY)
         .when(F.col("region").isin(*SECTIONS), F.col("region"))
@@ -110,14 +124,14 @@ def split_parts(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     also_primary = F.col("region").isin(*SECTIONS) & ~F.col("_has_table") & ~F.col("is_noise") & (
         ~_matches(p.SUMMARY_TITLE, p.SUMMARY_WORDS) & _matched_title().isNull()
     )
-    placed = roles.join(tables, "file_name").select(
+    placed = roles.select(
         "file_name",
-        F.explode(F.filter(F.array(part, F.when(also_primary, PRIMARY)), lambda x: x.isNotNull())).alias("part"),
+        F.explode(F.array(part, F.when(also_primary, PRIMARY))).alias("part"),
         "pos",
         "text",
         *FLAGS,
     )
-    return placed
+    return placed.filter("part IS NOT NULL")
 
 
 def text_chunks(
@@ -132,7 +146,7 @@ def text_chunks(
     Both need one pass: every line learns the dated line it follows, is cut
     into pieces that name the line they belong to, and pieces are joined.
     """
-    is_header = F.col("text").rlike("(?iu)DATE") & F.col("text").rlike("(?iu)" + "|".join(p.HEADER_LABELS))
+    is_header = F.contains(F.lower("text"), F.lit("date")) & F.col("text").rlike("(?iu)" + "|".join(p.HEADER_LABELS))
     kept = ~F.col("is_balance_label") & ~F.col("is_noise")
     placed = ordered(
         line_flags(parts),
@@ -153,7 +167,8 @@ def text_chunks(
         F.array("text")
     )
     chosen = {(0, 1): f"concat({by_line}, {by_date})", (0,): by_line, (1,): by_date}[tuple(ways)]
-    placed = let(placed, _cut=cut, **{c: F.col(c) for c in ("text", "_row", "_head", "_dated")})
+    if 1 in ways:
+        placed = let(placed, _cut=cut, **{c: F.col(c) for c in ("text", "_row", "_head", "_dated")})
     pieces = placed.select(*keys, "pos", F.inline(F.expr(chosen))).filter("start IS NOT NULL AND text <> ''")
     listed = F.array_sort(F.collect_list(F.struct("pos", "sub", "text")))
     joined = F.array_join(F.transform(listed, lambda c: c["text"]), " ")
