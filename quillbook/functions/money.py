@@ -36,7 +36,14 @@ def money_strength(x: str) -> str:
 
 
 def to_amount(x: str, strict_parity: bool = False) -> str:
-    """Decimal value of a money token; parentheses negate, unreadable is 0."""
+    """Decimal value of a money token; parentheses negate, unreadable is 0.
+
+    In a lambda, like ``dates.normalize_date``: ``x`` is read once and the code around it stays small.
+    """
+    return f"get(transform(array({x}), _money -> {_amount('_money', strict_parity)}), 0)"
+
+
+def _amount(x: str, strict_parity: bool) -> str:
     if strict_parity:
         bare = f"replace(replace(replace({x}, '₹', ''), 'Rs.', ''), 'Rs', '')"
     else:

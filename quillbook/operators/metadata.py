@@ -7,6 +7,8 @@ line that matches decides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,15 @@ from quillbook.operators.lines import position
 #: Lines are trimmed and never blank, so a label breaks at each of its blanks once at most: a dated balance
 #: ("closing / balance / as / of / January / 31 / , / 2025 amount") spans the most lines, eight.
 LOOK_AHEAD = 7
-#: Every pattern begins on the line itself, with one of these words: no other line has a field.
-CANDIDATE = r"(?i)bank|acc|a/c|name|customer|primary|ifsc|statement|[a-z]{4}0[a-z0-9]{6}|opening|closing|beginning|ending|starting"
+#: Every pattern begins on the line itself, with one of these words or an IFSC code: no other line has a field.
+HOLDER_WORDS, ACCOUNT_WORDS = ("account", "customer", "name", "primary"), ("account", "a/c", "acct")
+OPENING_WORDS, CLOSING_WORDS = tuple(p.OPENING_KINDS.split("|")), tuple(p.CLOSING_KINDS.split("|"))
+CANDIDATE_WORDS = ("bank", "ifsc", "statement", *HOLDER_WORDS, *ACCOUNT_WORDS[1:], *OPENING_WORDS, *CLOSING_WORDS)
+
+
+def _has(*words: str) -> Column:
+    """Whether the line itself has one of the words, in any case."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in words])
 
 
 def _here(pattern: str, flags: str = "(?i)") -> str:
@@ -30,7 +39,7 @@ def _here(pattern: str, flags: str = "(?i)") -> str:
 
 def _labelled_balance(label: str) -> Column:
     line = F.regexp_extract("context", rf"(?i)^[^\n]*?\b{label}\s+balance\b[^\n]*", 0)
-    return F.try_element_at(F.regexp_extract_all(line, F.lit(p.BALANCE_NUMBER), F.lit(0)), F.lit(-1))
+    return F.when(_has(label), F.try_element_at(F.regexp_extract_all(line, F.lit(p.BALANCE_NUMBER), F.lit(0)), F.lit(-1)))
 
 
 def _first(value: Column, name: str) -> Column:
@@ -38,14 +47,15 @@ def _first(value: Column, name: str) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col("pos"))).alias(name)
 
 
-def _found(pattern: str, group: int = 1, flags: str = "(?i)") -> Column:
-    matched = F.col("context").rlike(_here(pattern, flags))
-    return F.when(matched, F.regexp_extract("context", _here(pattern, flags), group))
+def _found(words: tuple[str, ...], pattern: str, group: int = 1) -> Column:
+    """Group of a pattern that begins on the line itself, with one of the words."""
+    matched = _has(*words) & F.col("context").rlike(_here(pattern))
+    return F.when(matched, F.regexp_extract("context", _here(pattern), group))
 
 
-def _dated(kinds: str, pattern: str) -> Column:
+def _dated(words: tuple[str, ...], pattern: str) -> Column:
     """Value behind a dated balance of the given kinds that begins on the line itself: its context holds all of it."""
-    return _found(pattern.replace(p.BALANCE_KINDS, kinds), 2)
+    return _found(words, pattern.replace(p.BALANCE_KINDS, "|".join(words)), 2)
 
 
 def statement_metadata(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -53,27 +63,28 @@ def statement_metadata(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -
     ifsc_code, opening_balance, closing_balance, statement_period."""
     placed = lines.select("file_name", position(), "text")
     read = following(placed, ["file_name"], "pos", "text", LOOK_AHEAD, rows_per_block=rows_per_block)
-    read = let(read.filter(F.col("text").rlike(CANDIDATE)), text=F.col("text"), context=F.concat_ws("\n", "text", "following"))
+    has_code = F.contains("text", F.lit("0")) & F.upper("text").rlike(p.IFSC)
+    read = let(read.filter(_has(*CANDIDATE_WORDS) | has_code), text=F.col("text"), context=F.concat_ws("\n", "text", "following"))
     period = _here(p.PERIOD)
     read = let(
         read,
-        bank=F.when(F.col("text").rlike(p.BANK_LINE), F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 80)),
-        holder=_found(p.HOLDER_LABEL),
-        account=_found(p.ACCOUNT_LABEL),
-        ifsc_named=F.upper(_found(p.IFSC_LABEL)),
-        ifsc_any=F.nullif(F.regexp_extract(F.upper("text"), p.IFSC, 1), F.lit("")),
+        bank=F.when(_has("bank") & F.col("text").rlike(p.BANK_LINE), F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 80)),
+        holder=_found(HOLDER_WORDS, p.HOLDER_LABEL),
+        account=_found(ACCOUNT_WORDS, p.ACCOUNT_LABEL),
+        ifsc_named=F.upper(_found(("ifsc",), p.IFSC_LABEL)),
+        ifsc_any=F.when(has_code, F.regexp_extract(F.upper("text"), p.IFSC, 1)),
         opening=_labelled_balance("opening"),
         closing=_labelled_balance("closing"),
-        dated_opening=_dated(p.OPENING_KINDS, p.DATED_BALANCE),
-        dated_closing=_dated(p.CLOSING_KINDS, p.DATED_BALANCE),
+        dated_opening=_dated(OPENING_WORDS, p.DATED_BALANCE),
+        dated_closing=_dated(CLOSING_WORDS, p.DATED_BALANCE),
         period=F.when(
-            F.col("context").rlike(period),
+            _has("statement") & F.col("context").rlike(period),
             F.concat(
                 F.trim(F.regexp_extract("context", period, 1)), F.lit(" to "), F.trim(F.regexp_extract("context", period, 2))
             ),
         ),
-        first_day=_dated(p.OPENING_KINDS, p.DATED_BALANCE_DAY),
-        last_day=_dated(p.CLOSING_KINDS, p.DATED_BALANCE_DAY),
+        first_day=_dated(OPENING_WORDS, p.DATED_BALANCE_DAY),
+        last_day=_dated(CLOSING_WORDS, p.DATED_BALANCE_DAY),
     )
     names = [c for c in read.columns if c not in {"file_name", "pos", "text", "context", "following"}]
     found = read.groupBy("file_name").agg(*[_first(F.col(n), n) for n in names])
@@ -108,7 +119,7 @@ def address_holders(lines: DataFrame) -> DataFrame:
     first twenty lines, right above a line that looks like an address."""
     per_file = Window.partitionBy("file_name").orderBy("page_no", "line_no")
     top = lines.withColumn("_n", F.row_number().over(per_file)).filter(F.col("_n") <= p.NAME_BLOCK_LINES)
-    below = F.lead("text").over(Window.partitionBy("file_name").orderBy("_n"))
+    below = F.lead("text").over(per_file)
     named = top.withColumn("_below", below).filter(
         F.col("text").rlike(p.HOLDER_NAME) & ~F.col("text").rlike(p.HOLDER_BLOCKLIST) & F.col("_below").rlike(p.ADDRESS_LINE)
     )

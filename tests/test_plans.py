@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillbook.operators import lines
+from quillbook.operators import lines, metadata
 
 FILES = [("a", 1, i, t) for i, t in enumerate((
     "UNION BANK", "Opening Balance: 100.00", "Date Description Debit Credit Balance",
@@ -34,6 +34,10 @@ def shuffles(df) -> int:
     return ran.count("Exchange hashpartitioning")
 
 
+def test_letterhead_code_is_compiled(statement):
+    assert largest_method(metadata.statement_metadata(statement)) < 8000
+
+
 def test_chunks_of_small_files_are_joined_where_their_lines_are(statement):
     parts = lines.split_parts(statement).filter(F.col("part") == lines.PRIMARY).localCheckpoint()
     chunks = lines.line_chunks(parts, ["file_name"])
