@@ -22,12 +22,8 @@ def has_date(x: str) -> str:
     return f"({x} rlike r'{DATE}')"
 
 
-def _part(x: str, n: int) -> str:
-    return f"element_at(split({x}, '[-/. ]'), {n})"
-
-
 def _day(year: str, month: str, day: str) -> str:
-    return f"try_to_date(concat(nullif({year}, '0000'), '-', {month}, '-', {day}), 'yyyy-M-d')"
+    return f"try_cast(concat(nullif({year}, '0000'), '-', {month}, '-', {day}) as date)"
 
 
 def _century(x: str) -> str:
@@ -39,9 +35,9 @@ def _month_number(x: str) -> str:
     return f"cast((locate(lower(substr({x}, 1, 3)), '{_MONTH_STRIP}') + 2) div 3 as string)"
 
 
-def full_date(x: str) -> str:
-    """DATE of a token that carries a year, null when it is no calendar day."""
-    first, second, third = _part(x, 1), _part(x, 2), _part(x, 3)
+def full_date(x: str, parts: str) -> str:
+    """DATE of a token that carries a year, null when it is no calendar day; ``parts`` is the token split at its marks."""
+    first, second, third = (f"element_at({parts}, {n})" for n in (1, 2, 3))
     return rf"""CASE
       WHEN {x} rlike r'^\d{{1,2}}/\d{{1,2}}/\d{{4}}$'
         THEN coalesce({_day(third, second, first)}, {_day(third, first, second)})
@@ -57,12 +53,12 @@ def full_date(x: str) -> str:
     END"""
 
 
-def short_date(x: str) -> str:
+def short_date(x: str, parts: str) -> str:
     """The token itself when it is a plausible date without a full year.
 
     Plausible means valid in 1900, a year without a leap day.
     """
-    first, second = _part(x, 1), _part(x, 2)
+    first, second = (f"element_at({parts}, {n})" for n in (1, 2))
     day_first = _day("'1900'", second, first)
     month_first = _day("'1900'", first, second)
     return rf"""CASE
@@ -76,8 +72,13 @@ def short_date(x: str) -> str:
 
 
 def normalize_date(x: str) -> str:
-    """ISO text of a full date, the token of a short one, else null."""
-    return f"coalesce(cast({full_date(x)} as string), {short_date(x)})"
+    """ISO text of a full date, the token of a short one, else null.
+
+    Worked out in lambdas: ``x`` is read and split once, and the many cases stay out of the
+    generated code around them, which the JVM does not compile above 8,000 bytes.
+    """
+    found = f"coalesce(cast({full_date('_day', '_parts')} as string), {short_date('_day', '_parts')})"
+    return f"get(transform(array({x}), _day -> get(transform(array(split(_day, '[-/. ]')), _parts -> {found}), 0)), 0)"
 
 
 def squeezed(x: str) -> str:

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillbook.operators import lines, metadata
+from quillbook.operators import lines, metadata, rows
 
 FILES = [("a", 1, i, t) for i, t in enumerate((
     "UNION BANK", "Opening Balance: 100.00", "Date Description Debit Credit Balance",
@@ -38,6 +38,12 @@ def test_letterhead_code_is_compiled(statement):
     assert largest_method(metadata.statement_metadata(statement)) < 8000
 
 
+def test_date_and_amount_code_is_compiled(spark):
+    chunks = spark.createDataFrame([("a", 1, 0, "01/02/2024 RENT 10.00")], "file_name string, pos long, sub int, chunk string")
+    assert largest_method(lines.count_bad_dates(chunks, ["file_name"])) < 8000
+    assert largest_method(rows.parse_chunks(chunks, ["file_name"])) < 8000
+
+
 def test_chunks_of_small_files_are_joined_where_their_lines_are(statement):
     parts = lines.split_parts(statement).filter(F.col("part") == lines.PRIMARY).localCheckpoint()
     chunks = lines.line_chunks(parts, ["file_name"])
