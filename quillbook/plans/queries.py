@@ -209,7 +209,7 @@ def check_ledger(spark, sf):
 @query
 def plain_parse(spark, sf):
     """Statements whose lines stand under no heading."""
-    parts = materialize(lines.split_parts(derived.plain_statements(spark, sf)))
+    parts = materialize(lines.split_parts(materialize(derived.plain_statements(spark, sf))))
     parsed = rows.primary_only(rows.parse_parts(parts))
     return doubles(parsed, *AMOUNTS).select("file_name", "date", "description", *AMOUNTS)
 
@@ -476,6 +476,7 @@ def reroute_docs(spark, sf):
     prose = docs.filter("route.strategy = 'bank_statement'").select(F.col("filename").alias("file_name"), "text")
     # a printed page is a file: forty rows at most
     printed = derived.plain_statements(spark, sf).withColumn("file_name", F.concat_ws("-", "file_name", F.col("page_no").cast("string")))
+    printed = materialize(printed)
     page = text.lines_of_text(prose).select("file_name", F.lit(1).alias("page_no"), "line_no", "text").unionByName(printed)
     parsed = materialize(rows.primary_only(rows.parse_parts(materialize(lines.split_parts(page)))))
     listed = F.array_sort(F.collect_list(F.struct("line_no", "text")))
