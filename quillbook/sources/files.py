@@ -143,14 +143,14 @@ def delimited_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     turns = ((F.col("from_outside") == 1) & (F.col("from_inside") == 0)).cast("int")
     lines = ordered(lines.withColumn("turns", turns), running={"turned": F.col("turns")}, **order)
     ends_anyway = F.when(F.col("from_outside") == F.col("from_inside"), (F.col("from_outside") + F.col("turned")) % 2)
-    lines = ordered(lines, before={"base": ends_anyway}, **order)
+    lines = ordered(materialize(lines), before={"base": ends_anyway}, **order)
     inside = (F.coalesce("base", F.lit(0)) + F.col("turned") - F.col("turns")) % 2
     lines = lines.withColumn("inside", inside).withColumn("left_open", F.when(F.col("inside") == 1, F.col("from_inside")).otherwise(F.col("from_outside")))
     # a line may hold several records, divided by carriage returns; after the last match there is an empty one
     whole = F.concat(F.when(F.col("inside") == 1, '"').otherwise(""), "text", F.when(F.col("left_open") == 0, "\n").otherwise(""))
     found = F.regexp_extract_all(whole, F.lit(CSV_RECORD), F.lit(1))
     lines = let(lines, pieces=F.slice(found, 1, F.size(found) - 1), **{c: F.col(c) for c in ("inside", "left_open")})
-    lines = ordered(lines.withColumn("ended", F.size("pieces") - F.col("left_open")), running={"so_far": F.col("ended")}, **order)
+    lines = ordered(materialize(lines.withColumn("ended", F.size("pieces") - F.col("left_open"))), running={"so_far": F.col("ended")}, **order)
     pieces = lines.select("path", "split", "at", "size", "inside", "left_open", (F.col("so_far") - F.col("ended")).alias("above"),
                           F.size("pieces").alias("n"), F.posexplode("pieces").alias("nth", "piece")).select(
         "path", "split", "at", (F.col("above") + F.col("nth") + 1).cast("long").alias("row_no"),
