@@ -81,5 +81,10 @@ def normalize_date(x: str) -> str:
     return f"get(transform(array({x}), _day -> get(transform(array(split(_day, '[-/. ]')), _parts -> {found}), 0)), 0)"
 
 
+def is_iso_day(x: str) -> str:
+    """Whether a text is a calendar day as ``normalize_date`` writes it: itself its ISO text. Cheap, no pattern is run."""
+    return f"coalesce({x} like '____-__-__' AND {x} >= '0001' AND cast(try_cast({x} as date) as string) = {x}, false)"
+
+
 def squeezed(x: str) -> str:
     return rf"trim(regexp_replace({x}, r'\s+', ' '))"

@@ -13,6 +13,7 @@ from quillbook.functions import dates
 from quillbook.functions import patterns as p
 from quillbook.operators.blocks import ROWS_PER_BLOCK, ordered
 from quillbook.operators.lets import let
+from quillbook.operators.lines import _matches
 from quillbook.operators.rows import keep_first
 
 FILE = ["file_name"]
@@ -44,13 +45,27 @@ def issues() -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in zip(found, ISSUES)]), lambda x: x.isNotNull())
 
 
+def _sound() -> Column:
+    """Whether a row is seen to be valid without a closer look: true of most valid rows and of no other."""
+    debit, credit = F.col("debit_amount"), F.col("credit_amount")
+    described = (F.trim("description") != "") & (F.length("description") <= 300)
+    one_side = ((debit == 0) & (credit > 0)) | ((credit == 0) & (debit > 0))
+    return F.coalesce(
+        F.expr(dates.is_iso_day("date")) & one_side & (debit <= p.MAX_AMOUNT) & (credit <= p.MAX_AMOUNT)
+        & described & ~_matches(p.SECONDARY_TEXT, p.SECONDARY_WORDS, "description"),
+        F.lit(False),
+    )
+
+
 def with_issues(rows: DataFrame) -> DataFrame:
-    return let(rows, issues=issues())
+    """Add the issues of every row; the lambdas that read dates of any form run only on rows that may have one."""
+    none = F.array().cast("array<string>")
+    return let(let(rows, _sound=_sound()), issues=F.when(F.col("_sound"), none).otherwise(issues())).drop("_sound")
 
 
-def checked(rows: DataFrame, keys: list[str] = FILE) -> DataFrame:
-    """Distinct rows with their issues."""
-    return with_issues(keep_first(rows, keys, ORDER))
+def checked(rows: DataFrame, keys: list[str] = FILE, count: str | None = None) -> DataFrame:
+    """Distinct rows with their issues, and the number of rows that each stands for if ``count`` names it."""
+    return with_issues(keep_first(rows, keys, ORDER, count))
 
 
 def issue_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,7 +80,13 @@ def running_balance(rows: DataFrame, keys: list[str] = FILE, rows_per_block: int
 
     Only pairs of known (non-zero) balances are compared.
     """
-    seen = ordered(rows, keys, ORDER, previous={"previous_balance": F.col("balance")}, rows_per_block=rows_per_block)
+    return with_breaks(
+        ordered(rows, keys, ORDER, previous={"previous_balance": F.col("balance")}, rows_per_block=rows_per_block)
+    )
+
+
+def with_breaks(seen: DataFrame) -> DataFrame:
+    """Add expected_balance and breaks to rows that know their previous_balance."""
     comparable = (F.col("previous_balance") != 0) & (F.col("balance") != 0)
     expected = F.when(comparable, F.col("previous_balance") - F.col("debit_amount") + F.col("credit_amount"))
     seen = seen.withColumn("expected_balance", expected.cast("decimal(18,2)"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbook.functions import patterns as p
-from quillbook.operators.blocks import ROWS_PER_BLOCK
-from quillbook.operators.checks import checked, running_balance
+from quillbook.operators.blocks import ROWS_PER_BLOCK, apart
+from quillbook.operators.checks import ORDER, checked, running_balance, with_breaks
 from quillbook.session import materialize
 
 # --- fixed values: strategies in order of preference ---------------------------
@@ -22,19 +22,18 @@ def score_candidates(candidates: DataFrame, rows_per_block: int = ROWS_PER_BLOCK
     rows cost 2, 1.5 and 1. No valid row scores minus infinity.
     """
     keys = ["file_name", "strategy"]
-    raw = candidates.groupBy(*keys).agg(F.count("*").alias("row_count"))
-    seen = materialize(checked(candidates, keys))
-    counts = seen.groupBy(*keys).agg(
-        F.count("*").alias("distinct_count"), F.count_if(F.size("issues") > 0).alias("dropped")
-    )
-    valid = running_balance(seen.filter("size(issues) = 0").drop("issues"), keys, rows_per_block)
-    large = (F.col("debit_amount") > p.SUSPICIOUS_AMOUNT) | (F.col("credit_amount") > p.SUSPICIOUS_AMOUNT)
-    quality = valid.groupBy(*keys).agg(
-        F.count("*").alias("valid_count"),
-        F.count_if(F.col("expected_balance").isNotNull() & ~F.col("breaks")).alias("balanced"),
-        F.count_if(large).alias("suspicious"),
-    )
-    joined = raw.join(counts, keys, "left").join(quality, keys, "left").na.fill(0)
+    small, large = apart(candidates, keys, rows_per_block)
+    # a candidate of few rows stays in one task from its duplicates to its counts
+    seen = checked(small.repartition(*keys), keys, "copies")
+    valid = F.size("issues") == 0
+    above = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last(F.when(valid, F.struct("balance")), ignorenulls=True).over(above)
+    joined = _counts(with_breaks(seen.withColumn("previous_balance", known["balance"])), keys)
+    cut = materialize(checked(large, keys, "copies"))
+    walked = running_balance(cut.filter(valid), keys, rows_per_block)
+    none = F.lit(None).cast("decimal(18,2)")
+    dropped = cut.filter(~valid).withColumns({"previous_balance": none, "expected_balance": none, "breaks": F.lit(False)})
+    joined = joined.unionByName(_counts(walked.unionByName(dropped), keys))
     duplicates = F.col("row_count") - F.col("distinct_count")
     score = (
         9.0
@@ -53,6 +52,20 @@ def score_candidates(candidates: DataFrame, rows_per_block: int = ROWS_PER_BLOCK
     )
 
 
+def _counts(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: all rows, the distinct ones, the dropped, the valid, and of these the balanced and the suspicious."""
+    valid = F.size("issues") == 0
+    large = (F.col("debit_amount") > p.SUSPICIOUS_AMOUNT) | (F.col("credit_amount") > p.SUSPICIOUS_AMOUNT)
+    return seen.groupBy(*keys).agg(
+        F.sum("copies").alias("row_count"),
+        F.count("*").alias("distinct_count"),
+        F.count_if(~valid).alias("dropped"),
+        F.count_if(valid).alias("valid_count"),
+        F.count_if(valid & F.col("expected_balance").isNotNull() & ~F.col("breaks")).alias("balanced"),
+        F.count_if(valid & large).alias("suspicious"),
+    )
+
+
 def pick_strategy(scores: DataFrame) -> DataFrame:
     """file_name, strategy of the best score, then row count, then preference."""
     rank = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))

@@ -36,13 +36,20 @@ def doubles(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def _numbered(txns: DataFrame) -> DataFrame:
+    return txns.select("file_name", F.col("seq").alias("pos"), F.lit(0).alias("sub"), *rows.VALUES)
+
+
+def _faulty(txns: DataFrame) -> DataFrame:
+    return derived.with_faults(txns).select("file_name", "pos", F.lit(0).alias("sub"), *rows.VALUES)
+
+
 def _txn_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows_ = derived.transactions(spark, sf)
-    return rows_.select("file_name", F.col("seq").alias("pos"), F.lit(0).alias("sub"), *rows.VALUES)
+    return _numbered(derived.transactions(spark, sf))
 
 
 def _bad_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.faulty_transactions(spark, sf).select("file_name", "pos", F.lit(0).alias("sub"), *rows.VALUES)
+    return _faulty(derived.transactions(spark, sf))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,8 +329,8 @@ def token_txns(spark, sf):
 
 
 def _candidates(spark, sf) -> DataFrame:
-    faulty = _bad_rows(spark, sf)
-    true = _txn_rows(spark, sf)
+    txns = materialize(derived.transactions(spark, sf).drop("account", "txn_date"))  # read three times
+    faulty, true = _faulty(txns), _numbered(txns)
     blind = true.withColumn("balance", F.lit(0).cast("decimal(18,2)"))
     named = [(faulty, "line_window"), (blind, "box_columns"), (true, "pdf_tables")]
     frames = [df.withColumn("strategy", F.lit(name)) for df, name in named]
@@ -332,13 +339,13 @@ def _candidates(spark, sf) -> DataFrame:
 
 @query
 def strategy_score(spark, sf):
-    scores = choose.score_candidates(materialize(_candidates(spark, sf)))
+    scores = choose.score_candidates(_candidates(spark, sf))
     return scores.withColumn("score", F.round("score", 6))
 
 
 @query
 def strategy_pick(spark, sf):
-    return choose.pick_strategy(choose.score_candidates(materialize(_candidates(spark, sf))))
+    return choose.pick_strategy(choose.score_candidates(_candidates(spark, sf)))
 
 
 # --- categories and exports ---------------------------------------------------------

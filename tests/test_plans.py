@@ -1,10 +1,14 @@
 """What the plans of the statement steps look like."""
 
+from decimal import Decimal
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from quillbook.operators import lines, metadata, rows
+from quillbook.operators import choose, lines, metadata, rows
+from quillbook.plans import queries
+from quillbook.sources import derived
 
 FILES = [("a", 1, i, t) for i, t in enumerate((
     "UNION BANK", "Opening Balance: 100.00", "Date Description Debit Credit Balance",
@@ -49,3 +53,19 @@ def test_chunks_of_small_files_are_joined_where_their_lines_are(statement):
     chunks = lines.line_chunks(parts, ["file_name"])
     assert shuffles(chunks) == 1
     assert {r.chunk for r in chunks.collect()} == {"01/02/2024 RENT PAYMENT 10.00 90.00 late night order", "02/02/2024 SALARY 20.00 110.00"}
+
+
+def test_candidates_of_few_rows_are_scored_in_one_task(spark):
+    rows_ = [("f", i, 0, "2024-01-0%d" % i, "A", "5.00", "0.00", "95.00", "pdf_tables") for i in (1, 2, 2)]
+    df = spark.createDataFrame(rows_, "file_name string, pos long, sub int, date string, description string, debit_amount string, credit_amount string, balance string, strategy string")
+    scores = choose.score_candidates(df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("debit_amount", "credit_amount", "balance")}).localCheckpoint())
+    assert shuffles(scores) <= 2
+    row = scores.first()
+    assert (row.row_count, row.valid_count, row.dropped, row.duplicates) == (3, 2, 0, 1)
+
+
+def test_candidates_read_the_transactions_once(spark, monkeypatch):
+    calls, real = [], derived.transactions
+    monkeypatch.setattr(derived, "transactions", lambda *a: calls.append(a) or real(*a))
+    queries._candidates(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

@@ -237,3 +237,41 @@ def test_pattern_words_leave_no_match_out(spark):
     titles = [(pattern, (p.TITLE_WORDS[key],)) for key, pattern in p.SECTION_TITLES]
     for pattern, words in [(p.NOISE_LINE, p.NOISE_WORDS), (p.BALANCE_LABEL, p.BALANCE_WORDS), (p.SUMMARY_TITLE, p.SUMMARY_WORDS), (p.TABLE_HEADER, p.HEADER_WORDS), *titles]:
         assert df.filter(F.col("text").rlike(pattern)).count() == df.filter(_matches(pattern, words)).count() > 0
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 1 << 16])
+def test_scores_do_not_depend_on_the_size_of_a_candidate(spark, rows_per_block):
+    """A dropped row between two valid ones is no row before; copies count; an unknown balance is compared with none."""
+    rows_ = [
+        (1, "2024-01-01", "A", "5.00", "0.00", "95.00"), (2, "00-00-00", "B", "5.00", "0.00", "1.00"), (3, "2024-01-02", "C", "5.00", "0.00", "90.00"),
+        (4, "2024-01-02", "c", "5.00", "0.00", "90.00"), (5, "2024-01-03", "D", "20000000.00", "0.00", None), (6, "2024-01-04", "E", "1.00", "0.00", "89.00"),
+        (7, "01/02/2024", "Page 3", "1.00", "0.00", "89.00"), (8, "5 Jan 2024", "F", "0.00", "1.00", "90.00"),
+    ]
+    df = spark.createDataFrame([("f", *r) for r in rows_], "file_name string, pos long, date string, description string, debit_amount string, credit_amount string, balance string")
+    df = df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("debit_amount", "credit_amount", "balance")}).withColumn("sub", F.lit(0))
+    both = df.withColumn("strategy", F.lit("pdf_tables")).unionByName(df.filter("pos = 2").withColumn("strategy", F.lit("box_columns")))
+    got = {r.strategy: tuple(r)[2:] for r in choose.score_candidates(both, rows_per_block).collect()}
+    assert got == {"pdf_tables": (8, 5, 2, 1, 9.0 + 5.0 * 2 / 4 - 4.0 - 1.5 - 1.0), "box_columns": (1, 0, 1, 0, float("-inf"))}
+
+
+def test_sound_rows_are_the_ones_without_issues(spark):
+    days = ["2024-01-01", "2024-02-30", "0000-01-01", "2024-1-1", " 2024-01-01", "01/02/2024", "00-00-00", "", None, "-001-01-01", "+202-01-01", "2024-01-0\u0661"]
+    words = ["A", "", "  ", None, "x" * 301, "Sub TOTAL debits", "Other", "Deposits and Other Credits", "Closing  BALANCE"]
+    sides = [("1", "0"), ("0", "1"), ("1", "1"), ("0", "0"), ("-1", "0"), ("1000000001", "0"), (None, "1"), (None, None)]
+    every = [(d, w, *s) for d in days for w in words for s in sides]
+    df = spark.createDataFrame(every, "date string, description string, debit_amount string, credit_amount string")
+    df = df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("debit_amount", "credit_amount")})
+    full = checks.issues()
+    told = checks.with_issues(df.select("*", full.alias("wanted")).localCheckpoint()).collect()
+    assert all(r.issues == r.wanted for r in told) and len(told) == len(every)
+
+
+def test_secondary_words_leave_no_match_out(spark):
+    texts = [
+        "Opening  balance", "CLOSING BALANCE", "brought forward", "Carried\tForward", "Statement of Account", "summary of your account", "ACCOUNT summary",
+        "Deposit and other credit", "WITHDRAWALS and Other Debits", "account service charge and fees", "Checks Paid", "Account transactions by type",
+        "page 3", "Statement Summary", "TOTAL debits", "total charges", "plain",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = lines._matches(p.SECONDARY_TEXT, p.SECONDARY_WORDS)
+    assert df.filter(F.col("text").rlike(p.SECONDARY_TEXT)).count() == df.filter(found).count() == len(texts) - 1
