@@ -55,6 +55,13 @@ def test_chunks_of_small_files_are_joined_where_their_lines_are(statement):
     assert {r.chunk for r in chunks.collect()} == {"01/02/2024 RENT PAYMENT 10.00 90.00 late night order", "02/02/2024 SALARY 20.00 110.00"}
 
 
+def test_fields_of_small_files_are_read_where_their_lines_are(statement):
+    read = metadata.statement_metadata(statement.localCheckpoint())
+    assert shuffles(read) == 1
+    row = read.first()
+    assert (row.file_name, row.bank_name, row.opening_balance) == ("a", "UNION BANK", Decimal("100.00"))
+
+
 def test_candidates_of_few_rows_are_scored_in_one_task(spark):
     rows_ = [("f", i, 0, "2024-01-0%d" % i, "A", "5.00", "0.00", "95.00", "pdf_tables") for i in (1, 2, 2)]
     df = spark.createDataFrame(rows_, "file_name string, pos long, sub int, date string, description string, debit_amount string, credit_amount string, balance string, strategy string")

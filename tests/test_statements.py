@@ -239,6 +239,18 @@ def test_pattern_words_leave_no_match_out(spark):
         assert df.filter(F.col("text").rlike(pattern)).count() == df.filter(_matches(pattern, words)).count() > 0
 
 
+@pytest.mark.parametrize("rows_per_block", [2, 1 << 16])
+def test_large_and_small_files_have_the_same_fields(to_lines, rows_per_block):
+    page = to_lines(
+        a="UNION BANK\nAda Stone\n12 Elm Street\nAccount\nNumber:\n12345678\nOpening Balance 7.25\nx\ny\nClosing\nbalance\nas of\nJanuary 31\n9.00",
+        b="nothing here", c="\n".join(["line"] * 19) + "\nAda Stone\n12 Elm Street\nIFSC abcd0123456",
+    )
+    got = {r.file_name: tuple(r)[2:6] for r in metadata.statement_metadata(page, rows_per_block).collect()}
+    assert got == {
+        "a": ("Ada Stone", "12345678", None, Decimal("7.25")), "b": (None,) * 4, "c": (None, None, "ABCD0123456", None),
+    }
+
+
 @pytest.mark.parametrize("rows_per_block", [1, 1 << 16])
 def test_scores_do_not_depend_on_the_size_of_a_candidate(spark, rows_per_block):
     """A dropped row between two valid ones is no row before; copies count; an unknown balance is compared with none."""
