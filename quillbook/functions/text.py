@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbook.functions.patterns import ANALYSIS_MISSING, DATE_AT_START, SECONDARY_TEXT
+from quillbook.operators.lets import let
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\f\\u000b\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 EDGE_MARKS = "^[ \\-|:/]+|[ \\-|:/]+$"
@@ -23,10 +24,9 @@ def lines_of_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per non-blank line: every column but ``text``, plus line_no, text."""
     keep = [c for c in df.columns if c != text]
     exploded = df.select(*keep, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("line_no", "_raw"))
-    return (
-        exploded.select(*keep, F.col("line_no").cast("long").alias("line_no"), clean_line("_raw").alias("text"))
-        .filter("text <> ''")
-    )
+    # cleaned once: a filter on a plain projection would clean every piece a second time
+    cleaned = let(exploded, text=clean_line("_raw")).filter("text <> ''")
+    return cleaned.select(*keep, F.col("line_no").cast("long").alias("line_no"), "text")
 
 
 def described(x: str) -> str:

@@ -26,9 +26,9 @@ def position(page: str = "page_no", line: str = "line_no") -> Column:
     return (F.col(page).cast("long") * PAGE_STRIDE + F.col(line)).alias("pos")
 
 
-def _matches(pattern: str, words: tuple[str, ...], text: str = "text") -> Column:
+def _matches(pattern: str, words: tuple[str, ...], text: str = "text", lowered: Column | None = None) -> Column:
     """Whether a text matches; the pattern runs only where one of the words that it needs occurs."""
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]) & F.col(text).rlike(pattern)
 
 
@@ -39,12 +39,13 @@ def line_flags(lines: DataFrame) -> DataFrame:
     """Add has_date, is_noise (no date) and is_balance_label, once per line."""
     if set(FLAGS) <= set(lines.columns):
         return lines
-    dated = let(lines, has_date=F.expr(dates.has_date("text")))
+    dated = let(lines, has_date=F.expr(dates.has_date("text")), _lowered=F.lower("text"))
+    lowered = F.col("_lowered")
     return let(
         dated,
-        is_noise=~F.col("has_date") & _matches(p.NOISE_LINE, p.NOISE_WORDS),
-        is_balance_label=_matches(p.BALANCE_LABEL, p.BALANCE_WORDS),
-    )
+        is_noise=~F.col("has_date") & _matches(p.NOISE_LINE, p.NOISE_WORDS, lowered=lowered),
+        is_balance_label=_matches(p.BALANCE_LABEL, p.BALANCE_WORDS, lowered=lowered),
+    ).drop("_lowered")
 
 
 def _matched_title(text: str = "text") -> Column:

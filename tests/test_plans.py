@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from quillbook.functions import text
 from quillbook.operators import choose, lines, metadata, rows
 from quillbook.plans import queries
 from quillbook.sources import derived
@@ -71,6 +72,12 @@ def test_candidates_of_few_rows_are_scored_in_one_task(spark):
     assert (row.row_count, row.valid_count, row.dropped, row.duplicates) == (3, 2, 0, 1)
 
 
+def test_lines_are_cleaned_and_lowered_once(spark):
+    df = spark.createDataFrame([("a", "x\ny")], "file_name string, text string")
+    plan = lines.line_flags(text.lines_of_text(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(replace(") == 1 and plan.count("lower(") == 1
+
+
 def test_candidates_read_the_transactions_once(spark, monkeypatch):
     calls, real = [], derived.transactions
     monkeypatch.setattr(derived, "transactions", lambda *a: calls.append(a) or real(*a))
