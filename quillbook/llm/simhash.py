@@ -7,7 +7,8 @@ fingerprints that differ in ``threshold`` bits differ in at most as many of
 those 46, so each lies within ``RADIUS + threshold`` of the other's home. A
 fingerprint is stored at every anchor within that reach and looked up at its
 home alone, and a link is taken from its smaller end: each is found once, and
-none is lost. An anchor's rows meet in an equi-join, which Spark may split.
+none is lost. An anchor's rows meet in an equi-join, which Spark may split; it
+is always shuffled, since Spark doesn't know how many anchors a fingerprint has.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbook.llm.common import fresh, numbered, or_empty, row_key
-from quillbook.session import materialize
+from quillbook.session import materialize, shuffled
 
 CODE_BITS = 23
 RADIUS = 6
@@ -120,7 +121,7 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
     prints = prints.repartition(max(1, -(-prints.count() // PRINTS_A_TASK)), "fp")
     homes = prints.select("fp").mapInPandas(at_home, "anchor long, a long")
-    met = homes.join(prints.select("fp").mapInPandas(at_anchors, "anchor long, b long"), "anchor")
+    met = homes.join(shuffled(prints.select("fp").mapInPandas(at_anchors, "anchor long, b long")), "anchor")
     return met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 

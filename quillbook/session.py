@@ -114,3 +114,13 @@ def materialize(df: DataFrame) -> DataFrame:
         folders.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides, whatever their estimated sizes.
+
+    Spark sizes a table by its compressed files and doesn't count the rows that
+    an explode or a batch function adds. Where that comes out below its
+    threshold, the whole table is gathered on the driver to be broadcast, however large it is.
+    """
+    return df.hint("merge")

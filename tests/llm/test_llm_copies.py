@@ -67,6 +67,13 @@ def test_near_duplicates_of_given_documents(spark):
     assert sum(r.first for r in found) == len(least)
 
 
+def test_fingerprints_at_their_anchors_are_never_broadcast(spark):
+    """A table of fingerprints that is small for Spark lies at a hundred times as many anchors."""
+    prints = spark.range(100).selectExpr("shiftleft(id, 20) AS fp")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "BroadcastExchange" not in plan
+
+
 def test_links_lose_none(spark):
     draw = random.Random(1)
     prints = set()
