@@ -14,6 +14,10 @@ other if they share many of their edits, so these are what they meet by: the
 rarest of them, as many as leave out fewer than such a pair must share (prefix
 and position filters). Edits shared by very many texts make buckets of
 their own, with leaders of their own.
+
+Bands, edits and sets of shingles are always joined by shuffle: near copies
+compress so well, and a text has so many of them, that Spark would take them
+for small tables.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql.window import Window
 
 from quillbook.llm.common import fresh, numbered, or_empty, row_key
 from quillbook.llm.simhash import components, first_rows, links
-from quillbook.session import materialize
+from quillbook.session import materialize, shuffled
 
 ROWS = 5
 #: Bits in which fingerprints differ that are linked, at most.
@@ -107,7 +111,7 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with both sets of shingles, a_set and b_set."""
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")), end)
+        pairs = pairs.join(shuffled(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))), end)
     return pairs
 
 
@@ -124,10 +128,10 @@ def against_leaders(members: DataFrame, sets: DataFrame) -> DataFrame:
     text whose buckets hold most texts: that from which copies were made, rather than one of the copies.
     """
     crowds = members.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    placed = materialize(members.join(crowds, "band"))
+    placed = materialize(members.join(shuffled(crowds), "band"))
     weights = placed.groupBy("node").agg(F.sum("crowd").alias("weight"))
-    leaders = placed.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
-    pairs = placed.join(leaders, "band").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    leaders = placed.join(shuffled(weights), "node").groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
+    pairs = placed.join(shuffled(leaders), "band").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
     common = F.size(F.array_intersect("a_set", "b_set"))
     return materialize(with_sets(pairs, sets).withColumn("common", common).select(
         F.col("a").alias("node"), F.col("b").alias("leader"), F.size("b_set").alias("size"),
@@ -164,7 +168,7 @@ def edits_of(compared: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
                                     "reach", F.explode(edits).alias("edit")))
     times = each.groupBy("leader", "edit").agg(F.count("*").alias("times"))
     rarest = Window.partitionBy("leader", "node").orderBy("times", "edit")
-    placed = each.join(times, ["leader", "edit"]).withColumn("at", F.row_number().over(rarest) - 1).filter("at < reach")
+    placed = each.join(shuffled(times), ["leader", "edit"]).withColumn("at", F.row_number().over(rarest) - 1).filter("at < reach")
     return placed.select("leader", "edit", "node", "root", "size", "n", "cost", "at",
                          (F.col("at") < F.col("told")).alias("tells"), (F.col("at") < F.col("asked")).alias("asks"))
 
@@ -177,7 +181,7 @@ def meeting(edits: DataFrame, similarity: float) -> DataFrame:
     needed = (F.col("cost_a") + F.col("cost_t") - (1 - similarity) * F.col("size")) / (1 + similarity)
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_t") - F.col("at_t"))  # as the first edit that both have
     lower = (F.col("cost_t") < F.col("cost_a")) | ((F.col("cost_t") == F.col("cost_a")) & (F.col("node_t") < F.col("node_a")))
-    met = asks.join(tells, ["leader", "edit"]).filter(lower & (F.col("root_a") != F.col("root_t")) & (left >= needed - 1e-6))
+    met = asks.join(shuffled(tells), ["leader", "edit"]).filter(lower & (F.col("root_a") != F.col("root_t")) & (left >= needed - 1e-6))
     return met.select(F.least("node_a", "node_t").alias("a"), F.greatest("node_a", "node_t").alias("b")).distinct()
 
 
@@ -198,7 +202,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             F.count_if("asks").alias("x"), F.count_if("tells").alias("y"), F.min("root").alias("low"), F.max("root").alias("high"))
         crowds = materialize(crowds.filter("x > 0 AND y > 0 AND low < high").select("leader", "edit", (F.col("x") * F.col("y")).alias("pairs")))
         crowded = F.col("pairs") > (PAIRS_AN_EDIT if number < ROUNDS - 1 else (1 << 62))
-        light = edits.join(crowds.filter(~crowded), ["leader", "edit"], "left_semi")
+        light = edits.join(shuffled(crowds.filter(~crowded)), ["leader", "edit"], "left_semi")
         more = materialize(similar(meeting(light, similarity), sets, similarity))
         if not more.isEmpty():
             found_links = found_links.unionByName(more)
@@ -238,7 +242,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(rows.groupBy("digest").agg(least.alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
                         .select("digest", "least", F.col("least.row_no").alias("node"), F.col("least.key").alias("key"), "bands", "fp"))
     placed = nodes.select("node", F.explode("bands").alias("band")).unionByName(by_fingerprint(nodes))
-    members = materialize(placed.join(placed.groupBy("band").count().filter("count > 1"), "band").select("band", "node"))
+    shared = placed.groupBy("band").count().filter("count > 1")
+    members = materialize(placed.join(shuffled(shared), "band").select("band", "node"))
 
     (key,) = fresh(docs, "row_key")
     candidates = members.select("node").distinct().join(nodes.select("node", F.col("key").alias(key)), "node")

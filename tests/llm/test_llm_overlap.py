@@ -1,6 +1,7 @@
 """Near copies at five-word Jaccard 0.8 against brute force."""
 
 import random
+import re
 
 import corpus_pipeline
 import pytest
@@ -126,3 +127,16 @@ def test_fingerprints_within_two_bits_share_a_bucket_of_the_pipelines_stage(spar
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and asked == [2]
+
+
+def test_bands_edits_and_sets_are_never_broadcast(spark, monkeypatch):
+    """However small Spark takes them for."""
+    plans, materialize = [], overlap.materialize
+    monkeypatch.setattr(overlap, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df))
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [edited(draw, base, draw.randint(0, 8)) for _ in range(60)]
+    overlap.one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    joins = {kind: set(re.findall(rf"{kind} \[([^]]*)\]", re.sub(r"#\d+L?", "", "\n".join(plans)))) for kind in ("SortMergeJoin", "BroadcastHashJoin")}
+    growing = {"band", "node", "a", "b", "leader, edit"}
+    assert growing <= joins["SortMergeJoin"] and not {"band", "a", "b", "leader, edit"} & joins["BroadcastHashJoin"]
